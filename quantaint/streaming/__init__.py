@@ -1,0 +1 @@
+"""Intentionally empty: the capabilities this engine covers are all batch jobs."""
