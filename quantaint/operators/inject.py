@@ -8,13 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass
+from math import ceil
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantaint.functions.hashing import BITS, Digest, digest_words
 from quantaint.functions.labels import safe_ratio_count
 from quantaint.operators.constraints import INJECTED, join_relations
-from quantaint.operators.scenarios import Scenario, db_ids, scenario_frame
+from quantaint.operators.scenarios import Scenario, db_ids, literal_rows, scenario_frame
 from quantaint.schema import KEYS
 from quantaint.sources.database import Database
 from quantaint.sources.store import keep
@@ -44,14 +46,17 @@ INJECTIONS: dict[str, Injection] = {
 
 # Rows that one task ranks at a sample's cut; larger inputs narrow the cut first.
 CUT_ROWS = 50_000
-# Hash digits resolved per narrowing pass (16^3 = 4096 counters per draw).
-DIGITS = 3
-# Sorts after every hexadecimal digit.
-PAST_ALL = "g"
-
-_LINE_PAYLOAD = (
-    "l_partkey", "l_suppkey", "l_shipdate", "l_commitdate", "l_receiptdate", "l_linestatus",
-)
+# Hash bits resolved per narrowing pass (4096 counters per draw).
+PASS_BITS = 12
+PAST_ALL = 2**BITS
+
+_PLACE = ["dc", "draw", "prefix"]
+_PAYLOAD = {
+    "lineitem": (
+        "l_partkey", "l_suppkey", "l_shipdate", "l_commitdate", "l_receiptdate", "l_linestatus",
+    ),
+    "partsupp": ("ps_availqty",),
+}
 
 
 @dataclass(frozen=True)
@@ -69,12 +74,13 @@ def injection_targets(db: Database, scenarios: list[Scenario]) -> DataFrame:
 
     The base is the table the constraint's injection updates.
     """
+    names = F.array(*[F.lit(dc) for dc in INJECTIONS])
     base = F.create_map(
         *[
             item
             for dc, inj in INJECTIONS.items()
             if inj.relation in db
-            for item in (F.lit(dc), F.lit(db.rows(inj.relation)))
+            for item in (F.lit(dc), F.lit(db.rows(inj.relation)).cast("bigint"))
         ]
     )
     return (
@@ -82,103 +88,145 @@ def injection_targets(db: Database, scenarios: list[Scenario]) -> DataFrame:
         .select("*", F.explode("dcs").alias("dc"))
         .withColumn("base_rows", F.element_at(base, F.col("dc")))
         .withColumn("requested", safe_ratio_count(F.col("base_rows"), F.col("ratio_value")))
-        .select("db_id", "dc", "seed_value", "base_rows", "requested")
+        .withColumn("draw", F.col("seed_value") * 1000 + 1 + F.array_position(names, F.col("dc")) - 1)
+        .select("db_id", "dc", "draw", "base_rows", "requested")
     )
 
 
-def line_candidates(db: Database, dcs: list[str]) -> DataFrame:
-    """(dc, line key, row values) for every line a constraint's injection may change.
+def base_rows_of(db: Database, relation: str) -> DataFrame:
+    """The columns of a relation that injections and constraints use."""
+    return db[relation].select(*KEYS[relation], *_PAYLOAD[relation])
 
-    One pass over lineitem and, if a condition needs it, orders.
-    """
-    needs_orders = any("o_" in INJECTIONS[dc].eligible for dc in dcs)
-    relations = ("lineitem", "orders") if needs_orders else ("lineitem",)
-    order_values = ["o_orderdate"] if needs_orders else []
-    eligible = F.array_compact(
-        F.array(*[F.when(F.expr(INJECTIONS[dc].eligible), F.lit(dc)) for dc in dcs])
-    )
-    return join_relations(db, relations, "left").select(
-        F.explode(eligible).alias("dc"), *KEYS["lineitem"], *_LINE_PAYLOAD, *order_values
-    )
+
+def eligible_lines(db: Database, lines: DataFrame, dcs: list[str]) -> DataFrame:
+    """Lines, each drawn for a constraint ``dc``, that its injection may change."""
+    if any("o_" in INJECTIONS[dc].eligible for dc in dcs):
+        lines = join_relations({**db, "lineitem": lines}, ("lineitem", "orders"), "left").select(
+            *lines.columns, "o_orderdate", "o_orderstatus"
+        )
+    allowed = F.lit(False)
+    for dc in dcs:
+        allowed = allowed | ((F.col("dc") == dc) & F.expr(INJECTIONS[dc].eligible))
+    return lines.filter(allowed).drop("o_orderstatus")
 
 
-def supply_candidates(db: Database) -> DataFrame:
+def eligible_supplies(db: Database, supplies: DataFrame) -> DataFrame:
     """Part supplies with stock that some line and an existing part refer to.
 
-    The pairs are reduced before the shuffle, so a pair held by very many lines
-    leaves each map task once.
+    The lines' pairs are reduced before the shuffle, so a pair held by very many
+    lines leaves each map task once.
     """
     pairs = db["lineitem"].select("l_partkey", "l_suppkey").distinct()
-    key = KEYS["partsupp"]
+    same_pair = (F.col("l_partkey") == F.col("ps_partkey")) & (
+        F.col("l_suppkey") == F.col("ps_suppkey")
+    )
     return (
-        db["partsupp"]
-        .filter(INJECTIONS["DC4"].eligible)
-        .join(
-            pairs,
-            (F.col("l_partkey") == F.col("ps_partkey"))
-            & (F.col("l_suppkey") == F.col("ps_suppkey")),
-            "left_semi",
-        )
+        supplies.filter(INJECTIONS["DC4"].eligible)
+        .join(pairs, same_pair, "left_semi")
         .join(db["part"], F.col("ps_partkey") == F.col("p_partkey"), "left_semi")
-        .select(F.lit("DC4").alias("dc"), *key, "ps_availqty")
     )
 
 
+def draw_number(dc: str, seed: int) -> int:
+    """A scenario seed gives each constraint its own draw."""
+    return seed * 1000 + 1 + list(INJECTIONS).index(dc)
+
+
 def draw(
-    candidates: DataFrame,
-    keys: tuple[str, ...],
+    db: Database,
+    relation: str,
+    scenarios: list[Scenario],
     targets: DataFrame,
-    seeds: Mapping[str, list[int]],
-    at_most: int,
     cut_rows: int = CUT_ROWS,
 ) -> DataFrame:
-    """The first ``requested`` candidates of each target in hash order.
+    """The first ``requested`` eligible rows of each target in hash order.
 
     Hashes depend on (constraint, seed, key) only, so scenarios that share a seed
-    share the draw. The cut is located on hash prefixes: each pass counts rows
-    per next prefix inside the prefix that contains the cut, until that prefix
-    holds about ``cut_rows`` rows; only those are ranked, all smaller hashes are
-    taken as they are. Fewer candidates than requested takes them all.
+    share the draw, and rows beyond every cut are dropped before eligibility is
+    looked up by a join. The cut is located on hash prefixes: each pass counts
+    rows per next prefix inside the prefix that contains the cut, until that
+    prefix holds about ``cut_rows`` rows; only those are ranked, all smaller
+    hashes are taken as they are. Fewer eligible rows than requested takes all.
     """
-    by_constraint = [
-        F.when(F.col("dc") == dc, F.array(*[F.lit(s) for s in values]))
-        for dc, values in seeds.items()
-    ]
-    hashed = candidates.select(
-        "*", F.explode(F.coalesce(*by_constraint)).alias("seed_value")
-    ).withColumn("h", F.md5(F.concat_ws("|", "dc", "seed_value", *keys)))
+    dcs, draws = _draws(relation, scenarios)
+    keys = KEYS[relation]
+    hashed = (
+        base_rows_of(db, relation)
+        .withColumn("words", digest_words(F.concat_ws(",", *keys)))
+        .select("*", F.inline(literal_rows(draws)))
+        .withColumn("h", Digest(F.col("words")).draw(F.col("draw")))
+        .drop("words")
+    )
+
+    def eligible(rows: DataFrame) -> DataFrame:
+        if relation == "lineitem":
+            return eligible_lines(db, rows, dcs)
+        return eligible_supplies(db, rows)
 
-    passes = 0
-    while at_most / 16 ** (DIGITS * passes) > cut_rows:
-        passes += 1
     # One row per scenario and constraint: bounded by the scenario list.
-    cuts = targets.filter("requested > 0").select(
-        "db_id", "dc", "seed_value", F.lit("").alias("prefix"), F.col("requested").alias("rest")
+    cuts = targets.filter(F.col("dc").isin(dcs) & (F.col("requested") > 0)).select(
+        "db_id",
+        "dc",
+        "draw",
+        F.lit(0).cast("bigint").alias("prefix"),
+        F.col("requested").alias("rest"),
     )
-    for done in range(passes):
-        cuts = _narrow(hashed, cuts, DIGITS * done)
-    head = F.substring("h", 1, DIGITS * passes)
-    taken = hashed.join(F.broadcast(cuts), ["dc", "seed_value"]).filter(head <= F.col("prefix"))
-    at_cut = head == F.col("prefix")
-    lane = F.when(at_cut, F.lit("")).otherwise(F.col("h"))
+    passes = 0
+    while db.rows(relation) >> (PASS_BITS * passes) > cut_rows:
+        if passes == 0:
+            cuts = _first_pass(hashed, eligible, cuts, max(s.ratio for s in scenarios))
+        else:
+            places = F.broadcast(cuts.select(*_PLACE).distinct())
+            inside = hashed.withColumn("prefix", _prefix(PASS_BITS * passes)).join(places, _PLACE)
+            cuts = keep(_narrow(eligible(inside), cuts, PASS_BITS * passes), "cuts")
+        passes += 1
+
+    head = _prefix(PASS_BITS * passes)
+    taken = hashed.join(F.broadcast(cuts), ["dc", "draw"]).filter(head <= F.col("prefix"))
+    lane = F.when(head < F.col("prefix"), F.col("h"))
     rank = F.row_number().over(Window.partitionBy("db_id", "dc", "lane").orderBy("h", *keys))
     return (
-        taken.withColumn("lane", lane)
+        eligible(taken)
+        .withColumn("lane", lane)
         .withColumn("rank", rank)
-        .filter((F.col("lane") != "") | (F.col("rank") <= F.col("rest")))
-        .drop("h", "prefix", "rest", "lane", "rank", "seed_value")
+        .filter(F.col("lane").isNotNull() | (F.col("rank") <= F.col("rest")))
+        .drop("h", "prefix", "rest", "lane", "rank", "draw")
     )
 
 
-def _narrow(hashed: DataFrame, cuts: DataFrame, known: int) -> DataFrame:
-    """Extend every cut's prefix by the digits that contain its last row."""
-    place = ["dc", "seed_value", "prefix"]
-    open_places = cuts.select(*place).distinct()
-    counts = (
-        hashed.withColumn("prefix", F.substring("h", 1, known))
-        .join(F.broadcast(open_places), place)
-        .groupBy(*place, F.substring("h", 1, known + DIGITS).alias("next"))
-        .agg(F.count(F.lit(1)).alias("n"))
+def _draws(relation: str, scenarios: list[Scenario]) -> tuple[list[str], list[dict]]:
+    """Constraints the scenarios inject into a relation, and their distinct draws."""
+    wanted = {(dc, s.seed) for s in scenarios for dc in s.constraints}
+    pairs = sorted((dc, seed) for dc, seed in wanted if INJECTIONS[dc].relation == relation)
+    draws = [{"dc": dc, "draw": draw_number(dc, seed)} for dc, seed in pairs]
+    return sorted({dc for dc, _ in pairs}), draws
+
+
+def _first_pass(hashed: DataFrame, eligible, cuts: DataFrame, top_ratio: float) -> DataFrame:
+    """Locate the cuts among small hashes; look at all of them only if too few.
+
+    A share r of the rows lies below hash r, so four times the largest ratio is
+    normally more than enough.
+    """
+    share = min(1.0, 4 * top_ratio)
+    near = hashed.withColumn("prefix", F.lit(0).cast("bigint"))
+    if share < 1.0:
+        limit = (ceil(share * 2**PASS_BITS) + 1) << (BITS - PASS_BITS)
+        found = keep(_narrow(eligible(near.filter(F.col("h") < limit)), cuts, 0), "cuts")
+        if found.filter(F.col("prefix") == PAST_ALL).isEmpty():
+            return found
+    return keep(_narrow(eligible(near), cuts, 0), "cuts")
+
+
+def _prefix(bits: int) -> Column:
+    return F.shiftright("h", BITS - bits)
+
+
+def _narrow(rows: DataFrame, cuts: DataFrame, known: int) -> DataFrame:
+    """Extend every cut's prefix by the bits that contain its last row."""
+    place = _PLACE
+    counts = rows.groupBy(*place, _prefix(known + PASS_BITS).alias("next")).agg(
+        F.count(F.lit(1)).alias("n")
     )
     upto = F.sum("n").over(Window.partitionBy(*place).orderBy("next"))
     spans = counts.select(*place, "next", upto.alias("upto"), (upto - F.col("n")).alias("before"))
@@ -188,7 +236,7 @@ def _narrow(hashed: DataFrame, cuts: DataFrame, known: int) -> DataFrame:
     return c.join(s, [*same, inside], "left").select(
         "c.db_id",
         "c.dc",
-        "c.seed_value",
+        "c.draw",
         F.coalesce("s.next", F.lit(PAST_ALL)).alias("prefix"),
         F.when(F.col("s.next").isNull(), 0)
         .otherwise(F.col("c.rest") - F.col("s.before"))
@@ -199,27 +247,12 @@ def _narrow(hashed: DataFrame, cuts: DataFrame, known: int) -> DataFrame:
 def inject(db: Database, scenarios: list[Scenario], cut_rows: int = CUT_ROWS) -> Overlay:
     """Choose and change rows for every scenario."""
     targets = keep(injection_targets(db, scenarios), "targets")
-    used = {dc for s in scenarios for dc in s.constraints}
-    seeds = {
-        dc: sorted({s.seed for s in scenarios if dc in s.constraints})
-        for dc in INJECTIONS
-        if dc in used
-    }
     touched: dict[str, DataFrame] = {}
     for relation in INJECTED:
-        dcs = [dc for dc in seeds if INJECTIONS[dc].relation == relation]
-        if not dcs:
-            continue
-        rows = line_candidates(db, dcs) if relation == "lineitem" else supply_candidates(db)
-        drawn = draw(
-            rows,
-            KEYS[relation],
-            targets.filter(F.col("dc").isin(dcs)),
-            {dc: seeds[dc] for dc in dcs},
-            db.rows(relation),
-            cut_rows,
-        )
-        touched[relation] = keep(_after_images(drawn, dcs), f"touched-{relation}")
+        dcs, _ = _draws(relation, scenarios)
+        if dcs:
+            drawn = draw(db, relation, scenarios, targets, cut_rows)
+            touched[relation] = keep(_after_images(drawn, dcs), f"touched-{relation}")
     return Overlay(db, scenarios, targets, touched)
 
 
@@ -297,3 +330,28 @@ def violated_relation(overlay: Overlay, relation: str) -> DataFrame:
         if inj.relation == relation and name in new.columns:
             columns[inj.column] = F.coalesce(F.col(name), F.col(inj.column)).alias(inj.column)
     return base.join(new, ["db_id", *KEYS[relation]], "left").select("db_id", *columns.values())
+
+
+def narrowed(overlay: Overlay, scenarios: list[Scenario]) -> Overlay:
+    """The same overlay seen by some of its scenarios only."""
+    ids = db_ids(scenarios)
+
+    def only(df: DataFrame) -> DataFrame:
+        return df.filter(F.array_contains(ids, F.col("db_id")))
+
+    return Overlay(
+        overlay.database,
+        scenarios,
+        only(overlay.targets),
+        {rel: only(rows) for rel, rows in overlay.touched.items()},
+    )
+
+
+def first_scenarios(overlay: Overlay, limit: int) -> Overlay:
+    """The first ``limit`` scenarios by database id; 0 means all."""
+    if limit <= 0:
+        return overlay
+    spark = overlay.database.spark
+    ids = scenario_frame(spark, overlay.scenarios).select("db_id").collect()
+    order = sorted(range(len(ids)), key=lambda i: ids[i].db_id)
+    return narrowed(overlay, [overlay.scenarios[i] for i in order[:limit]])

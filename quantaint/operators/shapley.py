@@ -7,6 +7,7 @@ from math import factorial
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantaint.functions.hashing import Digest, digest_words
 from quantaint.functions.keys import tuple_id
 from quantaint.operators.supports import ANSWER, support_size
 
@@ -110,7 +111,7 @@ def sampled_shapley(
 ) -> DataFrame:
     """Estimate from random arrival orders.
 
-    In a sample every tuple arrives at a hashed time. A support is met when its
+    In a sample every tuple arrives at a hashed time in [0, 2^62). A support is met when its
     first tuple arrives, all supports when the last of these does; the tuple
     arriving then is pivotal. The first pass takes the earliest arrival within
     each support row and the maximum per (answer, sample), so nothing but one
@@ -121,18 +122,25 @@ def sampled_shapley(
     names = _maybe_broadcast(large.select(*ANSWER), answers_at_most)
     numbers = F.sequence(F.lit(1), F.lit(samples))
     members = [F.get("tuples", F.lit(i)) for i in range(widest)]
-    times = [_arrival(t["relation"], t["pk"]) for t in members]
+    words = [
+        _digest(t["relation"], t["pk"]).alias(f"t{i}") for i, t in enumerate(members)
+    ]
+    times = [Digest(F.col(f"t{i}")).draw(F.col("sample")) for i in range(widest)]
     completed = (
-        _spread(supports.join(names, ANSWER))
-        .select(*ANSWER, "tuples", F.explode(numbers).alias("sample"))
+        _spread(supports.join(names, ANSWER).select(*ANSWER, *words))
+        .select("*", F.explode(numbers).alias("sample"))
         .select(*ANSWER, "sample", (F.least(*times) if widest > 1 else times[0]).alias("first"))
         .groupBy(*ANSWER, "sample")
         .agg(F.max("first").alias("arrival"))
     )
     pivots = (
-        _spread(counts.join(names, ANSWER))
-        .select(*ANSWER, *_TID, F.explode(numbers).alias("sample"))
-        .withColumn("arrival", _arrival(F.col("relation"), F.col("pk")))
+        _spread(
+            counts.join(names, ANSWER).select(
+                *ANSWER, *_TID, _digest(F.col("relation"), F.col("pk")).alias("t0")
+            )
+        )
+        .select("*", F.explode(numbers).alias("sample"))
+        .select(*ANSWER, *_TID, "sample", times[0].alias("arrival"))
         .join(
             _maybe_broadcast(completed, answers_at_most * samples), [*ANSWER, "sample", "arrival"]
         )
@@ -152,15 +160,7 @@ def _spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(3 * rows.sparkSession.sparkContext.defaultParallelism)
 
 
-def _arrival(relation: Column, pk: Column) -> Column:
-    """Hashed arrival time in [0, 2^60), null for a missing tuple."""
-    text = F.concat(
-        F.col("sample").cast("string"),
-        F.lit("|"),
-        F.col("qname"),
-        F.lit("|"),
-        F.col("answervalue"),
-        F.lit("|"),
-        tuple_id(relation, pk),
-    )
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+def _digest(relation: Column, pk: Column) -> Column:
+    """Hash words of a tuple within an answer, null for a missing tuple."""
+    parts = (F.col("qname"), F.col("answervalue"), tuple_id(relation, pk))
+    return digest_words(F.concat(parts[0], F.lit("|"), parts[1], F.lit("|"), parts[2]))
