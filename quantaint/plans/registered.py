@@ -16,7 +16,7 @@ from quantaint.operators.scenarios import Scenario
 from quantaint.operators.shapley import exact_shapley, sampled_shapley
 from quantaint.operators.supports import ANSWER, QUERIES, answers_at_most
 from quantaint.plans.icqa import answer_scores, responsibility_weights, scores_from_stored
-from quantaint.plans.pipeline import Experiment
+from quantaint.plans.experiment import Experiment
 from quantaint.schema import KEYS, MEASURES, SCENARIO_COLUMNS
 from quantaint.sources import delimited, tables, violation_files
 from quantaint.sources.store import fresh_path

@@ -24,17 +24,19 @@ def _numbers(pk: Column) -> Column:
     return F.transform(F.split(pk, ","), lambda part: part.cast("bigint"))
 
 
+def _keys_of(relation: str) -> Column:
+    """The set's keys in one relation, null if it has none."""
+    many = len(KEYS[relation]) > 1
+    own = F.transform(
+        F.filter("tuples", lambda t: t["relation"] == relation),
+        lambda t: _numbers(t["pk"]) if many else t["pk"].cast("bigint"),
+    )
+    return F.when(F.size(own) > 0, own)
+
+
 def keyed_layout(sets: DataFrame) -> DataFrame:
     """One field per relation; single-column keys are plain numbers."""
-    fields = []
-    for rel in _RELATIONS:
-        own = F.transform(
-            F.filter("tuples", lambda t, rel=rel: t["relation"] == rel),
-            lambda t, rel=rel: _numbers(t["pk"])
-            if len(KEYS[rel]) > 1
-            else t["pk"].cast("bigint"),
-        )
-        fields.append(F.when(F.size(own) > 0, own).alias(rel))
+    fields = [_keys_of(rel).alias(rel) for rel in _RELATIONS]
     return split_db_id(sets).select(*SCENARIO_COLUMNS, "dc", F.struct(*fields).alias("tuples"))
 
 
@@ -70,11 +72,11 @@ def read_keyed(spark: SparkSession, path: str, whole_file: bool = False) -> Data
     array under "mis", per file. Anything else is an error. Relations may hold
     one key, a list of numbers or a list of lists; null relations are skipped.
     """
-    one = "dc string, tuples map<string, string>"
-    schema = f"{one}, mis array<struct<{one.replace(' string', ': string').replace('tuples ', 'tuples: ')}>>"
-    rows = (
-        spark.read.schema(f"{schema}, {_LABELS}").option("multiLine", whole_file).json(path)
+    schema = (
+        "dc string, tuples map<string, string>, "
+        "mis array<struct<dc: string, tuples: map<string, string>>>, " + _LABELS
     )
+    rows = spark.read.schema(schema).option("multiLine", whole_file).json(path)
     record = F.struct("dc", "tuples")
     sets = rows.select(
         *SCENARIO_COLUMNS,
@@ -97,8 +99,7 @@ def read_keyed(spark: SparkSession, path: str, whole_file: bool = False) -> Data
 
 
 def _key_items(text: Column) -> Column:
-    is_list = F.startswith(F.ltrim(text), F.lit("["))
-    return F.when(is_list, F.from_json(text, "array<string>")).otherwise(F.array(text))
+    return F.when(F.ltrim(text).startswith("["), F.from_json(text, "array<string>")).otherwise(F.array(text))
 
 
 def read_listed(spark: SparkSession, path: str) -> DataFrame:
