@@ -28,7 +28,11 @@ def _words(text: str) -> str:
 
 
 def _value(k: str) -> str:
-    return f"((w1 * {k} + w2) % {P}) * 2147483648 + ((w3 * {k} + w4) % {P})"
+    def stirred(a: str, b: str) -> str:
+        x = f"(({a} * {k} + {b}) % {P})"
+        return f"(xor({x}, {x} >> 16) * 73244475 % {P})"
+
+    return f"{stirred('w1', 'w2')} * 2147483648 + {stirred('w3', 'w4')}"
 
 
 _SCENARIO_ROWS = ", ".join(

@@ -1,9 +1,10 @@
 """Cheap families of uniform hashes for sampling.
 
-A text is digested once into four words; draw number k then costs two
-multiplications: (a k + b) mod P for two word pairs. Within one draw the values
-of different texts are independent and uniform, and the values of any two draws
-are independent, so sample means have the variance of independent draws.
+A text is digested once into four words; draw number k then costs a few integer
+operations: (a k + b) mod P for two word pairs, each stirred by a shift and a
+product. Within one draw the values of different texts are independent and
+uniform. The stirring removes the linear relations between draws: without it two
+texts with nearly proportional words keep their order over many draws.
 """
 
 from __future__ import annotations
@@ -13,9 +14,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# A Mersenne prime whose products fit in a bigint, and the number
-# of bits of a hash (two residues).
+# A Mersenne prime whose products fit in a bigint, the stirring
+# shift and multiplier, and the number of bits of a hash (two residues).
 P = 2**31 - 1
+SHIFT = 16
+MULTIPLIER = 73244475
 BITS = 62
 
 
@@ -36,6 +39,10 @@ class Digest:
 
     def draw(self, k: Column) -> Column:
         """The text's value in [0, 2^62) for draw ``k``."""
-        high = (self.words["w1"] * k + self.words["w2"]) % P
-        low = (self.words["w3"] * k + self.words["w4"]) % P
+        high = _stir((self.words["w1"] * k + self.words["w2"]) % P)
+        low = _stir((self.words["w3"] * k + self.words["w4"]) % P)
         return high * F.lit(2**31) + low
+
+
+def _stir(x: Column) -> Column:
+    return x.bitwiseXOR(F.shiftright(x, SHIFT)) * MULTIPLIER % P

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantaint.functions.keys import pk_text, tuple_id, tuple_struct
@@ -120,23 +120,82 @@ def witness_rows(
     )
 
 
+def shared_pass_rows(
+    tables: Mapping[str, DataFrame],
+    constraints: list[DenialConstraint],
+    carry: tuple[str, ...] = (),
+) -> DataFrame:
+    """Violating combinations of several constraints, with their name in ``dc``.
+
+    Constraints that read the same changed relation and otherwise only tuples
+    this relation refers to need one join: references are followed by left joins,
+    which keep every row once, and a constraint holds only where all its tuples
+    exist.
+    """
+    if len(constraints) == 1:
+        (only,) = constraints
+        return witness_rows(tables, only, carry).withColumn("dc", F.lit(only.name))
+    start = constraints[0].varying_relation
+    relations = tuple(dict.fromkeys([start, *(r for c in constraints for r in c.relations)]))
+    violated = [
+        reduce(
+            lambda a, b: a & b,
+            [F.col(key).isNotNull() for rel in c.relations for key in KEYS[rel]],
+            F.expr(c.violated),
+        )
+        for c in constraints
+    ]
+    names = [F.when(bad, F.lit(c.name)) for c, bad in zip(constraints, violated)]
+    return (
+        join_relations(tables, relations, "left")
+        .filter(reduce(lambda a, b: a | b, violated))
+        .select(
+            *carry,
+            *[key for rel in relations for key in KEYS[rel]],
+            F.explode(F.array(*names)).alias("dc"),
+        )
+        .filter("dc IS NOT NULL")
+    )
+
+
+def passes(constraints: list[DenialConstraint]) -> list[list[DenialConstraint]]:
+    """Split constraints into groups that ``shared_pass_rows`` can evaluate together."""
+    groups: dict[str, list[DenialConstraint]] = {}
+    for c in constraints:
+        start = c.varying_relation
+        shareable = start is not None and all(
+            determines(start, rel, (start, *c.relations)) for rel in c.relations
+        )
+        groups.setdefault(start if shareable else f"{c.name} alone", []).append(c)
+    return list(groups.values())
+
+
 def as_violation_sets(
-    rows: DataFrame, constraint: DenialConstraint, carry: tuple[str, ...] = ()
+    rows: DataFrame, constraints: list[DenialConstraint], carry: tuple[str, ...] = ()
 ) -> DataFrame:
     """Nested form: one row per violating set with its tuples.
 
     ``comp`` is the hub tuple's key; sets that share it are connected.
     """
-    members = [tuple_struct(rel) for rel in constraint.relations]
-    identity = F.concat_ws(
-        "|", *[tuple_id(F.lit(rel), pk_text(rel)) for rel in constraint.relations]
-    )
+
+    def per_constraint(build) -> Column:
+        *others, last = constraints
+        return reduce(
+            lambda rest, c: F.when(F.col("dc") == c.name, build(c)).otherwise(rest),
+            others,
+            build(last),
+        )
+
+    def identity(c: DenialConstraint) -> Column:
+        names = [tuple_id(F.lit(rel), pk_text(rel)) for rel in c.relations]
+        return names[0] if len(names) == 1 else F.concat_ws("|", *names)
+
     return rows.select(
         *carry,
-        F.lit(constraint.name).alias("dc"),
-        identity.alias("mis_id"),
-        pk_text(constraint.hub).alias("comp"),
-        F.array(*members).alias("tuples"),
+        "dc",
+        per_constraint(identity).alias("mis_id"),
+        per_constraint(lambda c: pk_text(c.hub)).alias("comp"),
+        per_constraint(lambda c: F.array(*[tuple_struct(r) for r in c.relations])).alias("tuples"),
     )
 
 

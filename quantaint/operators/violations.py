@@ -11,7 +11,8 @@ from quantaint.operators.constraints import (
     CONSTRAINTS,
     DenialConstraint,
     as_violation_sets,
-    witness_rows,
+    passes,
+    shared_pass_rows,
 )
 from quantaint.operators.inject import Overlay
 from quantaint.operators.scenarios import db_ids
@@ -20,7 +21,7 @@ from quantaint.schema import KEYS
 ALL_CONSTRAINTS: tuple[str, ...] = tuple(CONSTRAINTS)
 
 
-def scenario_witness_rows(overlay: Overlay, constraint: DenialConstraint) -> DataFrame:
+def scenario_rows(overlay: Overlay, constraints: list[DenialConstraint]) -> DataFrame:
     """Violating key combinations of every scenario's database.
 
     A combination either contains a changed row (found from the touched rows) or
@@ -29,16 +30,16 @@ def scenario_witness_rows(overlay: Overlay, constraint: DenialConstraint) -> Dat
     copied, and a clean base contributes nothing.
     """
     db = overlay.database
-    base = witness_rows(db, constraint).select(
+    base = shared_pass_rows(db, constraints).select(
         "*", F.explode(db_ids(overlay.scenarios)).alias("db_id")
     )
-    varying = constraint.varying_relation
+    varying = constraints[0].varying_relation
     if varying not in overlay.touched:
         return base
     touched = overlay.touched[varying]
     key = ["db_id", *KEYS[varying]]
     untouched = base.join(touched.select(*key), key, "left_anti")
-    changed = witness_rows({**db, varying: touched}, constraint, carry=("db_id",))
+    changed = shared_pass_rows({**db, varying: touched}, constraints, carry=("db_id",))
     return changed.unionByName(untouched)
 
 
@@ -47,10 +48,8 @@ def violation_sets(overlay: Overlay, dcs: tuple[str, ...] = ALL_CONSTRAINTS) ->
     return reduce(
         DataFrame.unionByName,
         [
-            as_violation_sets(
-                scenario_witness_rows(overlay, CONSTRAINTS[dc]), CONSTRAINTS[dc], ("db_id",)
-            )
-            for dc in dcs
+            as_violation_sets(scenario_rows(overlay, together), together, ("db_id",))
+            for together in passes([CONSTRAINTS[dc] for dc in dcs])
         ],
     )
 

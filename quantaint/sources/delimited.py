@@ -15,11 +15,13 @@ def read_relation(spark: SparkSession, path: str, relation: str) -> DataFrame:
     """Read text fields, then cast; a short row or a bad value is an error.
 
     The schema has one more field than the relation because rows end with a
-    separator; it is never selected.
+    separator; it is never selected. Whole rows are parsed (no column pruning),
+    otherwise a short row would pass as one with empty fields.
     """
     columns = columns_of(relation)
     fields = [f"c{i} string" for i in range(1, len(columns) + 2)]
-    rows = spark.read.csv(path, schema=", ".join(fields), mode="FAILFAST", **_FORMAT)
+    reader = spark.read.options(mode="FAILFAST", columnPruning="false", **_FORMAT)
+    rows = reader.csv(path, schema=", ".join(fields))
     return rows.select(
         *[F.col(f"c{i}").cast(kind).alias(name) for i, (name, kind) in enumerate(columns, 1)]
     )
