@@ -20,11 +20,11 @@ SAMPLES = 10_000
 
 
 def _words(text: str) -> str:
-    parts = [
-        f"('0x' || substr(md5({text}), {at}, 8))::BIGINT % {P} AS w{i}"
-        for i, at in enumerate((1, 9, 17, 25), 1)
-    ]
-    return ", ".join(parts)
+    halves = [f"('0x' || substr(md5({text}), {at}, 15))::BIGINT" for at in (1, 17)]
+    return (
+        f"{halves[0]} % {P} AS w1, {halves[0]} >> 31 AS w2, "
+        f"{halves[1]} % {P} AS w3, {halves[1]} >> 31 AS w4"
+    )
 
 
 def _value(k: str) -> str:

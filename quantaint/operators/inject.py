@@ -13,7 +13,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantaint.functions.hashing import BITS, Digest, digest_words
+from quantaint.functions.hashing import BITS, digest_words, with_draws
 from quantaint.functions.labels import safe_ratio_count
 from quantaint.operators.constraints import INJECTED, join_relations
 from quantaint.operators.scenarios import Scenario, db_ids, literal_rows, scenario_frame
@@ -150,13 +150,12 @@ def draw(
     """
     dcs, draws = _draws(relation, scenarios)
     keys = KEYS[relation]
-    hashed = (
+    worded = (
         base_rows_of(db, relation)
-        .withColumn("words", digest_words(F.concat_ws(",", *keys)))
+        .withColumn("words", digest_words(f"concat_ws(',', {', '.join(keys)})"))
         .select("*", F.inline(literal_rows(draws)))
-        .withColumn("h", Digest(F.col("words")).draw(F.col("draw")))
-        .drop("words")
     )
+    hashed = with_draws(worded, {"h": "words"}, "draw").drop("words")
 
     def eligible(rows: DataFrame) -> DataFrame:
         if relation == "lineitem":

@@ -7,7 +7,7 @@ from math import factorial
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantaint.functions.hashing import Digest, digest_words
+from quantaint.functions.hashing import digest_words, with_draws
 from quantaint.functions.keys import tuple_id
 from quantaint.operators.supports import ANSWER, support_size
 
@@ -121,29 +121,33 @@ def sampled_shapley(
     large = support_size(counts).filter(F.col("support_size") > exact_tuples)
     names = _maybe_broadcast(large.select(*ANSWER), answers_at_most)
     numbers = F.sequence(F.lit(1), F.lit(samples))
-    members = [F.get("tuples", F.lit(i)) for i in range(widest)]
-    words = [
-        _digest(t["relation"], t["pk"]).alias(f"t{i}") for i, t in enumerate(members)
-    ]
-    times = [Digest(F.col(f"t{i}")).draw(F.col("sample")) for i in range(widest)]
+    words = [_digest(f"get(tuples, {i})").alias(f"t{i}") for i in range(widest)]
+    arrivals = {f"u{i}": f"t{i}" for i in range(widest)}
+    met = F.least(*arrivals) if widest > 1 else F.col("u0")
+    sampled_supports = _spread(supports.join(names, ANSWER).select(*ANSWER, *words)).select(
+        "*", F.explode(numbers).alias("sample")
+    )
     completed = (
-        _spread(supports.join(names, ANSWER).select(*ANSWER, *words))
-        .select("*", F.explode(numbers).alias("sample"))
-        .select(*ANSWER, "sample", (F.least(*times) if widest > 1 else times[0]).alias("first"))
+        with_draws(sampled_supports, arrivals, "sample")
         .groupBy(*ANSWER, "sample")
-        .agg(F.max("first").alias("arrival"))
+        .agg(F.max(met).alias("arrival"))
     )
-    pivots = (
+    # One list of ``samples`` numbers per answer, laid beside the answer's tuples.
+    listed = completed.groupBy(*ANSWER).agg(
+        F.collect_list(F.struct("sample", "arrival")).alias("completed")
+    )
+    sampled_tuples = (
         _spread(
-            counts.join(names, ANSWER).select(
-                *ANSWER, *_TID, _digest(F.col("relation"), F.col("pk")).alias("t0")
+            counts.select(
+                *ANSWER, *_TID, _digest("named_struct('relation', relation, 'pk', pk)").alias("t0")
             )
         )
-        .select("*", F.explode(numbers).alias("sample"))
-        .select(*ANSWER, *_TID, "sample", times[0].alias("arrival"))
-        .join(
-            _maybe_broadcast(completed, answers_at_most * samples), [*ANSWER, "sample", "arrival"]
-        )
+        .join(_maybe_broadcast(listed, answers_at_most * samples), ANSWER)
+        .select(*ANSWER, *_TID, "t0", F.inline("completed"))
+    )
+    pivots = (
+        with_draws(sampled_tuples, {"u0": "t0"}, "sample")
+        .filter("u0 = arrival")
         .groupBy(*ANSWER, *_TID)
         .agg(F.count(F.lit(1)).alias("hits"))
     )
@@ -160,7 +164,7 @@ def _spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(3 * rows.sparkSession.sparkContext.defaultParallelism)
 
 
-def _digest(relation: Column, pk: Column) -> Column:
+def _digest(member: str) -> Column:
     """Hash words of a tuple within an answer, null for a missing tuple."""
-    parts = (F.col("qname"), F.col("answervalue"), tuple_id(relation, pk))
-    return digest_words(F.concat(parts[0], F.lit("|"), parts[1], F.lit("|"), parts[2]))
+    text = f"concat(qname, '|', answervalue, '|', {member}.relation, '#', {member}.pk)"
+    return F.when(F.expr(f"{member} IS NOT NULL"), digest_words(text))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +13,7 @@ from quantaint.operators.scenarios import Scenario, db_ids, split_db_id
 from quantaint.operators.shapley import EXACT_TUPLES, SAMPLES, shapley_weights
 from quantaint.operators.supports import ANSWER, QUERIES, QuerySpec, answers, answers_at_most
 from quantaint.schema import MEASURES, SCENARIO_COLUMNS
+from quantaint.sources.store import keep
 
 AGGREGATIONS: dict[str, str] = {"prov": "cnt", "resp": "rho", "shap": "phi"}
 
@@ -38,8 +38,11 @@ def answer_weights(
     exact_tuples: int = EXACT_TUPLES,
     samples: int = SAMPLES,
 ) -> DataFrame:
-    """(qname, answervalue, relation, pk) with the weights the scores need."""
-    counts = tuple_counts(supports, ANSWER)
+    """(qname, answervalue, relation, pk) with the weights the scores need.
+
+    The per-tuple counts feed every weight and are kept as a table.
+    """
+    counts = keep(tuple_counts(supports, ANSWER), "answer-tuples")
     tid = [*ANSWER, "relation", "pk"]
     weights = counts.select(*tid, "cnt")
     if "resp" in aggregations:
@@ -138,7 +141,3 @@ def scores_from_stored(flat_supports: DataFrame, measures: DataFrame) -> DataFra
     wide = sums.agg(F.sum("value"))
     columns = [F.coalesce(m, F.lit(0.0)).alias(f"icqa_prov_{m.lower()}") for m in MEASURES]
     return wide.select(*SCENARIO_COLUMNS, "qname", "answer_id", "answervalue", *columns)
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

@@ -33,7 +33,8 @@ SCENARIOS = [
 
 def hash_of(key: tuple, draw: int) -> int:
     digest = hashlib.md5(",".join(map(str, key)).encode()).hexdigest()
-    w = [int(digest[i : i + 8], 16) % P for i in (0, 8, 16, 24)]
+    low, high = int(digest[:15], 16), int(digest[16:31], 16)
+    w = [low % P, low >> 31, high % P, high >> 31]
 
     def stirred(x: int) -> int:
         return (x ^ (x >> SHIFT)) * MULTIPLIER % P
