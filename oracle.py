@@ -691,7 +691,8 @@ def statements() -> dict[str, str]:
     add("icqa_prov", ("listed", "scen", "sums"), _scores(("prov",)))
     add("icqa_resp", ("listed", "scen", "sums"), _scores(("resp",)))
     add("icqa_shap", ("listed", "scen", "sums"), _scores(("shap",)))
-    add("icqa_all", ("listed", "scen", "sums"), _scores(("prov", "resp", "shap")))
+    for name in ("icqa_all", "icqa_all_from_stored"):
+        add(name, ("listed", "scen", "sums"), _scores(("prov", "resp", "shap")))
     add(
         "icqa_prov_stored", ("listed", "scen", "sums"),
         _scores(

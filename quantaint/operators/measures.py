@@ -130,3 +130,14 @@ def normalise_measures(stored: DataFrame) -> DataFrame:
         raise ValueError(f"missing columns in measures: {missing}")
     text = [F.col(c).cast("string").alias(c) for c in needed[:-1]]
     return stored.select(*text, F.upper(F.col("measure").cast("string")).alias("measure"), "value")
+
+
+def widen_measures(stored: DataFrame) -> DataFrame:
+    """Normalised stored scores back to one row per tuple and scenario."""
+    wide = (
+        stored.groupBy(F.concat_ws("/", *SCENARIO_COLUMNS).alias("db_id"), "relation", "pk")
+        .pivot("measure", list(MEASURES))
+        .agg(F.sum("value"))
+    )
+    names = [F.coalesce(m, F.lit(0.0)).alias(m.lower()) for m in MEASURES]
+    return wide.select(*_TUPLE, *names)

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantaint.functions.keys import pk_text, tuple_id, tuple_struct
+from quantaint.functions.keys import pk_text, tuple_struct
 from quantaint.operators.constraints import INJECTED, join_relations
 from quantaint.operators.numbering import GROUP_ROWS, number_rows
 from quantaint.schema import KEYS, determines
@@ -205,15 +205,26 @@ def support_size(counts: DataFrame) -> DataFrame:
     return counts.groupBy(*ANSWER).agg(F.count(F.lit(1)).alias("support_size"))
 
 
-def nest_supports(flat: DataFrame, group: tuple[str, ...]) -> DataFrame:
-    """Stored (support, tuple) rows back to one row per support.
+def nest_supports(flat: DataFrame, specs: Mapping[str, QuerySpec] = QUERIES) -> DataFrame:
+    """Stored (support, tuple) rows of one scenario back to ``support_sets`` form.
 
-    A group here is a single support: one tuple per joined relation.
+    A group is a single support, one tuple per joined relation.
     """
-    return flat.groupBy(*group, "support_id").agg(
-        F.collect_set(F.struct(F.col("rel").alias("relation"), "pk")).alias("tuples")
+    hub = reduce(
+        lambda other, spec: F.when(F.col("qname") == spec.name, F.lit(spec.hub)).otherwise(other),
+        specs.values(),
+        F.lit(None).cast("string"),
+    )
+    member = F.struct(F.col("rel").alias("relation"), "pk")
+    return (
+        flat.groupBy(*ANSWER, "support_id")
+        .agg(F.collect_list(member).alias("tuples"))
+        .withColumn("hub", hub)
+        .select(
+            *ANSWER,
+            F.element_at(F.filter("tuples", lambda t: t["relation"] == F.col("hub")), 1)["pk"].alias(
+                "comp"
+            ),
+            "tuples",
+        )
     )
-
-
-def tuple_name(relation: str = "relation", pk: str = "pk") -> F.Column:
-    return tuple_id(F.col(relation), F.col(pk))

@@ -19,7 +19,7 @@ from quantaint.plans.icqa import answer_scores, responsibility_weights, scores_f
 from quantaint.plans.experiment import Experiment
 from quantaint.schema import KEYS, MEASURES, SCENARIO_COLUMNS
 from quantaint.sources import delimited, tables, violation_files
-from quantaint.sources.store import fresh_path
+from quantaint.sources.store import fresh_path, keep
 from quantaint.sources.testdata import clean_database, raw_database
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -379,7 +379,7 @@ for _spec in QUERIES.values():
     _registry[f"answers_{_spec.name.lower()}"] = _answers(_spec)
 
 
-def _stored_supports(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _stored_supports(spark: SparkSession, sf_dir: str, scenario=None) -> DataFrame:
     """Every query's supports written per scenario and read back as one table."""
     db = clean_database(spark, sf_dir)
     path = fresh_path(spark, "stored-supports")
@@ -389,7 +389,7 @@ def _stored_supports(spark: SparkSession, sf_dir: str) -> DataFrame:
         merged = rows if merged is None else merged.unionByName(rows)
     labelled = tables.with_scenarios(merged, SCENARIOS)
     tables.write_table(labelled, path, ("qname",))
-    return tables.read_table(spark, path, labelled)
+    return tables.read_table(spark, path, labelled, scenario)
 
 
 @query("support_merged")
@@ -494,3 +494,14 @@ def icqa_from_stored(spark, sf_dir):
 def shap_tasks(spark, sf_dir):
     measured = _scores(spark, sf_dir, ("prov",), rows="measured")
     return measured.select(*SCENARIO_COLUMNS, "qname", "answer_id")
+
+
+@query("icqa_all_from_stored")
+def icqa_all_from_stored(spark, sf_dir):
+    """All scores from written supports (one scenario's folder) and written measures."""
+    first = SCENARIOS[0]
+    folder = {"scale": first.scale, "subset": first.subset}
+    flat = _stored_supports(spark, sf_dir, folder).filter(F.col("ratio") == "0p1pct")
+    sets = keep(supports.nest_supports(flat), "nested-supports")
+    wide = measures.widen_measures(_stored_measures(spark, sf_dir))
+    return _rounded(answer_scores(sets, wide, SCENARIOS), *_score_names("prov", "resp", "shap"))

@@ -28,6 +28,8 @@ _LINE_ORDER = [
     "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
 ]
 
+_WRITTEN = ("partsupp", "orders", "lineitem")
+
 _databases: dict[tuple[str, str], Database] = {}
 
 
@@ -46,12 +48,19 @@ def raw_database(spark: SparkSession, sf_dir: str) -> Database:
 
 
 def clean_database(spark: SparkSession, sf_dir: str) -> Database:
-    """The completed relations, written once per application and directory."""
+    """The completed relations of a directory.
+
+    Those that take more than a projection, or whose dates are filtered on, are
+    written once per application; filters then reach their files.
+    """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _databases:
         tables = derive_tables(spark, sf_dir)
         _databases[key] = Database(
-            {name: keep(df, f"relation-{name}") for name, df in tables.items()}
+            {
+                name: keep(df, f"relation-{name}") if name in _WRITTEN else df
+                for name, df in tables.items()
+            }
         )
     return _databases[key]
 
