@@ -142,8 +142,8 @@ def draw(
     """The first ``requested`` eligible rows of each target in hash order.
 
     Hashes depend on (constraint, seed, key) only, so scenarios that share a seed
-    share the draw, and rows beyond every cut are dropped before eligibility is
-    looked up by a join. The cut is located on hash prefixes: each pass counts
+    share the draw, and rows far beyond every cut are dropped before eligibility
+    is looked up by a join. The cut is located on hash prefixes: each pass counts
     rows per next prefix inside the prefix that contains the cut, until that
     prefix holds about ``cut_rows`` rows; only those are ranked, all smaller
     hashes are taken as they are. Fewer eligible rows than requested takes all.
@@ -173,20 +173,21 @@ def draw(
     passes = 0
     while db.rows(relation) >> (PASS_BITS * passes) > cut_rows:
         if passes == 0:
-            cuts = _first_pass(hashed, eligible, cuts, max(s.ratio for s in scenarios))
+            rows, cuts = _first_pass(hashed, eligible, cuts, max(s.ratio for s in scenarios))
         else:
             places = F.broadcast(cuts.select(*_PLACE).distinct())
-            inside = hashed.withColumn("prefix", _prefix(PASS_BITS * passes)).join(places, _PLACE)
-            cuts = keep(_narrow(eligible(inside), cuts, PASS_BITS * passes), "cuts")
+            inside = rows.withColumn("prefix", _prefix(PASS_BITS * passes)).join(places, _PLACE)
+            cuts = keep(_narrow(inside, cuts, PASS_BITS * passes), "cuts")
         passes += 1
+    if passes == 0:
+        rows = eligible(hashed)
 
     head = _prefix(PASS_BITS * passes)
-    taken = hashed.join(F.broadcast(cuts), ["dc", "draw"]).filter(head <= F.col("prefix"))
+    taken = rows.join(F.broadcast(cuts), ["dc", "draw"]).filter(head <= F.col("prefix"))
     lane = F.when(head < F.col("prefix"), F.col("h"))
     rank = F.row_number().over(Window.partitionBy("db_id", "dc", "lane").orderBy("h", *keys))
     return (
-        eligible(taken)
-        .withColumn("lane", lane)
+        taken.withColumn("lane", lane)
         .withColumn("rank", rank)
         .filter(F.col("lane").isNotNull() | (F.col("rank") <= F.col("rest")))
         .drop("h", "prefix", "rest", "lane", "rank", "draw")
@@ -201,20 +202,26 @@ def _draws(relation: str, scenarios: list[Scenario]) -> tuple[list[str], list[di
     return sorted({dc for dc, _ in pairs}), draws
 
 
-def _first_pass(hashed: DataFrame, eligible, cuts: DataFrame, top_ratio: float) -> DataFrame:
-    """Locate the cuts among small hashes; look at all of them only if too few.
+def _first_pass(
+    hashed: DataFrame, eligible, cuts: DataFrame, top_ratio: float
+) -> tuple[DataFrame, DataFrame]:
+    """Keep the eligible rows that can be drawn and locate the cuts among them.
 
     A share r of the rows lies below hash r, so four times the largest ratio is
-    normally more than enough.
+    normally more than enough; if too few of these rows are eligible, all rows
+    are looked at. The base tables are read once either way, later steps start
+    from the kept rows.
     """
     share = min(1.0, 4 * top_ratio)
-    near = hashed.withColumn("prefix", F.lit(0).cast("bigint"))
+    limit = (ceil(share * 2**PASS_BITS) + 1) << (BITS - PASS_BITS)
+    start = F.lit(0).cast("bigint")
     if share < 1.0:
-        limit = (ceil(share * 2**PASS_BITS) + 1) << (BITS - PASS_BITS)
-        found = keep(_narrow(eligible(near.filter(F.col("h") < limit)), cuts, 0), "cuts")
+        rows = keep(eligible(hashed.filter(F.col("h") < limit)), "near-rows")
+        found = keep(_narrow(rows.withColumn("prefix", start), cuts, 0), "cuts")
         if found.filter(F.col("prefix") == PAST_ALL).isEmpty():
-            return found
-    return keep(_narrow(eligible(near), cuts, 0), "cuts")
+            return rows, found
+    rows = keep(eligible(hashed), "eligible-rows")
+    return rows, keep(_narrow(rows.withColumn("prefix", start), cuts, 0), "cuts")
 
 
 def _prefix(bits: int) -> Column:
