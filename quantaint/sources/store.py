@@ -10,17 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 _local_roots: dict[str, str] = {}
 
 
-def shared_root(spark: SparkSession) -> str | None:
-    """Folder for stage tables, or None when a cluster has not named one.
+def shared_root(spark: SparkSession) -> str:
+    """Folder for stage tables, readable by the driver and all executors.
 
-    A temporary folder is used only in local mode, where every task can see it.
+    It is ``spark.checkpoint.dir``. Only local mode may leave it unset: there all
+    tasks run in one process and see a temporary folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
-        return root
+        return root.rstrip("/")
     context = spark.sparkContext
-    if not context.master.startswith("local"):
-        return None
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     app = context.applicationId
     if app not in _local_roots:
         _local_roots[app] = tempfile.mkdtemp(prefix="quantaint-")
@@ -28,22 +29,13 @@ def shared_root(spark: SparkSession) -> str | None:
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    root = shared_root(spark)
-    if root is None:
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     app = spark.sparkContext.applicationId
-    return f"{root}/quantaint/{app}/{label}-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/quantaint/{app}/{label}-{uuid.uuid4().hex}"
 
 
 def keep(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Write ``df`` and return the written table; later plans start from its scan.
-
-    Without a shared folder the frame is returned as it is: the result is the
-    same, the stage is just recomputed by whoever uses it.
-    """
+    """Write ``df`` and return the written table; later plans start from its scan."""
     spark = df.sparkSession
-    if shared_root(spark) is None:
-        return df
     path = fresh_path(spark, label)
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
