@@ -1,10 +1,12 @@
 """Whole-text encoding with a public tokenizer, one dictionary look-up per word.
 
 The tokenizer files used here never form a token across the border between a
-character that is no blank and a blank. So a text is cut at these borders, each
-distinct piece is encoded once by the library and remembered, and the ids of a
-text are the joined ids of its pieces. Texts with unusual blanks (anything but
-space, tab, line feed and carriage return) are encoded in one go.
+character that is no blank and a blank, nor between a letter and one of a few marks.
+So a text is cut at single blanks, each distinct piece is encoded once by the
+library and remembered, and the ids of a text are the joined ids of its pieces.
+A piece of plain letters skips the library's normaliser and splitter, whose outcome
+is known for it, and goes to the library's model at once. Texts with unusual blanks
+(anything but space, tab, line feed and carriage return) are encoded in one go.
 
 Strings of special tokens inside a text count as ordinary text.
 """
@@ -13,16 +15,22 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from functools import lru_cache
 
 import numpy as np
 
-_PIECE = re.compile("[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 _UNUSUAL_BLANK = re.compile(
     r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]"
 )
-# The memory is emptied when it holds this many pieces; longer pieces are not kept.
-_REMEMBERED = 250_000
+# A space beside another blank: the text is then cut before whole runs of blanks.
+_RUN = re.compile(r" [ \t\n\r]|[\t\n\r] | \Z")
+_PIECE = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
+_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+# Marks that end a run of letters in every file and never start a contraction.
+_MARKS = frozenset(".,;:!?|*#$%&")
+# Each memory is emptied when it holds this many pieces; longer pieces are not kept.
+_REMEMBERED = 300_000
 _LONGEST = 48
 
 
@@ -35,7 +43,15 @@ class Encoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
-        self._known: dict[str, bytes] = {}
+        # How the file treats a plain letter, alone and after a space.
+        split = self._tokenizer.pre_tokenizer.pre_tokenize_str
+        normal = self._tokenizer.normalizer.normalize_str if self._tokenizer.normalizer else str
+        letters = [chr(x) for x in range(256) if _PLAIN.fullmatch(chr(x))]
+        self.shown = {ord(x): split(normal(x))[0][0] for x in letters}
+        space = split(normal(" a"))[0][0].removesuffix("a")
+        self._drops_blanks = not space
+        self._bare = _Memory(self, "", "", None)
+        self._spaced = _Memory(self, " ", space, self._bare)
 
     @property
     def size(self) -> int:
@@ -46,24 +62,52 @@ class Encoder:
         if not text:
             return b""
         if _UNUSUAL_BLANK.search(text):
-            return self._encode_all([text])[0]
-        pieces = _PIECE.findall(text)
-        known = self._known
-        try:
-            return b"".join([known[piece] for piece in pieces])
-        except KeyError:
-            pass
-        if len(known) > _REMEMBERED:
-            known.clear()
-        new = [piece for piece in set(pieces) if piece not in known]
-        found = dict(zip(new, self._encode_all(new), strict=True))
-        joined = b"".join([found[x] if x in found else known[x] for x in pieces])
-        known.update((k, v) for k, v in found.items() if len(k) <= _LONGEST)
-        return joined
-
-    def _encode_all(self, texts: list[str]) -> list[bytes]:
-        encoded = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in encoded]
+            return self.general(text)
+        for memory in (self._bare, self._spaced):
+            if len(memory) > _REMEMBERED:
+                memory.clear()
+        if self._drops_blanks:
+            return b"".join(map(self._bare.__getitem__, text.split()))
+        if _RUN.search(text):
+            return b"".join(map(self._bare.__getitem__, _PIECE.findall(text)))
+        first, *rest = text.split(" ")
+        return self._bare[first] + b"".join(map(self._spaced.__getitem__, rest))
+
+    def general(self, text: str) -> bytes:
+        found = self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        return np.array(found, dtype="<u4").tobytes()
+
+    def model(self, shown: str) -> bytes:
+        found = [t.id for t in self._tokenizer.model.tokenize(shown)]
+        return struct.pack(f"<{len(found)}I", *found)
+
+
+class _Memory(dict):
+    """Piece -> ids, where ``lead`` stands before the piece in the text."""
+
+    def __init__(self, encoder: Encoder, lead: str, shown_lead: str, bare: _Memory | None):
+        self._encoder, self._lead, self._shown_lead = encoder, lead, shown_lead
+        self._bare = self if bare is None else bare
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self._find(piece)
+        if len(piece) <= _LONGEST:
+            self[piece] = ids
+        return ids
+
+    def _find(self, piece: str) -> bytes:
+        if not piece:
+            return self._encoder.general(self._lead) if self._lead else b""
+        if _PLAIN.fullmatch(piece):
+            return self._encoder.model(self._shown_lead + piece.translate(self._encoder.shown))
+        if piece[-1] in _MARKS and _PLAIN.fullmatch(piece, 0, len(piece) - 1):
+            return self[piece[:-1]] + self._bare[piece[-1]]
+        line = piece.find("\n")
+        if line > 0 and not piece[line - 1].isspace():
+            return self[piece[:line]] + self._bare[piece[line:]]
+        if line == 0 and not self._lead and _PLAIN.match(piece, 1):
+            return self._bare["\n"] + self._bare[piece[1:]]
+        return self._encoder.general(self._lead + piece)
 
 
 @lru_cache(maxsize=4)
