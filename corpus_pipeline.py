@@ -1,27 +1,91 @@
-"""Corpus to training sequences: the stages of the document pipeline."""
+"""Corpus to training sequences: the stages of the document pipeline.
+
+Each stage gets the documents its predecessor kept and returns the columns of ``documents``;
+the last one returns the packed pieces. Every stage is written and read again.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from quantaint.llm import packing
+from quantaint.llm import mixing, near_dedup, ordinal, packing, quality_rules
 from quantaint.sources.store import keep
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+# Ids up to this number are broadcast to the documents, more are joined by shuffle.
+BROADCAST_IDS = 200_000
+
+
+def _without(documents: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Documents whose id is not in ``dropped``; rows without an id stay.
+
+    Stages drop far fewer documents than they keep, so the short list of dropped ids is
+    what is sent to the scan while its measured length allows that.
+    """
+    stored = keep(dropped.filter(F.col("doc_id").isNotNull()).select("doc_id").distinct(), "dropped-ids")
+    small = stored.count() <= BROADCAST_IDS
+    return documents.join(F.broadcast(stored) if small else stored, "doc_id", "left_anti")
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality classifier: documents whose best grade is unlikely go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return _without(docs, ordinal.classify_documents(docs, labels).filter(~F.col("kept")))
+
+
+def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality rules: documents that fail the base rules or a fence of their group go."""
+    return _without(docs, quality_rules.apply_rules(docs).filter(~F.col("kept")))
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Near duplicates: the document of least id of each group stays, once."""
+    groups = keep(near_dedup.near_duplicates(docs), "near-duplicates")
+    by_id = groups.groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    kept = _without(docs, by_id.filter(~F.col("kept")))
+    ids = groups.filter(F.col("kept") & F.col("doc_id").isNotNull())
+    if ids.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return kept
+    # An id that several rows share stays with one of them, the one of least text.
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", *docs.columns)) == 1
+    return kept.withColumn("_first", first | F.col("doc_id").isNull()).filter("_first").drop("_first")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing: each document occurs as many times as the mix takes it, at most three times."""
+    mixed = mixing.mix_sources(docs)
+    key = F.xxhash64("doc_id", "source", "text")
+    # Equal rows share what the mix takes of them.
+    taken = keep(mixed.groupBy("row_hash").agg(F.sum("times").alias("_taken"), F.count(F.lit(1)).alias("_rows")), "mix-times")
+    joined = docs.withColumn("row_hash", key).join(taken.filter("_taken > 0"), "row_hash")
+    repeated = not taken.filter("_rows > 1").isEmpty()
+    number = F.row_number().over(Window.partitionBy("row_hash").orderBy("doc_id")) if repeated else F.lit(1)
+    times = F.floor(F.col("_taken") / F.col("_rows")) + F.when(
+        F.col("_number") <= F.pmod("_taken", "_rows"), 1
+    ).otherwise(0)
+    copies = F.explode(F.array_repeat(F.lit(True), times.cast("int")))
+    return joined.withColumn("_number", number).select(*docs.columns, copies.alias("_copy")).select(*docs.columns)
+
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 
 STAGES: list[tuple[str, Stage]] = [
-    ("pack", pack_sequences),
+    ("quality classifier", classify),
+    ("quality rules", filter_quality),
+    ("near duplicates", deduplicate),
+    ("source mixing", mix),
+    ("packing", pack_sequences),
 ]
 
-# Encoding and packing have no SQL form; the tests compare the rows with a brute-force version.
+# A trained classifier, encoding and packing have no SQL form; tests compare the stages with
+# brute-force versions.
 ORACLE_SQL = None
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from math import log
 from typing import NamedTuple
 
@@ -75,7 +75,7 @@ def gram_counts(counts: DataFrame) -> DataFrame:
     for size in range(1, LONGEST_GRAM + 1):
         word = padded if size > 1 else F.col("gram")
         last = F.length(word) - size + 1
-        cut = F.transform(F.sequence(F.lit(1), last), lambda i, w=word, k=size: F.substring(w, i, F.lit(k)))
+        cut = F.transform(F.sequence(F.lit(1), last), _substring(word, size))
         parts.append(
             counts.filter(last >= 1).select("lang", F.lit(size).alias("size"), F.explode(cut).alias("gram"))
         )
@@ -85,6 +85,10 @@ def gram_counts(counts: DataFrame) -> DataFrame:
     return every.groupBy("lang", "size", "gram").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _substring(word: Column, size: int) -> Callable[[Column], Column]:
+    return lambda start: F.substring(word, start, F.lit(size))
+
+
 class Model(NamedTuple):
     """``tables[0]`` scores known words, ``tables[n]`` the n-grams: name -> one value per language."""
 

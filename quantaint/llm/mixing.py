@@ -6,7 +6,7 @@ that the cube method turns into a yes or no: a flight moves three probabilities
 time along the null space of the constraints (number of documents, total size) until
 one of them is 0 or 1. Sources are flown in bounded blocks; at most two open documents
 of each block meet in the next level, until one block a source is left, where at most
-two are rounded to the best total.
+two are rounded to the best total and a few small documents make up for the rest.
 """
 
 from __future__ import annotations
@@ -120,15 +120,25 @@ def _room(p: float, v: float) -> float:
     return p / -v if v < 0 else float("inf")
 
 
-def landing(chance: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Round the last open units so that the total size comes nearest; ties take fewer."""
+def landing(chance: np.ndarray, size: np.ndarray, flips: int = 8) -> np.ndarray:
+    """Round the last open units so that the total size comes nearest; ties take fewer.
+
+    What is still missing or over is then reduced by turning round up to ``flips`` decided
+    units, each the one that brings the total nearest.
+    """
     p = chance.copy()
     left = np.flatnonzero((p > 0) & (p < 1))
-    if len(left) == 0:
-        return p
-    wanted = float((p[left] * size[left]).sum())
-    choices = [np.array([k >> i & 1 for i in range(len(left))]) for k in range(1 << len(left))]
-    p[left] = min(choices, key=lambda c: (abs(float((c * size[left]).sum()) - wanted), c.sum()))
+    wanted = float((p * size).sum())
+    rest = float((p * size).sum() - (p[left] * size[left]).sum())
+    choices = [np.array([k >> i & 1 for i in range(len(left))], float) for k in range(1 << len(left))]
+    p[left] = min(choices, key=lambda c: (abs(rest + float((c * size[left]).sum()) - wanted), c.sum()))
+    for _ in range(flips):
+        missing = wanted - float((p * size).sum())
+        after = np.abs(missing - size * (1 - 2 * p))
+        best = int(np.argmin(after))
+        if after[best] >= abs(missing):
+            break
+        p[best] = 1 - p[best]
     return p
 
 
@@ -137,7 +147,7 @@ _FLOWN = "_uid long, _block string, size long, chance double"
 
 def _fly(rows: DataFrame, last: bool) -> DataFrame:
     """Fly each ``_block``; rows come sorted, so a block is gathered from a stream."""
-    ordered = rows.repartition("_block").sortWithinPartitions("_block", "_draw", "_uid")
+    ordered = rows.repartition("_block").sortWithinPartitions("_block", "row_hash", "_uid")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def finish(name: str, parts: list[tuple]) -> pa.RecordBatch:
@@ -177,10 +187,10 @@ def mix_sources(
     size: Callable[[Column], Column] = word_count,
     block: int = BLOCK,
 ) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, times) of each document row.
+    """(doc_id, size, source_size, target, taken, times, row_hash) of each document row.
 
-    ``taken`` is ``times * size``. A source of size 0 has target 0 and nothing is taken. Repeated
-    rows are units of their own; a null source is a source. The order of a flight is by hash of
+    ``taken`` is ``times * size``; ``row_hash`` is xxhash64 of id, source and text. A source of
+    size 0 has target 0 and nothing is taken. Repeated rows are units of their own; a null source is a source. The order of a flight is by hash of
     the row, so reruns agree. An empty table gives no rows.
     """
     sized = keep(
@@ -188,7 +198,7 @@ def mix_sources(
             "doc_id",
             "source",
             size(F.col("text")).alias("size"),
-            F.xxhash64("doc_id", "source", "text").alias("_draw"),
+            F.xxhash64("doc_id", "source", "text").alias("row_hash"),
         ),
         "document-sizes",
     )
@@ -214,10 +224,10 @@ def mix_sources(
     name = F.concat(
         F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")),
         F.lit("/"),
-        F.pmod(F.col("_draw"), blocks).cast("string"),
+        F.pmod(F.col("row_hash"), blocks).cast("string"),
     )
     open_rows = units.filter((F.col("_chance") > _EPS) & (F.col("size") > 0)).select(
-        "_uid", name.alias("_block"), "size", F.col("_chance").alias("chance"), "_draw"
+        "_uid", name.alias("_block"), "size", F.col("_chance").alias("chance"), "row_hash"
     )
     levels = []
     count = ceil(largest / block)
@@ -236,7 +246,7 @@ def mix_sources(
             F.concat(F.regexp_replace("_block", r"/\d+$", ""), F.lit("/"), number.cast("string")).alias("_block"),
             "size",
             "chance",
-            F.xxhash64("_uid").alias("_draw"),
+            F.xxhash64("_uid").alias("row_hash"),
         )
     extra = levels[0]
     for level in levels[1:]:
@@ -250,5 +260,5 @@ def mix_sources(
         "target",
         (times * F.col("size")).cast("long").alias("taken"),
         times.cast("int").alias("times"),
-        "_uid",
+        "row_hash",
     )

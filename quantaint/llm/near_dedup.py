@@ -1,11 +1,11 @@
 """Near-duplicate groups by MinHash bands, verified by odd sketches and full shingle sets.
 
 1. Documents with the same shingle set form one class; a class goes on once.
-2. MinHash bands put classes into buckets. A bucket's members are never all paired. They
-   are compared with a few centres, the members that share most buckets with others, so a
-   hot bucket costs as many pairs as it has members. Only buckets whose members still lie
-   in several components go on, with more centres each round, until none is left or all
-   members have been centres: then every pair that could join two components was compared.
+2. MinHash bands put classes into buckets. A bucket's members are first compared with few
+   centres, the members that share most buckets with others, so a hot bucket costs as many
+   pairs as it has members. Only buckets whose members still lie in several components and
+   were not all centres go on: their full sets are compared in bounded blocks, exactly.
+   In the end every pair of a bucket that could join two components was compared.
 3. The odd sketches of a pair (parity bitmaps of its MinHash samples) are compared by the
    population count of their XOR; pairs far below the wanted similarity go.
 4. The rest is confirmed on the full shingle sets, in integers.
@@ -36,8 +36,10 @@ SKETCH_BITS = 512
 WORDS = SKETCH_BITS // 64
 # Estimates below the wanted similarity by more than this are dropped before confirmation.
 MARGIN = 0.2
-# Centres of a bucket grow by this factor from round to round.
-GROWTH = 8
+# Centres of each bucket in the rounds of pairs; what is then open is compared in blocks.
+CENTRES = (1, 8)
+# A block has about this many members, or this many shingles.
+BLOCK, BLOCK_SHINGLES = 512, 1_000_000
 # Candidate ids up to this number are broadcast to the scan of the documents, more are joined by shuffle.
 BROADCAST_IDS = 500_000
 
@@ -255,13 +257,15 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(own).filter("high <> low").distinct()
 
 
-def _open_members(members: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Members with their component, of buckets that still hold several components."""
-    if roots is None:
-        return members.withColumn("root", F.col("cls"))
+def _open_members(members: DataFrame, roots: DataFrame, centres: int) -> DataFrame:
+    """Members with their component, of buckets that hold several components and more members
+    than have been centres."""
     labelled = members.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    mixed = labelled.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b")
-    return labelled.join(mixed.select("bucket"), "bucket", "left_semi")
+    mixed = labelled.groupBy("bucket").agg(
+        F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("n")
+    )
+    still = mixed.filter((F.col("a") != F.col("b")) & (F.col("n") > centres + 1))
+    return labelled.join(still.select("bucket"), "bucket", "left_semi")
 
 
 def _round_pairs(members: DataFrame, after: int, upto: int) -> DataFrame:
@@ -284,15 +288,111 @@ def _round_pairs(members: DataFrame, after: int, upto: int) -> DataFrame:
     )
 
 
-def near_duplicates(documents: DataFrame, similar: int = SIMILAR) -> DataFrame:
+def _block_links(members: DataFrame, classes: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """Links (u_cls, v_cls) inside the buckets of a table (bucket, cls, root) between components.
+
+    A bucket is cut into blocks by hash; each pair of blocks is one bounded group, which yields
+    links that connect what is connected, not all of them.
+    """
+    sized = members.join(classes.select("cls", "n_shingles"), "cls")
+    blocks = sized.groupBy("bucket").agg(
+        F.greatest(
+            F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)
+        ).alias("blocks")
+    )
+    own = F.pmod(F.xxhash64("cls"), F.col("blocks"))
+    placed = (
+        members.join(blocks, "bucket")
+        .withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        .select(
+            "bucket",
+            F.least("own", "other").alias("a"),
+            F.greatest("own", "other").alias("b"),
+            "own",
+            "cls",
+            "root",
+        )
+    )
+    rows = placed.join(sets, "cls").repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b", "cls")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, group = None, []
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("bucket", "a", "b", "own", "cls", "root", "shingles"))
+            for bucket, a, b, *member in zip(*columns, strict=True):
+                if (bucket, a, b) != at:
+                    if group:
+                        yield _links_of_block(at, group, similar)
+                    at, group = (bucket, a, b), []
+                group.append(member)
+        if group:
+            yield _links_of_block(at, group, similar)
+
+    return rows.mapInArrow(run, "u_cls binary, v_cls binary")
+
+
+def _links_of_block(key: tuple, group: list[list], similar: int) -> pa.RecordBatch:
+    """Links of one pair of blocks; ``group`` holds [own block, class, root, shingles]."""
+    names = [x[1] for x in group]
+    links: list[tuple[bytes, bytes]] = []
+    if len({x[2] for x in group}) > 1:
+        sets = [np.frombuffer(x[3], "<u8") for x in group]
+        sizes = np.array([len(x) for x in sets])
+        common = _intersections(sets)
+        similar_pairs = 100 * common >= similar * (sizes[:, None] + sizes[None, :] - common)
+        block = np.array([x[0] for x in group])
+        if key[1] != key[2]:
+            similar_pairs &= block[:, None] != block[None, :]
+        number = {root: i for i, root in enumerate(dict.fromkeys(x[2] for x in group))}
+        root = np.array([number[x[2]] for x in group])
+        similar_pairs &= root[:, None] != root[None, :]
+        over = list(range(len(number)))
+
+        def top(x: int) -> int:
+            while over[x] != x:
+                over[x] = over[over[x]]
+                x = over[x]
+            return x
+
+        for u, v in zip(*np.nonzero(np.triu(similar_pairs)), strict=True):
+            a, b = top(root[u]), top(root[v])
+            if a != b:
+                over[b] = a
+                links.append((names[u], names[v]))
+    return pa.RecordBatch.from_arrays(
+        [pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], names=["u_cls", "v_cls"]
+    )
+
+
+def _intersections(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of all pairwise intersections, by products of 0/1 matrices over shared shingles."""
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    number = np.cumsum(counts > 1) - 1
+    shared = counts[column] > 1
+    owner, column = owner[shared], number[column[shared]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    total = np.zeros((len(sets), len(sets)), np.int64)
+    for first in range(0, int(number[-1]) + 1, width):
+        low, high = np.searchsorted(column, [first, first + width])
+        held = np.zeros((len(sets), width), np.float32)
+        held[owner[low:high], column[low:high] - first] = 1
+        total += (held @ held.T).astype(np.int64)
+    return total
+
+
+def near_duplicates(documents: DataFrame, similar: int = SIMILAR, centres: tuple[int, ...] = CENTRES) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row.
 
     Documents whose five-word shingle sets have a Jaccard similarity of ``similar`` percent or
     more are linked; ``component_id`` is the least id reachable over links, ``kept`` says that it
     is the document's own. With fewer than five words the whole sequence is the one shingle.
     Documents without words or text, and rows without an id, are linked with nothing; a row
-    without an id has no component and is kept. Repeated ids share the component of each of
-    their texts by row. Empty tables give no rows.
+    without an id has no component and is kept. Rows that repeat an id are judged one by one.
+    Empty tables give no rows. ``documents`` is read twice.
     """
     sketched = keep(sketch_documents(documents), "sketches")
     classes = keep(_classes(sketched), "classes")
@@ -300,18 +400,16 @@ def near_duplicates(documents: DataFrame, similar: int = SIMILAR) -> DataFrame:
     roots = None
     if not members.isEmpty():
         sets = keep(_shingle_sets(documents, classes, members), "shingle-sets")
-        links, after, upto = None, 0, 1
-        while True:
-            members = keep(_open_members(members, roots), "open-members").drop("root") if roots else members
-            current = _open_members(members, roots)
+        current, links, after = members.withColumn("root", F.col("cls")), None, 0
+        for upto in centres:
             pairs = keep(_close_pairs(_round_pairs(current, after, upto), classes, similar), "close-pairs")
             found = keep(_confirmed(pairs, sets, similar), "links")
             links = found if links is None else links.unionByName(found)
-            roots = keep(components(links), "roots")
-            after, upto = upto, upto * GROWTH
-            left = _open_members(members, roots).groupBy("bucket").count()
-            if left.filter(F.col("count") > after).isEmpty():
-                break
+            roots, after = keep(components(links), "roots"), upto
+            current = keep(_open_members(members, roots, after), "open-members")
+        if not current.isEmpty():
+            found = keep(_block_links(current, classes, sets, similar), "links")
+            roots = keep(components(links.unionByName(found)), "roots")
     return _memberships(sketched, classes, roots)
 
 

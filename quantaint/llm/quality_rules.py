@@ -42,7 +42,7 @@ class Fence(NamedTuple):
 FENCES = (
     Fence("symbols_per_word", 3.0, 0.15),
     Fence("dup_line_share", 3.0, 0.35),
-    Fence("repeat_share", 3.0, 0.15),
+    Fence("repeat_share", 3.0, 0.25),
     Fence("chars_per_word", 4.0, 3.0),
 )
 # Groups with fewer documents use the fences of their language, then those of all documents.

@@ -17,6 +17,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ALLOW, BLOCK = "allow", "block"
 _LAST = "\U0010ffff"
@@ -129,7 +130,8 @@ def judge_urls(
     )
     both = keyed.unionByName(marks).repartition("_range")
     swept = both.sortWithinPartitions("_range", "_key", F.col("_rule").asc_nulls_last())
-    out = rows.drop("_key", "_draw").schema.add("rule", "string").add("verdict", "string")
+    own = rows.select(id_column, "host", "path").schema
+    out = T.StructType([*own, *(T.StructField(c, T.StringType()) for c in ("rule", "verdict"))])
 
     def sweep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stack, at = RuleStack(), None
@@ -170,7 +172,9 @@ def _borders(rows: DataFrame, ranges: int, sample: int) -> list[str]:
 
 def _deal(rows: DataFrame, borders: list[str]) -> DataFrame:
     """Add each row's ``_range``, by bisection; a key that equals borders is spread over their ranges."""
-    out = rows.schema.add("_range", "int").add("_rule", "int")
+    out = T.StructType(
+        [*rows.schema, T.StructField("_range", T.IntegerType()), T.StructField("_rule", T.IntegerType())]
+    )
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
