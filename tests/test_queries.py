@@ -5,9 +5,11 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry_module
+import oracle
+from quantaint.plans import registered
 
-QUERIES = entry_module.queries()
-SQL = entry_module.oracle_sql()
+QUERIES = registered.queries()
+SQL = oracle.statements()
 TYPES = {
     "bigint": "BIGINT",
     "string": "VARCHAR",
@@ -19,6 +21,8 @@ TYPES = {
 
 def test_every_query_has_a_statement():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry_module.queries())
+    assert set(SQL) <= set(entry_module.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
