@@ -1,7 +1,103 @@
-"""DuckDB statements equivalent to the queries that SQL can express."""
+"""DuckDB statements equivalent to the queries that SQL can express.
+
+The others are trained models, encoders or approximate searches, or their rows depend on
+hashes; tests compare them with brute-force versions.
+"""
 
 from __future__ import annotations
 
+_URLS = r"""
+WITH parts AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
+  FROM pages
+), split AS (
+  SELECT row_number() OVER () AS n, page_id,
+    translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM parts
+), rules(rule_host, rule_path, verdict) AS (
+  VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+         ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
+), fits AS (
+  SELECT n, rule_host || rule_path AS rule, verdict,
+    row_number() OVER (PARTITION BY n ORDER BY length(rule_host || rule_path) DESC) AS place
+  FROM split JOIN rules
+    ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+FROM split LEFT JOIN (SELECT * FROM fits WHERE place = 1) USING (n)
+"""
+
+
+def _escaped(text: str) -> str:
+    """SQL that puts a backslash before itself and before the control strings of the template.
+
+    None of these strings starts or ends within another one, so the order does not matter.
+    """
+    marks = ["[/INST]", "[INST]", "<</SYS>>", "<<SYS>>", "</ROLE>", "<ROLE:", "</s>", "<s>", "|>"]
+    out = f"replace({text}, '\\', '\\\\')"
+    for mark in marks:
+        out = f"replace({out}, '{mark}', '\\{mark}')"
+    return out
+
+
+_CHAT = f"""
+WITH turns AS (
+  SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations
+  UNION ALL
+  VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+), formatted AS (
+  SELECT *, {_escaped("text")} AS escaped,
+    CASE role WHEN 'system' THEN length('<<SYS>><</SYS>>') WHEN 'user' THEN length('[INST][/INST]')
+      WHEN 'assistant' THEN length('<s></s>')
+      ELSE length('<ROLE:|></ROLE>') + length({_escaped("role")}) END AS markers,
+    lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before,
+    lead(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS after
+  FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length(escaped) + markers)::BIGINT AS formatted_chars,
+  bool_and(CASE role
+    WHEN 'system' THEN before IS NULL
+    WHEN 'user' THEN before IS NULL OR before IN ('system', 'assistant')
+    WHEN 'assistant' THEN coalesce(before = 'user', false)
+    ELSE false END AND (after IS NOT NULL OR role = 'assistant')) AS valid
+FROM formatted GROUP BY conv_id
+"""
+
+_NEAR = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), shingles AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(
+    CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
+  FROM words
+), sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS MATERIALIZED (
+  SELECT u, v FROM common JOIN sizes p ON p.doc_id = u JOIN sizes q ON q.doc_id = v
+  WHERE 100 * k >= 85 * (p.n + q.n - k)
+), both_ways AS MATERIALIZED (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+reach(doc_id, other) AS (
+  SELECT DISTINCT u, u FROM both_ways
+  UNION
+  SELECT doc_id, v FROM reach JOIN both_ways ON other = u
+), roots AS (SELECT doc_id, min(other) AS root FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(root, doc_id) AS component_id,
+  coalesce(root, doc_id) = doc_id AS kept
+FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN roots USING (doc_id)
+"""
+
 
 def statements() -> dict[str, str]:
-    return {}
+    return {"op5_url_rules": _URLS, "op8_chat_format": _CHAT, "op9_near_duplicates": _NEAR}
