@@ -23,14 +23,15 @@ import numpy as np
 _UNUSUAL_BLANK = re.compile(
     r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]"
 )
-# A space beside another blank: the text is then cut before whole runs of blanks.
-_RUN = re.compile(r" [ \t\n\r]|[\t\n\r] | \Z")
+_UNUSUAL_ASCII = "\x0b\x0c\x1c\x1d\x1e\x1f"
+# With a space beside another blank, a text is cut before whole runs of blanks.
+_RUNS = ("  ", " \n", "\n ", "\t", "\r")
 _PIECE = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 _PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 # Marks that end a run of letters in every file and never start a contraction.
 _MARKS = frozenset(".,;:!?|*#$%&")
 # Each memory is emptied when it holds this many pieces; longer pieces are not kept.
-_REMEMBERED = 300_000
+_REMEMBERED = 600_000
 _LONGEST = 48
 
 
@@ -48,6 +49,7 @@ class Encoder:
         normal = self._tokenizer.normalizer.normalize_str if self._tokenizer.normalizer else str
         letters = [chr(x) for x in range(256) if _PLAIN.fullmatch(chr(x))]
         self.shown = {ord(x): split(normal(x))[0][0] for x in letters}
+        self.lowers = self.shown[ord("A")] == "a"
         space = split(normal(" a"))[0][0].removesuffix("a")
         self._drops_blanks = not space
         self._bare = _Memory(self, "", "", None)
@@ -61,18 +63,24 @@ class Encoder:
         """Ids of one whole text; none for a null or empty one."""
         if not text:
             return b""
-        if _UNUSUAL_BLANK.search(text):
+        if self._unusual(text):
             return self.general(text)
         for memory in (self._bare, self._spaced):
             if len(memory) > _REMEMBERED:
                 memory.clear()
         if self._drops_blanks:
             return b"".join(map(self._bare.__getitem__, text.split()))
-        if _RUN.search(text):
+        if text[-1] == " " or any(run in text for run in _RUNS):
             return b"".join(map(self._bare.__getitem__, _PIECE.findall(text)))
         first, *rest = text.split(" ")
         return self._bare[first] + b"".join(map(self._spaced.__getitem__, rest))
 
+    @staticmethod
+    def _unusual(text: str) -> bool:
+        if text.isascii():
+            return any(blank in text for blank in _UNUSUAL_ASCII)
+        return _UNUSUAL_BLANK.search(text) is not None
+
     def general(self, text: str) -> bytes:
         found = self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
         return np.array(found, dtype="<u4").tobytes()
@@ -98,6 +106,9 @@ class _Memory(dict):
     def _find(self, piece: str) -> bytes:
         if not piece:
             return self._encoder.general(self._lead) if self._lead else b""
+        if piece.isascii() and piece.isalpha():
+            shown = piece.lower() if self._encoder.lowers else piece
+            return self._encoder.model(self._shown_lead + shown)
         if _PLAIN.fullmatch(piece):
             return self._encoder.model(self._shown_lead + piece.translate(self._encoder.shown))
         if piece[-1] in _MARKS and _PLAIN.fullmatch(piece, 0, len(piece) - 1):
