@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quantaint.llm.batches import keep_texts
 from quantaint.sources.store import keep
 
 UNKNOWN = "und"
@@ -113,7 +114,7 @@ def train(texts: DataFrame, entries: int = MODEL_ENTRIES) -> Model:
     Counts cover all texts. The model has a fixed size: the ``entries`` most frequent
     (word, language) pairs seen at least twice, and as many for each n-gram length.
     """
-    words = keep(word_counts(texts), "word-counts")
+    words = keep_texts(word_counts(texts), "word-counts")
     sized = keep(
         words.select("lang", F.lit(0).alias("size"), "gram", "n").unionByName(gram_counts(words)),
         "gram-counts",
@@ -199,4 +200,5 @@ def predict_languages(documents: DataFrame, entries: int = MODEL_ENTRIES) -> Dat
     out = held_out(F.col("doc_id"))
     model = train(documents.filter(~out & F.col("lang").isNotNull()).select("lang", "text"), entries)
     flags = documents.select(F.struct("doc_id", out.alias("held_out")).alias("doc_id"), "text")
-    return identify(flags, model).select("doc_id.doc_id", "doc_id.held_out", "lang_pred", "score")
+    found = keep_texts(identify(flags, model), "languages")
+    return found.select("doc_id.doc_id", "doc_id.held_out", "lang_pred", "score")

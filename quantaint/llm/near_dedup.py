@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantaint.llm.batches import keep_texts
 from quantaint.llm.shingles import mix, shingle_set
 from quantaint.sources.store import keep
 
@@ -394,21 +395,21 @@ def near_duplicates(documents: DataFrame, similar: int = SIMILAR, centres: tuple
     without an id has no component and is kept. Rows that repeat an id are judged one by one.
     Empty tables give no rows. ``documents`` is read twice.
     """
-    sketched = keep(sketch_documents(documents), "sketches")
+    sketched = keep_texts(sketch_documents(documents), "sketches")
     classes = keep(_classes(sketched), "classes")
     members = _bucket_members(classes)
     roots = None
     if not members.isEmpty():
-        sets = keep(_shingle_sets(documents, classes, members), "shingle-sets")
+        sets = keep_texts(_shingle_sets(documents, classes, members), "shingle-sets")
         current, links, after = members.withColumn("root", F.col("cls")), None, 0
         for upto in centres:
             pairs = keep(_close_pairs(_round_pairs(current, after, upto), classes, similar), "close-pairs")
-            found = keep(_confirmed(pairs, sets, similar), "links")
+            found = keep_texts(_confirmed(pairs, sets, similar), "links")
             links = found if links is None else links.unionByName(found)
             roots, after = keep(components(links), "roots"), upto
             current = keep(_open_members(members, roots, after), "open-members")
         if not current.isEmpty():
-            found = keep(_block_links(current, classes, sets, similar), "links")
+            found = keep_texts(_block_links(current, classes, sets, similar), "links")
             roots = keep(components(links.unionByName(found)), "roots")
     return _memberships(sketched, classes, roots)
 

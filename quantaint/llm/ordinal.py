@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quantaint.llm.batches import keep_texts
 from quantaint.llm.shingles import words
 
 FEATURES = 1 << 18
@@ -173,7 +174,8 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordi
             columns = [batch.column("doc_id").cast(pa.int64()), batch.column("grade"), pa.array(found, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "grade", "features"])
 
-    rows = texts.mapInArrow(encode, "doc_id long, grade int, features binary").collect()
+    encoded = keep_texts(texts.mapInArrow(encode, "doc_id long, grade int, features binary"), "rated-features")
+    rows = encoded.collect()
     rows.sort(key=lambda r: (r.doc_id, r.grade, bytes(r.features)))
     features = [np.frombuffer(r.features, "<i4").astype(np.int64) for r in rows]
     return fit(features, [r.grade for r in rows])
@@ -208,4 +210,4 @@ def grade_documents(documents: DataFrame, model: Ordinal, least_tail: float = LE
 
 def classify_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Fit on the labelled rows and grade all documents; empty tables give no rows."""
-    return grade_documents(documents, train(documents, labels))
+    return keep_texts(grade_documents(documents, train(documents, labels)), "grades")

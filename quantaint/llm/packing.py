@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantaint.llm.batches import keep_texts
 from quantaint.llm.tokens import encoder, token_bytes
 from quantaint.sources.store import keep
 
@@ -189,7 +190,7 @@ def pack_documents(
     documents: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY
 ) -> DataFrame:
     """Cut and pack all documents; an empty table gives no rows."""
-    pieces = keep(token_pieces(documents, tokenizer, end_id, capacity), "token-pieces")
+    pieces = keep_texts(token_pieces(documents, tokenizer, end_id, capacity), "token-pieces")
     return pack(pieces, capacity)
 
 

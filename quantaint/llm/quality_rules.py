@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantaint.llm.batches import keep_texts
 from quantaint.llm.shingles import words
 from quantaint.sources.store import keep
 
@@ -201,7 +202,7 @@ def apply_rules(documents: DataFrame, fences: tuple[Fence, ...] = FENCES) -> Dat
     groups of their own; a null text counts as one without words and fails the base rules.
     Fences come from the documents that pass the base rules. Empty tables give no rows.
     """
-    counts = keep(measure_texts(documents), "text-counts")
+    counts = keep_texts(measure_texts(documents), "text-counts")
     measured = _with_measures(counts).withColumn("base_failed", base_failed())
     groups = ["lang", "source"]
     names = [f.measure for f in fences]

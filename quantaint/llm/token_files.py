@@ -24,9 +24,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quantaint.llm.batches import keep_texts
 from quantaint.llm.elias_fano import EliasFano
 from quantaint.llm.tokens import encoder, token_bytes
-from quantaint.sources.store import fresh_path, keep
+from quantaint.sources.store import fresh_path
 
 FILE_IDS = 4_000_000
 _MAGIC = b"QTOK"
@@ -110,7 +111,7 @@ def write_token_files(
         if ids:
             yield flush()
 
-    return keep(ordered.mapInArrow(write, _MANIFEST), "token-manifest")
+    return keep_texts(ordered.mapInArrow(write, _MANIFEST), "token-manifest")
 
 
 def _replace(folder: str, name: str, data: bytes) -> None:
