@@ -93,12 +93,19 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def fit(
-    features: list[np.ndarray], grades: list[int], rounds: int = 80, rate: float = 0.3, decay: float = 0.02
+    features: list[np.ndarray],
+    grades: list[int],
+    rounds: int = 250,
+    rate: float = 0.3,
+    sparsity: float = 0.05,
+    least_rows: int = 10,
 ) -> Ordinal:
     """Full-batch adaptive gradient steps on the log loss; the same rows give the same model.
 
-    The thresholds are a first one and positive gaps (their logarithms are learned), so they stay
-    ordered. Features that fewer than three of the rows have keep the weight 0.
+    Each step also shrinks the weights by ``sparsity`` over the root of the number of rows, so
+    the many chance words of a corpus end at 0; features that fewer than ``least_rows`` rows
+    have stay there. The thresholds are a first one and positive gaps (their logarithms are
+    learned), so they stay ordered.
     """
     y = np.array(grades)
     top = int(y.max()) if len(y) else 1
@@ -112,16 +119,13 @@ def fit(
     flat = np.concatenate(features)
     sizes = np.array([len(x) for x in features])
     counts = np.bincount(flat, minlength=FEATURES)
-    used = np.flatnonzero(counts >= 3)
+    used = np.flatnonzero(counts >= least_rows)
     number = np.full(FEATURES, -1)
     number[used] = np.arange(len(used))
     row = np.repeat(np.arange(len(y)), sizes)
     flat = number[flat]
     row, flat = row[flat >= 0], flat[flat >= 0]
-    # Rare grades weigh as much as frequent ones, up to a factor.
-    by_grade = np.bincount(y, minlength=top + 1)
-    importance = np.minimum(len(y) / np.maximum(by_grade, 1) / (top + 1), 4.0)[y]
-    importance /= importance.mean()
+    shrink = sparsity / np.sqrt(len(y))
     w = np.zeros(len(used))
     squares, bias_squares = np.full(len(used), 1e-8), np.full(top, 1e-8)
     for _ in range(rounds):
@@ -131,11 +135,13 @@ def fit(
         low, high = _sigmoid(padded[y] - score), _sigmoid(padded[y + 1] - score)
         mass = np.maximum(high - low, 1e-9)
         d_low, d_high = low * (1 - low), high * (1 - high)
-        slope = importance * (d_high - d_low) / mass / len(y)
-        gradient = np.bincount(flat, weights=slope[row], minlength=len(used)) + decay * w / len(y)
+        slope = (d_high - d_low) / mass / len(y)
+        gradient = np.bincount(flat, weights=slope[row], minlength=len(used))
         squares += gradient**2
-        w -= rate * gradient / np.sqrt(squares)
-        pull = importance / mass / len(y)
+        pace = rate / np.sqrt(squares)
+        w -= pace * gradient
+        w = np.sign(w) * np.maximum(np.abs(w) - pace * shrink, 0)
+        pull = 1 / mass / len(y)
         by_cut = np.bincount(np.minimum(y, top - 1), weights=-pull * d_high * (y < top), minlength=top)
         by_cut += np.bincount(np.maximum(y - 1, 0), weights=pull * d_low * (y > 0), minlength=top)
         bias = np.array([by_cut.sum(), *(by_cut[k + 1 :].sum() * np.exp(gaps[k]) for k in range(top - 1))])

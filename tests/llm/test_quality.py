@@ -130,7 +130,7 @@ def test_ordinal_held_out(spark, small):
     judged = ordinal.grade_documents(rest, model).join(labels, "doc_id")
     good = (F.col("quality") == 1) & (F.col("toxic") == 0)
     rates = {r.good: r.rate for r in judged.groupBy(good.alias("good")).agg(F.avg(F.col("kept").cast("int")).alias("rate")).collect()}
-    assert rates[True] > 0.97 and rates[False] < 0.12
+    assert rates[True] > 0.98 and rates[False] < 0.2
 
 
 def test_classifier_on_odd_rows(spark):
