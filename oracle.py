@@ -41,13 +41,15 @@ _SCENARIO_ROWS = ", ".join(
     for subset, ratio, tag, seed in SCENARIOS
 )
 
+# Nation names by key.
 _NATIONS = (
-    "ALGERIA ARGENTINA BRAZIL CANADA EGYPT ETHIOPIA FRANCE GERMANY INDIA INDONESIA IRAN IRAQ "
-    "JAPAN JORDAN KENYA MOROCCO MOZAMBIQUE PERU CHINA ROMANIA SAUDI_ARABIA VIETNAM RUSSIA "
-    "UNITED_KINGDOM UNITED_STATES"
-)
-_NATION_LIST = ", ".join("'" + n.replace("_", " ") + "'" for n in _NATIONS.split())
+    "ALGERIA", "ARGENTINA", "BRAZIL", "CANADA", "EGYPT", "ETHIOPIA", "FRANCE", "GERMANY", "INDIA", "INDONESIA",
+    "IRAN", "IRAQ", "JAPAN", "JORDAN", "KENYA", "MOROCCO", "MOZAMBIQUE", "PERU", "CHINA", "ROMANIA",
+    "SAUDI ARABIA", "VIETNAM", "RUSSIA", "UNITED KINGDOM", "UNITED STATES",
+)
+_NATION_LIST = ", ".join(f"'{name}'" for name in _NATIONS)
 
+# Grouping column, joins and predicates of the five queries.
 _SUPPORT_QUERIES = {
     "Q1": (
         "o.o_orderpriority",
@@ -155,6 +157,8 @@ def _members(dc: str, hub: str, source: str, where: str, members: dict[str, tupl
 
 
 _LINE = ("l_orderkey", "l_linenumber")
+# Parts that several others use and that rank or number whole tables.
+_MATERIALIZED = {"c_lineitem", "c_partsupp", "candidates_dc4", "picked", "picked_lines", "v_lineitem"}
 _ORDERS_LINES = "c_orders JOIN v_lineitem ON l_orderkey = o_orderkey"
 
 # name -> (names it uses, statement)
@@ -258,20 +262,21 @@ _PARTS: dict[str, tuple[tuple[str, ...], str]] = {
         + _words("CAST(k1 AS VARCHAR) || ',' || CAST(k2 AS VARCHAR)")
         + " FROM candidates) c JOIN targets t ON t.dc = c.dc) WHERE place <= requested",
     ),
+    "picked_lines": (
+        ("picked",),
+        "SELECT db_id, k1, k2, bool_or(dc = 'DC1') AS in1, bool_or(dc = 'DC2') AS in2, "
+        "bool_or(dc = 'DC3') AS in3 FROM picked WHERE dc <> 'DC4' GROUP BY ALL",
+    ),
     "v_lineitem": (
-        ("c_lineitem", "c_orders", "scen", "picked"),
+        ("c_lineitem", "c_orders", "scen", "picked_lines"),
         "SELECT s.db_id, l.* REPLACE ("
-        "CASE WHEN p1.dc IS NULL THEN l_receiptdate ELSE CAST(l_shipdate - INTERVAL 1 DAY AS DATE) "
-        "END AS l_receiptdate, "
-        "CASE WHEN p2.dc IS NULL THEN l_commitdate ELSE CAST(o_orderdate - INTERVAL 1 DAY AS DATE) "
-        "END AS l_commitdate, "
-        "CASE WHEN p3.dc IS NULL THEN l_linestatus ELSE 'O' END AS l_linestatus) "
+        "CASE WHEN p.in1 THEN CAST(l_shipdate - INTERVAL 1 DAY AS DATE) ELSE l_receiptdate END "
+        "AS l_receiptdate, "
+        "CASE WHEN p.in2 THEN CAST(o_orderdate - INTERVAL 1 DAY AS DATE) ELSE l_commitdate END "
+        "AS l_commitdate, "
+        "CASE WHEN p.in3 THEN 'O' ELSE l_linestatus END AS l_linestatus) "
         "FROM c_lineitem l JOIN c_orders ON o_orderkey = l_orderkey JOIN scen s ON TRUE "
-        + " ".join(
-            f"LEFT JOIN picked p{i} ON p{i}.db_id = s.db_id AND p{i}.dc = 'DC{i}' "
-            f"AND p{i}.k1 = l_orderkey AND p{i}.k2 = l_linenumber"
-            for i in (1, 2, 3)
-        ),
+        "LEFT JOIN picked_lines p ON p.db_id = s.db_id AND p.k1 = l_orderkey AND p.k2 = l_linenumber",
     ),
     "v_partsupp": (
         ("c_partsupp", "scen", "picked"),
@@ -336,6 +341,7 @@ _PARTS: dict[str, tuple[tuple[str, ...], str]] = {
         "SELECT *, n_sets * (1.0::DOUBLE / (1 + gamma)) / "
         "SUM(1.0::DOUBLE / (1 + gamma)) OVER (PARTITION BY db_id, dc) AS rim FROM gamma",
     ),
+    # Weights of relations and constraints.
     "cim_weights": (
         (),
         "SELECT * FROM (VALUES ('DC1', 'lineitem', 1.0::DOUBLE), ('DC2', 'orders', 2.0), "
@@ -497,7 +503,10 @@ def statement(uses: tuple[str, ...], select: str) -> str:
         visit(name)
     if not ordered:
         return select
-    parts = ", ".join(f"{name} AS ({_PARTS[name][1]})" for name in ordered)
+    parts = ", ".join(
+        f"{name} AS {'MATERIALIZED ' if name in _MATERIALIZED else ''}({_PARTS[name][1]})"
+        for name in ordered
+    )
     return f"WITH {parts} {select}"
 
 

@@ -15,6 +15,7 @@ from quantaint.operators.constraints import INJECTED, join_relations
 from quantaint.operators.numbering import GROUP_ROWS, number_rows
 from quantaint.schema import KEYS, determines
 from quantaint.sources.database import Database
+from quantaint.sources.store import keep
 
 
 @dataclass(frozen=True)
@@ -168,8 +169,11 @@ def answers(supports: DataFrame) -> DataFrame:
 
 
 def numbered_supports(db: Database, spec: QuerySpec, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """One row per (support, tuple) with answer and support numbers."""
-    rows = support_rows(db, spec)
+    """One row per (support, tuple) with answer and support numbers.
+
+    The joined keys are stored once; numbers and answers both come from that table.
+    """
+    rows = keep(support_rows(db, spec), "support-rows")
     numbered = number_rows(
         rows,
         ["answervalue"],
@@ -196,10 +200,6 @@ def numbered_supports(db: Database, spec: QuerySpec, group_rows: int = GROUP_ROW
     )
 
 
-def in_reading_order(supports: DataFrame) -> DataFrame:
-    return supports.orderBy("qname", "answer_id", "support_id", "rel", "key1", "key2")
-
-
 def support_size(counts: DataFrame) -> DataFrame:
     """Distinct tuples per answer, from the per-tuple counts."""
     return counts.groupBy(*ANSWER).agg(F.count(F.lit(1)).alias("support_size"))

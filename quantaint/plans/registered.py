@@ -448,8 +448,10 @@ def shapley_mc(spark, sf_dir):
 
 def _scores(spark, sf_dir, aggregations: tuple[str, ...], rows: str = "all") -> DataFrame:
     exp = experiment(spark, sf_dir)
+    # Counts alone need no weights; the sampled ones are computed once per scale.
+    weights = None if aggregations == ("prov",) else exp.weights
     scores = answer_scores(
-        exp.supports, exp.wide_measures, SCENARIOS, aggregations=aggregations, rows=rows
+        exp.supports, exp.wide_measures, SCENARIOS, aggregations=aggregations, rows=rows, weights=weights
     )
     return _rounded(scores, *_score_names(*aggregations))
 

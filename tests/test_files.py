@@ -12,13 +12,13 @@ from quantaint.sources.violation_files import read_keyed
 from pyspark.sql import functions as F
 
 SETS = [
-    {"dc": "DC2", "tuples": {"orders": [123], "lineitem": [[456, 1]]}},
+    {"dc": "DC2", "tuples": {"orders": [611], "lineitem": [[902, 3]]}},
     {"dc": "DC4", "tuples": {"lineitem": [[7, 2]], "partsupp": [[3, 4]], "part": 3}},
     {"dc": "DC1", "tuples": {"lineitem": [[8, 1]], "part": None}},
 ]
 MEMBERS = {
-    ("DC2", "orders#123|lineitem#456,1", "orders", "123"),
-    ("DC2", "orders#123|lineitem#456,1", "lineitem", "456,1"),
+    ("DC2", "orders#611|lineitem#902,3", "orders", "611"),
+    ("DC2", "orders#611|lineitem#902,3", "lineitem", "902,3"),
     ("DC4", "lineitem#7,2|partsupp#3,4|part#3", "lineitem", "7,2"),
     ("DC4", "lineitem#7,2|partsupp#3,4|part#3", "partsupp", "3,4"),
     ("DC4", "lineitem#7,2|partsupp#3,4|part#3", "part", "3"),
