@@ -52,24 +52,26 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if ids.groupBy("doc_id").count().filter("count > 1").isEmpty():
         return kept
     # An id that several rows share stays with one of them, the one of least text.
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", *docs.columns)) == 1
-    return kept.withColumn("_first", first | F.col("doc_id").isNull()).filter("_first").drop("_first")
+    rows = kept.select(F.struct("*").alias("row"))
+    first = F.row_number().over(Window.partitionBy("row.doc_id").orderBy("row.text", F.xxhash64("row"))) == 1
+    return rows.withColumn("first", first).filter("first OR row.doc_id IS NULL").select("row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing: each document occurs as many times as the mix takes it, at most three times."""
     mixed = mixing.mix_sources(docs)
-    key = F.xxhash64("doc_id", "source", "text")
     # Equal rows share what the mix takes of them.
-    taken = keep(mixed.groupBy("row_hash").agg(F.sum("times").alias("_taken"), F.count(F.lit(1)).alias("_rows")), "mix-times")
-    joined = docs.withColumn("row_hash", key).join(taken.filter("_taken > 0"), "row_hash")
-    repeated = not taken.filter("_rows > 1").isEmpty()
-    number = F.row_number().over(Window.partitionBy("row_hash").orderBy("doc_id")) if repeated else F.lit(1)
-    times = F.floor(F.col("_taken") / F.col("_rows")) + F.when(
-        F.col("_number") <= F.pmod("_taken", "_rows"), 1
-    ).otherwise(0)
-    copies = F.explode(F.array_repeat(F.lit(True), times.cast("int")))
-    return joined.withColumn("_number", number).select(*docs.columns, copies.alias("_copy")).select(*docs.columns)
+    totals = mixed.groupBy("row_hash").agg(F.sum("times").alias("taken"), F.count(F.lit(1)).alias("equal"))
+    taken = keep(totals.filter("taken > 0"), "mix-times")
+    rows = docs.select(F.struct("*").alias("row"), mixing.row_hash().alias("row_hash")).join(taken, "row_hash")
+    if taken.filter("equal > 1").isEmpty():
+        times = F.col("taken")
+    else:
+        number = F.row_number().over(Window.partitionBy("row_hash").orderBy(F.xxhash64("row")))
+        rows = rows.withColumn("number", number)
+        times = F.floor(F.col("taken") / F.col("equal")) + (F.col("number") <= F.col("taken") % F.col("equal")).cast("int")
+    copies = F.explode(F.array_repeat(F.lit(True), times.cast("int"))).alias("copy")
+    return rows.select("row", copies).select("row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,12 +27,20 @@ LARGEST_FACTOR = 3
 BLOCK = 20_000
 _WORD = r"[^\x20\x09-\x0D]+"
 _EPS = 1e-9
+_SMALLEST = 200
+# A source of so few documents is rounded as a whole.
+_FEW = 12
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(_WORD)), F.lit(0)).cast("long")
 
 
+def row_hash() -> Column:
+    """Names a row by id, source and text."""
+    return F.xxhash64("doc_id", "source", "text")
+
+
 def source_targets(
     sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, largest_factor: int = LARGEST_FACTOR
 ) -> DataFrame:
@@ -123,22 +131,31 @@ def _room(p: float, v: float) -> float:
 def landing(chance: np.ndarray, size: np.ndarray, flips: int = 8) -> np.ndarray:
     """Round the last open units so that the total size comes nearest; ties take fewer.
 
-    What is still missing or over is then reduced by turning round up to ``flips`` decided
-    units, each the one that brings the total nearest.
+    What is still missing or over is then reduced by turning round decided units, in up to
+    ``flips`` steps: each time the one, or the two of the smallest, that bring the total nearest.
     """
     p = chance.copy()
     left = np.flatnonzero((p > 0) & (p < 1))
+    if len(p) <= _FEW:
+        left = np.arange(len(p))
     wanted = float((p * size).sum())
     rest = float((p * size).sum() - (p[left] * size[left]).sum())
     choices = [np.array([k >> i & 1 for i in range(len(left))], float) for k in range(1 << len(left))]
-    p[left] = min(choices, key=lambda c: (abs(rest + float((c * size[left]).sum()) - wanted), c.sum()))
+    p[left] = min(choices, key=lambda c: (round(abs(rest + float((c * size[left]).sum()) - wanted), 6), c.sum()))
+    pool = np.argsort(size, kind="stable")[:_SMALLEST]
     for _ in range(flips):
         missing = wanted - float((p * size).sum())
-        after = np.abs(missing - size * (1 - 2 * p))
-        best = int(np.argmin(after))
-        if after[best] >= abs(missing):
+        change = size * (1 - 2 * p)
+        one = int(np.argmin(np.abs(missing - change)))
+        turned, best = [one], abs(missing - change[one])
+        pairs = np.abs(missing - change[pool][:, None] - change[pool][None, :])
+        np.fill_diagonal(pairs, np.inf)
+        a, b = divmod(int(np.argmin(pairs)), len(pool)) if len(pool) > 1 else (0, 0)
+        if a != b and pairs[a, b] < best:
+            turned, best = [pool[a], pool[b]], pairs[a, b]
+        if best >= abs(missing) - _EPS:
             break
-        p[best] = 1 - p[best]
+        p[turned] = 1 - p[turned]
     return p
 
 
@@ -198,7 +215,7 @@ def mix_sources(
             "doc_id",
             "source",
             size(F.col("text")).alias("size"),
-            F.xxhash64("doc_id", "source", "text").alias("row_hash"),
+            row_hash().alias("row_hash"),
         ),
         "document-sizes",
     )

@@ -236,6 +236,19 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("high").alias("cls"), F.col("low").alias("root"))
 
 
+def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components after more links: only the components that these links join are contracted."""
+    if roots is None:
+        return components(links)
+    for side in ("u_cls", "v_cls"):
+        named = roots.select(F.col("cls").alias(side), F.col("root").alias("_root"))
+        links = links.join(named, side, "left").withColumn(side, F.coalesce("_root", side)).drop("_root")
+    joined = components(links.filter("u_cls <> v_cls"))
+    moved = joined.select(F.col("cls").alias("root"), F.col("root").alias("_new"))
+    older = roots.join(moved, "root", "left").select("cls", F.coalesce("_new", "root").alias("root"))
+    return older.unionByName(joined)
+
+
 def _fingerprint(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("high", "low").cast("decimal(38,0)"))).first()
     return tuple(row)
@@ -401,16 +414,15 @@ def near_duplicates(documents: DataFrame, similar: int = SIMILAR, centres: tuple
     roots = None
     if not members.isEmpty():
         sets = keep_texts(_shingle_sets(documents, classes, members), "shingle-sets")
-        current, links, after = members.withColumn("root", F.col("cls")), None, 0
+        current, after = members.withColumn("root", F.col("cls")), 0
         for upto in centres:
             pairs = keep(_close_pairs(_round_pairs(current, after, upto), classes, similar), "close-pairs")
             found = keep_texts(_confirmed(pairs, sets, similar), "links")
-            links = found if links is None else links.unionByName(found)
-            roots, after = keep(components(links), "roots"), upto
+            roots, after = keep(_merged(roots, found), "roots"), upto
             current = keep(_open_members(members, roots, after), "open-members")
         if not current.isEmpty():
             found = keep_texts(_block_links(current, classes, sets, similar), "links")
-            roots = keep(components(links.unionByName(found)), "roots")
+            roots = keep(_merged(roots, found), "roots")
     return _memberships(sketched, classes, roots)
 
 
