@@ -67,7 +67,7 @@ def main() -> None:
             clock("support_all", lambda: exp.supports)
             sets = exp.supports
             counts = tuple_counts(sets, ANSWER)
-            clock("resp_weights", lambda: responsibility_weights(counts))
+            clock("resp_weights", lambda: responsibility_weights(counts, sets))
             clock(
                 "shapley_weights",
                 lambda: shapley_weights(sets, counts, answers_at_most(), widest=5),

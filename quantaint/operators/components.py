@@ -1,4 +1,10 @@
-"""Hitting sets of arbitrary families: connected parts, then each part by itself."""
+"""Hitting sets of arbitrary families: connected parts, then bounds where no tuple is in all sets.
+
+The problem is NP-hard in general, so a part without a hub gets an upper bound (a cover chosen
+by rounds of locally greatest degree) and a lower one (sets chosen by rounds that share no
+tuple). Both are joins and aggregates over the rows of the parts, whatever their size. Where
+the bounds of a tuple meet, its status is OPTIMAL, else FEASIBLE with the upper bound as gamma.
+"""
 
 from __future__ import annotations
 
@@ -9,11 +15,6 @@ from quantaint.functions.keys import tuple_id
 from quantaint.operators.hitting import tuple_counts
 from quantaint.sources.store import keep
 
-# Sets of one hubless part that a task may search exactly. The problem is
-# NP-hard, so larger parts are refused rather than approximated.
-SEARCH_SETS = 2_000
-
-
 def connected_parts(sets: DataFrame, group: list[str]) -> DataFrame:
     """(group, tid, root): the smallest tuple name of each tuple's part.
 
@@ -77,11 +78,11 @@ def _small_star(edges: DataFrame, group: list[str]) -> DataFrame:
     return moved.unionByName(own).filter("high <> low").distinct()
 
 
-def general_gamma(sets: DataFrame, group: list[str], search_sets: int = SEARCH_SETS) -> DataFrame:
-    """gamma of every tuple, for families with or without hubs.
+def general_gamma(sets: DataFrame, group: list[str]) -> DataFrame:
+    """gamma of every tuple, for families with or without hubs, with ``gamma_low`` and ``status``.
 
-    The minimum is additive over connected parts. A part with a hub costs one;
-    other parts are searched exactly, each in one task.
+    The minimum is additive over connected parts. A part with a hub costs one; other
+    parts are bounded from both sides.
     """
     roots = connected_parts(sets, group)
     first = F.element_at("tuples", 1)
@@ -96,103 +97,140 @@ def general_gamma(sets: DataFrame, group: list[str], search_sets: int = SEARCH_S
     part = [*group, "comp"]
     counts = keep(tuple_counts(placed, group), "part-counts")
     sizes = placed.groupBy(*part).agg(F.count(F.lit(1)).alias("part_sets"))
-    shapes = (
+    shapes = keep(
         counts.groupBy(*part)
         .agg(F.max("cnt").alias("top"))
         .join(sizes, part)
-        .withColumn("has_hub", F.col("top") == F.col("part_sets"))
-    )
-    simple = (
-        counts.join(shapes.filter("has_hub"), part)
-        .withColumn("cost", F.lit(1).cast("bigint"))
-        .withColumn("cost_without", (F.col("cnt") < F.col("part_sets")).cast("bigint"))
-        .select(*part, "relation", "pk", "cnt", "part_sets", "cost", "cost_without")
+        .withColumn("has_hub", F.col("top") == F.col("part_sets")),
+        "part-shapes",
     )
-    searched = _search(placed, shapes.filter(~F.col("has_hub")), part, search_sets)
-    hard = counts.join(searched, [*part, "relation", "pk"]).select(*simple.columns)
-    each = keep(simple.unionByName(hard), "part-costs")
+    costs = ["cost_low", "cost_high", "without_low", "without_high"]
+    without = (F.col("cnt") < F.col("part_sets")).cast("bigint")
+    one = F.lit(1).cast("bigint")
+    simple = counts.join(shapes.filter("has_hub"), part).select(
+        *part, "relation", "pk", "cnt", "part_sets",
+        *[c.alias(name) for c, name in zip((one, one, without, without), costs, strict=True)],
+    )
+    hubless = shapes.filter(~F.col("has_hub"))
+    each = simple
+    if not hubless.isEmpty():
+        members = keep(
+            placed.join(hubless.select(*part), part)
+            .select(*part, "mis_id", F.explode("tuples").alias("t"))
+            .select(*part, "mis_id", tuple_id(F.col("t.relation"), F.col("t.pk")).alias("tid"))
+            .distinct(),
+            "hubless-members",
+        )
+        named = counts.withColumn("tid", tuple_id(F.col("relation"), F.col("pk")))
+        bounded = named.join(_bounds(members, part), [*part, "tid"]).join(sizes, part)
+        each = simple.unionByName(bounded.select(*simple.columns))
+    each = keep(each, "part-costs")
     per_part = each.groupBy(*part).agg(
-        F.max("cost").alias("cost"), F.max("part_sets").alias("part_sets")
+        *[F.max(c).alias(c) for c in ("cost_low", "cost_high", "part_sets")]
     )
     totals = per_part.groupBy(*group).agg(
-        F.sum("cost").alias("total"), F.sum("part_sets").alias("n_sets")
+        F.sum("cost_low").alias("total_low"),
+        F.sum("cost_high").alias("total_high"),
+        F.sum("part_sets").alias("n_sets"),
     )
     nodes = each.groupBy(*group).agg(F.count(F.lit(1)).alias("n_nodes"))
+    low = F.col("total_low") - F.col("cost_low") + F.col("without_low")
+    high = F.col("total_high") - F.col("cost_high") + F.col("without_high")
     return each.join(totals.join(nodes, group), group).select(
         *group,
         "relation",
         "pk",
-        (F.col("total") - F.col("cost") + F.col("cost_without")).alias("gamma"),
+        "cnt",
+        high.alias("gamma"),
         (F.col("n_sets") - F.col("cnt")).alias("n_edges"),
         "n_nodes",
+        low.alias("gamma_low"),
+        F.when(low == high, "OPTIMAL").otherwise("FEASIBLE").alias("status"),
+    )
+
+
+def _bounds(members: DataFrame, part: list[str]) -> DataFrame:
+    """(part, tid) with bounds of the least hitting set of the part, and of its sets without the tuple.
+
+    Without its own sets, a tuple is not needed in the cover, nor is one further member whose
+    private sets (those that no other member hits) all contain the tuple; and a set that was
+    packed is lost at most.
+    """
+    tid, mis = [*part, "tid"], [*part, "mis_id"]
+    cover, packed = _cover(members, part), _packing(members, part)
+    one = F.lit(1).cast("bigint")
+    in_cover = cover.withColumn("in_cover", one)
+    in_packing = members.join(packed, mis, "left_semi").groupBy(*tid).agg(one.alias("in_packing"))
+    sizes = cover.groupBy(*part).agg(F.count(F.lit(1)).alias("cost_high"))
+    lows = packed.groupBy(*part).agg(F.count(F.lit(1)).alias("cost_low"))
+    # Sets that one member of the cover hits alone, and the tuples beside it.
+    hits = members.join(cover, tid).groupBy(*mis).agg(F.count(F.lit(1)).alias("n"), F.min("tid").alias("s"))
+    private = hits.filter("n = 1").select(*mis, "s")
+    own = private.groupBy(*part, "s").agg(F.count(F.lit(1)).alias("n_private"))
+    beside = members.join(private, mis).filter("tid <> s")
+    together = beside.groupBy(*tid, "s").agg(F.count(F.lit(1)).alias("n"))
+    spared = together.join(own, [*part, "s"]).filter("n = n_private").groupBy(*tid).agg(one.alias("spared"))
+    total = members.groupBy(*part).agg(F.countDistinct("mis_id").alias("n_sets"))
+    has = members.groupBy(*tid).agg(F.count(F.lit(1)).alias("n_own"))
+    joined = has.join(total, part).join(sizes, part).join(lows, part)
+    for extra in (in_cover, in_packing, spared):
+        joined = joined.join(extra, tid, "left")
+    some_left = F.when(F.col("n_own") < F.col("n_sets"), 1).otherwise(0)
+    saved = F.greatest(F.coalesce("in_cover", F.lit(0)), F.coalesce("spared", F.lit(0)))
+    high = F.when(some_left == 0, 0).otherwise(F.greatest(F.col("cost_high") - saved, F.lit(1)))
+    low = F.greatest(F.col("cost_low") - F.coalesce("in_packing", F.lit(0)), some_left)
+    return joined.select(
+        *tid,
+        "cost_low",
+        "cost_high",
+        F.when(some_left == 0, 0).otherwise(low).cast("bigint").alias("without_low"),
+        high.cast("bigint").alias("without_high"),
     )
 
 
-def _search(placed: DataFrame, hubless: DataFrame, part: list[str], search_sets: int) -> DataFrame:
-    """Exact costs of hubless parts; too large a part fails the query."""
-    checked = hubless.select(
-        *part,
-        F.when(
-            F.col("part_sets") > search_sets,
-            F.raise_error(F.lit("a part without a hub is too large for an exact search")),
+def _cover(members: DataFrame, part: list[str]) -> DataFrame:
+    """(part, tid) of a hitting set: each round takes the tuples that are first, by number of open
+    sets and hash, in all their open sets."""
+    tid, mis = [*part, "tid"], [*part, "mis_id"]
+    left, chosen = members, None
+    while True:
+        degrees = left.groupBy(*tid).agg(F.count(F.lit(1)).alias("n"))
+        best = left.join(degrees, tid).groupBy(*mis).agg(F.max(F.struct("n", F.xxhash64("tid"), "tid")).alias("best"))
+        picks = keep(
+            left.join(best, mis)
+            .groupBy(*tid)
+            .agg(F.bool_and(F.col("best.tid") == F.col("tid")).alias("first"))
+            .filter("first")
+            .select(*tid),
+            "cover",
         )
-        .otherwise(F.lit(True))
-        .alias("ok"),
-    ).filter("ok")
-    rows = placed.join(checked, part).select(*part, "mis_id", F.inline("tuples"))
-
-    def costs(pdf):
-        import pandas as pd
-
-        def smallest(edges: list[frozenset], limit: int) -> int:
-            """Size of a minimum hitting set if at most ``limit``, else ``limit + 1``."""
-            if not edges:
-                return 0
-            if limit <= 0:
-                return limit + 1
-            disjoint, seen = 0, set()
-            for edge in sorted(edges, key=len):
-                if seen.isdisjoint(edge):
-                    disjoint += 1
-                    seen |= edge
-            if disjoint > limit:
-                return limit + 1
-            best = limit + 1
-            tried: set = set()
-            for node in sorted(min(edges, key=len), key=lambda n: -sum(n in e for e in edges)):
-                rest = [e - tried for e in edges if node not in e]
-                tried.add(node)
-                if any(not e for e in rest):
-                    continue
-                best = min(best, 1 + smallest(rest, best - 2))
-            return best
-
-        def cost(edges: list[frozenset]) -> int:
-            minimal = [e for e in set(edges) if not any(o < e for o in edges)]
-            return smallest(minimal, len(minimal))
-
-        names = list(zip(pdf["relation"], pdf["pk"]))
-        by_set: dict = {}
-        for key, name in zip(pdf["mis_id"], names):
-            by_set.setdefault(key, set()).add(name)
-        edges = [frozenset(e) for e in by_set.values()]
-        whole = cost(edges)
-        head = {c: pdf[c].iloc[0] for c in pdf.columns if c not in ("mis_id", "relation", "pk")}
-        return pd.DataFrame(
-            [
-                {
-                    **head,
-                    "relation": rel,
-                    "pk": pk,
-                    "cost": whole,
-                    "cost_without": cost([e for e in edges if (rel, pk) not in e]),
-                }
-                for rel, pk in sorted(set(names))
-            ]
+        chosen = picks if chosen is None else chosen.unionByName(picks)
+        hit = left.join(picks, tid, "left_semi").select(*mis).distinct()
+        left = keep(left.join(hit, mis, "left_anti"), "open-sets")
+        if left.isEmpty():
+            return chosen
+
+
+def _packing(members: DataFrame, part: list[str]) -> DataFrame:
+    """(part, mis_id) of sets without a common tuple: each round takes the sets that are first, by
+    size and hash, for all their tuples, and drops their neighbours."""
+    tid, mis = [*part, "tid"], [*part, "mis_id"]
+    sizes = members.groupBy(*mis).agg(F.count(F.lit(1)).alias("size"))
+    place = F.struct("size", F.xxhash64("mis_id"), "mis_id").alias("place")
+    left, chosen = keep(members.join(sizes, mis).select(*mis, "tid", place), "open-sets"), None
+    while True:
+        least = left.groupBy(*tid).agg(F.min("place").alias("least"))
+        picks = keep(
+            left.join(least, tid)
+            .groupBy(*mis)
+            .agg(F.bool_and(F.col("least") == F.col("place")).alias("first"))
+            .filter("first")
+            .select(*mis),
+            "packing",
         )
-
-    heads = ", ".join(f"{c} string" for c in part)
-    schema = f"{heads}, relation string, pk string, cost bigint, cost_without bigint"
-    found = rows.groupBy(*part).applyInPandas(costs, schema)
-    sizes = placed.groupBy(*part).agg(F.count(F.lit(1)).alias("part_sets"))
-    return found.join(sizes, part)
+        chosen = picks if chosen is None else chosen.unionByName(picks)
+        used = left.join(picks, mis, "left_semi").select(*tid).distinct()
+        near = left.join(used, tid, "left_semi").select(*mis).distinct()
+        left = keep(left.join(near, mis, "left_anti"), "open-sets")
+        if left.isEmpty():
+            return chosen

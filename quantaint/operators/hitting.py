@@ -40,7 +40,7 @@ def hub_gamma(
     ``groups_at_most`` bounds the number of groups; the totals are broadcast only
     for a small bound. A group whose hub does not follow from every tuple's key
     must have a single hub, otherwise the closed form would not hold and the
-    query fails.
+    query fails; ``several_hubs`` finds such groups, which take the general method.
     """
     part = [*group, "comp"]
     parts = counts.groupBy(*part).agg(
@@ -68,5 +68,17 @@ def hub_gamma(
     )
 
 
+def several_hubs(
+    counts: DataFrame, group: list[str], is_hub: F.Column, hub_is_determined: F.Column
+) -> DataFrame:
+    """Groups that have several hubs, not all of them determined by each tuple's key."""
+    return (
+        counts.groupBy(*group)
+        .agg(F.count_if(is_hub).alias("parts"), F.bool_and(hub_is_determined).alias("determined"))
+        .filter((F.col("parts") > 1) & ~F.col("determined"))
+        .select(*group)
+    )
+
+
 def with_rho(df: DataFrame) -> DataFrame:
     return df.withColumn("rho", 1 / (1 + F.col("gamma")).cast("double"))

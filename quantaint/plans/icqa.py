@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantaint.operators.constraints import CONSTRAINTS
-from quantaint.operators.hitting import hub_gamma, tuple_counts, with_rho
+from quantaint.operators.components import general_gamma
+from quantaint.operators.hitting import hub_gamma, several_hubs, tuple_counts, with_rho
 from quantaint.operators.scenarios import Scenario, db_ids, split_db_id
 from quantaint.operators.shapley import EXACT_TUPLES, SAMPLES, shapley_weights
 from quantaint.operators.supports import ANSWER, QUERIES, QuerySpec, answers, answers_at_most
@@ -19,16 +20,30 @@ AGGREGATIONS: dict[str, str] = {"prov": "cnt", "resp": "rho", "shap": "phi"}
 
 
 def responsibility_weights(
-    counts: DataFrame, specs: Mapping[str, QuerySpec] = QUERIES
+    counts: DataFrame, supports: DataFrame, specs: Mapping[str, QuerySpec] = QUERIES
 ) -> DataFrame:
-    """Per (answer, tuple): occurrences, gamma and rho = 1/(1+gamma)."""
+    """Per (answer, tuple): occurrences, gamma and rho = 1/(1+gamma).
+
+    Answers whose supports have several hubs that not every tuple's key determines (two
+    nations of one name) take the general method.
+    """
     is_hub = F.lit(False)
     determined = F.lit(False)
     for spec in specs.values():
         here = F.col("qname") == spec.name
         is_hub = is_hub | (here & (F.col("relation") == spec.hub))
         determined = determined | (here & F.lit(spec.hub_is_determined))
-    return with_rho(hub_gamma(counts, ANSWER, is_hub, answers_at_most(specs), determined))
+    columns = [*ANSWER, "relation", "pk", "cnt", "gamma"]
+    most = answers_at_most(specs)
+    odd = keep(several_hubs(counts, ANSWER, is_hub, determined), "several-hubs")
+    if odd.isEmpty():
+        return with_rho(hub_gamma(counts, ANSWER, is_hub, most, determined).select(*columns))
+    plain = hub_gamma(counts.join(odd, ANSWER, "left_anti"), ANSWER, is_hub, most, determined)
+    sets = supports.join(odd, ANSWER, "left_semi").withColumn(
+        "mis_id", F.sha2(F.to_json(F.array_sort("tuples")), 256)
+    )
+    general = general_gamma(sets, ANSWER)
+    return with_rho(plain.select(*columns).unionByName(general.select(*columns)))
 
 
 def answer_weights(
@@ -46,7 +61,7 @@ def answer_weights(
     tid = [*ANSWER, "relation", "pk"]
     weights = counts.select(*tid, "cnt")
     if "resp" in aggregations:
-        weights = responsibility_weights(counts, specs).select(*tid, "cnt", "gamma", "rho")
+        weights = responsibility_weights(counts, supports, specs).select(*tid, "cnt", "gamma", "rho")
     if "shap" in aggregations:
         phi = shapley_weights(
             supports,

@@ -428,7 +428,7 @@ def support_stats(spark, sf_dir):
 
 @query("resp_weights")
 def resp_weights(spark, sf_dir):
-    weights = responsibility_weights(_counts(spark, sf_dir))
+    weights = responsibility_weights(_counts(spark, sf_dir), experiment(spark, sf_dir).supports)
     return _rounded(weights, "rho").select(*ANSWER, "relation", "pk", "cnt", "gamma", "rho")
 
 
