@@ -90,22 +90,29 @@ def _substring(word: Column, size: int) -> Callable[[Column], Column]:
     return lambda start: F.substring(word, start, F.lit(size))
 
 
+class Table(NamedTuple):
+    """Name -> row of ``values``, which has one column per language."""
+
+    rows: dict[str, int]
+    values: np.ndarray
+
+
 class Model(NamedTuple):
-    """``tables[0]`` scores known words, ``tables[n]`` the n-grams: name -> one value per language."""
+    """``tables[0]`` scores known words, ``tables[n]`` the n-grams."""
 
     languages: list[str]
-    tables: list[dict[str, np.ndarray]]
+    tables: list[Table]
     prior: np.ndarray
 
 
-def _table(rows: list, languages: list[str], totals: dict[str, int]) -> dict[str, np.ndarray]:
+def _table(counted: list, languages: list[str], totals: dict[str, int]) -> Table:
     at = {lang: i for i, lang in enumerate(languages)}
-    names = {r.gram for r in rows}
-    base = np.array([log(0.5 / (totals.get(x, 0) + 0.5 * len(names) + 1)) for x in languages])
-    table = {name: base.copy() for name in names}
-    for r in rows:
-        table[r.gram][at[r.lang]] += log((r.n + 0.5) / 0.5)
-    return table
+    rows = {name: i for i, name in enumerate(dict.fromkeys(r.gram for r in counted))}
+    base = np.array([log(0.5 / (totals.get(x, 0) + 0.5 * len(rows) + 1)) for x in languages])
+    values = np.tile(base, (len(rows), 1))
+    for r in counted:
+        values[rows[r.gram], at[r.lang]] += log((r.n + 0.5) / 0.5)
+    return Table(rows, values)
 
 
 def train(texts: DataFrame, entries: int = MODEL_ENTRIES) -> Model:
@@ -141,13 +148,14 @@ class Scorer:
         self._known: dict[str, int] = {}
 
     def _score(self, word: str) -> np.ndarray:
-        if (found := self._model.tables[0].get(word)) is not None:
-            return found
+        known = self._model.tables[0]
+        if (row := known.rows.get(word)) is not None:
+            return known.values[row]
         for n in range(LONGEST_GRAM, 0, -1):
             table = self._model.tables[n]
-            values = [table[g] for g in grams(word, n) if g in table]
-            if values:
-                return np.mean(values, axis=0)
+            rows = [table.rows[g] for g in grams(word, n) if g in table.rows]
+            if rows:
+                return table.values[rows].mean(axis=0)
         return np.zeros(len(self._model.languages))
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -177,10 +185,11 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
     ``und`` with score 0 stands for a null text or one without a letter.
     """
     rows = documents.select(F.col("doc_id"), "text")
+    shared = documents.sparkSession.sparkContext.broadcast(model)
     out = rows.drop("text").schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model)
+        scorer = Scorer(shared.value)
         for batch in batches:
             found = [scorer.predict(x.as_py()) for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays(

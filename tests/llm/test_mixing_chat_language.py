@@ -179,7 +179,7 @@ def test_backoff_and_odd_rows(spark):
     model = language.train(spark.createDataFrame(pairs * 3, "lang string, text string"))
     scorer = language.Scorer(model)
     assert scorer.predict("the the")[0] == "en" and scorer.predict("der")[0] == "de"
-    assert "katzen" not in model.tables[0] and scorer.predict("katzen")[0] == "de"
+    assert "katzen" not in model.tables[0].rows and scorer.predict("katzen")[0] == "de"
     assert scorer.predict("qqqq xx")[0] in ("de", "en")
     for text in (None, "", "12 34 !?", "² ½"):
         assert scorer.predict(text) == ("und", 0.0)
