@@ -144,7 +144,7 @@ class Scorer:
 
     def __init__(self, model: Model):
         self._model = model
-        self._rows: list[np.ndarray] = []
+        self._values = np.zeros((1024, len(model.languages)))
         self._known: dict[str, int] = {}
 
     def _score(self, word: str) -> np.ndarray:
@@ -155,7 +155,7 @@ class Scorer:
             table = self._model.tables[n]
             rows = [table.rows[g] for g in grams(word, n) if g in table.rows]
             if rows:
-                return table.values[rows].mean(axis=0)
+                return np.add.reduce(table.values[rows]) / len(rows)
         return np.zeros(len(self._model.languages))
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -164,17 +164,18 @@ class Scorer:
             return UNKNOWN, 0.0
         if len(self._known) > _REMEMBERED:
             self._known.clear()
-            self._rows.clear()
         found = _WORD.findall(text.lower())
         for word in set(found):
             if word not in self._known:
-                self._known[word] = len(self._rows)
-                self._rows.append(self._score(word))
+                row = self._known[word] = len(self._known)
+                if row == len(self._values):
+                    self._values = np.concatenate([self._values, np.zeros_like(self._values)])
+                self._values[row] = self._score(word)
         seen = Counter(map(self._known.__getitem__, found))
         total = self._model.prior.copy()
         if seen:
             weights = np.fromiter(seen.values(), np.float64, len(seen))
-            total += weights @ np.array([self._rows[i] for i in seen])
+            total += weights @ self._values[list(seen)]
         best = int(np.argmax(total))
         return self._model.languages[best], float(1 / np.exp(total - total[best]).sum())
 
