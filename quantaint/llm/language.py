@@ -28,7 +28,7 @@ LONGEST_GRAM = 4
 MODEL_ENTRIES = 40_000
 _WORD = re.compile(r"[^\W\d_]+")
 _FLUSH = 200_000
-_REMEMBERED = 200_000
+_REMEMBERED = 500_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -144,19 +144,35 @@ class Scorer:
 
     def __init__(self, model: Model):
         self._model = model
-        self._values = np.zeros((1024, len(model.languages)))
+        # All tables below one another, with a row of zeros for words without any known n-gram.
+        width = len(model.languages)
+        tables = [t.values for t in model.tables if t.rows]
+        self._all = np.concatenate([*tables, np.zeros((1, width))])
+        self._offsets = np.cumsum([0, *(len(t.rows) for t in model.tables)]).tolist()
+        self._values = np.zeros((1024, width))
         self._known: dict[str, int] = {}
 
-    def _score(self, word: str) -> np.ndarray:
-        known = self._model.tables[0]
-        if (row := known.rows.get(word)) is not None:
-            return known.values[row]
+    def _rows_of(self, word: str) -> list[int]:
+        """Rows whose mean is the word's score: its own, or those of its longest known n-grams."""
+        if (row := self._model.tables[0].rows.get(word)) is not None:
+            return [row]
         for n in range(LONGEST_GRAM, 0, -1):
-            table = self._model.tables[n]
-            rows = [table.rows[g] for g in grams(word, n) if g in table.rows]
-            if rows:
-                return np.add.reduce(table.values[rows]) / len(rows)
-        return np.zeros(len(self._model.languages))
+            table, offset = self._model.tables[n].rows, self._offsets[n]
+            if rows := [table[g] + offset for g in grams(word, n) if g in table]:
+                return rows
+        return [self._offsets[-1]]
+
+    def _learn(self, words: list[str]) -> None:
+        """Score words not seen before, all in one step."""
+        rows = [self._rows_of(word) for word in words]
+        sizes = np.array([len(x) for x in rows])
+        flat = np.array([r for x in rows for r in x])
+        sums = np.add.reduceat(self._all[flat], np.cumsum(sizes) - sizes)
+        first = len(self._known)
+        while first + len(words) > len(self._values):
+            self._values = np.concatenate([self._values, np.zeros_like(self._values)])
+        self._values[first : first + len(words)] = sums / sizes[:, None]
+        self._known.update(zip(words, range(first, first + len(words)), strict=True))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, posterior probability); equal scores go to the first language by code point."""
@@ -165,12 +181,8 @@ class Scorer:
         if len(self._known) > _REMEMBERED:
             self._known.clear()
         found = _WORD.findall(text.lower())
-        for word in set(found):
-            if word not in self._known:
-                row = self._known[word] = len(self._known)
-                if row == len(self._values):
-                    self._values = np.concatenate([self._values, np.zeros_like(self._values)])
-                self._values[row] = self._score(word)
+        if new := [word for word in set(found) if word not in self._known]:
+            self._learn(new)
         seen = Counter(map(self._known.__getitem__, found))
         total = self._model.prior.copy()
         if seen:
