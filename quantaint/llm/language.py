@@ -1,9 +1,13 @@
 """Language identification: known words first, then shorter and shorter character n-grams.
 
-Training counts the words of all training texts by language. The most frequent ones
-are the known words; the distinct words give the n-gram counts for the rest. A known
-word scores by its log frequency in each language. An unseen word takes its longest
+Training counts the words of all training texts by language. Words seen twice or more in
+a language are the known words; the distinct words give the n-gram counts for the rest. A
+known word scores by its log frequency in each language. An unseen word takes its longest
 n-grams if one of them is known, else the next shorter ones, down to single letters.
+
+No word, n-gram or language is left out for room: every distinct word is scored once by
+joins, workers hold the scores of the most frequent words, and what a text has besides
+them is joined with the table of scores.
 """
 
 from __future__ import annotations
@@ -18,17 +22,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quantaint.llm.batches import keep_texts
 from quantaint.sources.store import keep
 
 UNKNOWN = "und"
 LONGEST_GRAM = 4
-# Size of the model: entries (gram, language) of the known words and of each gram length.
-MODEL_ENTRIES = 40_000
+# Words whose scores every worker holds; all others are joined.
+HELD_WORDS = 300_000
+# Tables of n-grams up to this many rows are broadcast to the words without a count of their own.
+BROADCAST_GRAMS = 300_000
 _WORD = re.compile(r"[^\W\d_]+")
 _FLUSH = 200_000
 _REMEMBERED = 500_000
+_PER_DOUBLING = 8
 
 
 def held_out(doc_id: Column) -> Column:
@@ -105,23 +113,28 @@ class Model(NamedTuple):
     prior: np.ndarray
 
 
+def _base(names: int, languages: list[str], totals: dict[str, int]) -> np.ndarray:
+    """Scores of a name that a language does not have."""
+    return np.array([log(0.5 / (totals.get(x, 0) + 0.5 * names + 1)) for x in languages])
+
+
 def _table(counted: list, languages: list[str], totals: dict[str, int]) -> Table:
     at = {lang: i for i, lang in enumerate(languages)}
     rows = {name: i for i, name in enumerate(dict.fromkeys(r.gram for r in counted))}
-    base = np.array([log(0.5 / (totals.get(x, 0) + 0.5 * len(rows) + 1)) for x in languages])
-    values = np.tile(base, (len(rows), 1))
+    values = np.tile(_base(len(rows), languages, totals), (len(rows), 1))
     for r in counted:
         values[rows[r.gram], at[r.lang]] += log((r.n + 0.5) / 0.5)
     return Table(rows, values)
 
 
-def train(texts: DataFrame, entries: int = MODEL_ENTRIES) -> Model:
-    """Learn from a table (lang, text) without null languages.
+def train(texts: DataFrame) -> Model:
+    """Learn from a table (lang, text) without null languages, into the memory of one process.
 
-    Counts cover all texts. The model has a fixed size: the ``entries`` most frequent
-    (word, language) pairs seen at least twice, and as many for each n-gram length.
+    Counts cover all texts; the model holds the words seen twice or more in a language and all
+    n-grams, each with its counts in all languages. ``word_scores`` is the same by joins.
     """
     words = keep_texts(word_counts(texts), "word-counts")
+    known = words.filter("n > 1").select("gram").distinct()
     sized = keep(
         words.select("lang", F.lit(0).alias("size"), "gram", "n").unionByName(gram_counts(words)),
         "gram-counts",
@@ -130,13 +143,16 @@ def train(texts: DataFrame, entries: int = MODEL_ENTRIES) -> Model:
     languages = sorted({r.lang for r in totals})
     tables = []
     for size in range(LONGEST_GRAM + 1):
-        rows = sized.filter((F.col("size") == size) & (F.col("n") > (1 if size == 0 else 0)))
-        top = rows.orderBy(F.desc("n"), "gram", "lang").limit(entries).collect()
-        tables.append(_table(top, languages, {r.lang: r.n for r in totals if r.size == size}))
-    mass = {r.lang: r.n for r in totals if r.size == 0}
+        rows = sized.filter(F.col("size") == size)
+        if size == 0:
+            rows = rows.join(known, "gram", "left_semi")
+        tables.append(_table(rows.collect(), languages, {r.lang: r.n for r in totals if r.size == size}))
+    return Model(languages, tables, _prior({r.lang: r.n for r in totals if r.size == 0}, languages))
+
+
+def _prior(mass: dict[str, int], languages: list[str]) -> np.ndarray:
     whole = sum(mass.values()) or 1
-    prior = np.array([log(mass.get(x, 0) / whole + 1e-6) for x in languages])
-    return Model(languages, tables, prior)
+    return np.array([log(mass.get(x, 0) / whole + 1e-6) for x in languages])
 
 
 class Scorer:
@@ -192,35 +208,148 @@ class Scorer:
         return self._model.languages[best], float(1 / np.exp(total - total[best]).sum())
 
 
-def identify(documents: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, lang_pred, score) from the whole text of each row.
+def _values(rows: DataFrame, languages: list[str], *more: Column) -> DataFrame:
+    """(gram, v0, v1, ...): what its counts add to the base value of each language."""
+    gain = F.log((F.col("n") + 0.5) / 0.5)
+    sums = [
+        F.coalesce(F.sum(F.when(F.col("lang") == F.lit(x), gain)), F.lit(0.0)).alias(f"v{i}")
+        for i, x in enumerate(languages)
+    ]
+    return rows.groupBy("gram").agg(*sums, *more)
 
-    ``und`` with score 0 stands for a null text or one without a letter.
+
+def word_scores(counts: DataFrame) -> tuple[list[str], np.ndarray, DataFrame]:
+    """Languages, prior and (gram, seen, v0, v1, ...): the scores of every distinct word.
+
+    ``counts`` are the ``word_counts`` of all texts, with a null language for those not learned.
     """
-    rows = documents.select(F.col("doc_id"), "text")
-    shared = documents.sparkSession.sparkContext.broadcast(model)
-    out = rows.drop("text").schema.add("lang_pred", "string").add("score", "double")
+    learned = counts.filter(F.col("lang").isNotNull())
+    mass = {r.lang: r.n for r in learned.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    languages = sorted(mass)
+    if not languages:
+        return [], np.zeros(0), counts.select("gram", F.col("n").alias("seen"))
+    grams_of = keep(gram_counts(learned), "gram-counts")
+    names = [f"v{i}" for i in range(len(languages))]
+    totals = grams_of.groupBy("lang", "size").agg(F.sum("n").alias("n")).collect()
+
+    def scored(rows: DataFrame, base: np.ndarray) -> DataFrame:
+        return rows.select("gram", "seen", *[(F.col(v) + float(b)).alias(v) for v, b in zip(names, base, strict=True)])
+
+    most = F.max(F.when(F.col("lang").isNotNull(), F.col("n"))).alias("most")
+    words = keep(_values(counts, languages, most, F.sum("n").alias("seen")), "distinct-words")
+    known = words.filter("most > 1")
+    parts = [scored(known, _base(known.count(), languages, mass))]
+    rest = words.filter("most IS NULL OR most <= 1").select("gram", "seen")
+    for size in range(LONGEST_GRAM, 0, -1):
+        table = keep(_values(grams_of.filter(F.col("size") == size), languages), "gram-values")
+        n = table.count()
+        padded = F.concat(F.lit("^"), F.col("gram"), F.lit("$")) if size > 1 else F.col("gram")
+        last = F.length(padded) - size + 1
+        cut = rest.filter(last >= 1).select(
+            F.struct("gram", "seen").alias("word"),
+            F.explode(F.transform(F.sequence(F.lit(1), last), _substring(padded, size))).alias("gram"),
+        )
+        means = cut.join(F.broadcast(table) if n <= BROADCAST_GRAMS else table, "gram").groupBy("word").agg(
+            *[F.avg(v).alias(v) for v in names]
+        )
+        found = keep(means.select("word.gram", "word.seen", *names), "word-grams")
+        base = _base(n, languages, {r.lang: r.n for r in totals if r.size == size})
+        parts.append(scored(found, base))
+        rest = keep(rest.join(found.select("gram"), "gram", "left_anti"), "unseen-words")
+        if rest.isEmpty():
+            break
+    # Words without any known n-gram tell nothing.
+    parts.append(rest.select("gram", "seen", *[F.lit(0.0).alias(v) for v in names]))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return languages, _prior(mass, languages), keep(every, "word-scores")
+
+
+def _frequent(scores: DataFrame, at_most: int) -> DataFrame:
+    """The words of the highest counts, as many whole eighths of a doubling as ``at_most`` admits."""
+    level = F.floor(F.log2("seen") * _PER_DOUBLING)
+    sizes = scores.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()
+    least, room = None, at_most
+    for r in sorted(sizes, reverse=True):
+        room -= r.n
+        if room < 0:
+            break
+        least = r.level
+    return scores.filter(F.lit(False) if least is None else level >= least)
+
+
+def _summed(documents: DataFrame, held: tuple[dict[str, int], np.ndarray]) -> DataFrame:
+    """Per row the summed scores of the held words, and the other words with their counts."""
+    shared = documents.sparkSession.sparkContext.broadcast(held)
+    rows = documents.select("doc_id", "text")
+    kinds = pa.list_(pa.struct([("gram", pa.string()), ("n", pa.int64())]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        at, values = shared.value
         for batch in batches:
-            found = [scorer.predict(x.as_py()) for x in batch.column("text")]
+            letters, sums, rare = [], [], []
+            for x in batch.column("text"):
+                text = x.as_py() or ""
+                letters.append(any(map(str.isalpha, text)))
+                found = _WORD.findall(text.lower())
+                seen = Counter(map(at.get, found))
+                others = Counter(w for w in found if w not in at) if seen.pop(None, 0) else {}
+                weights = np.fromiter(seen.values(), np.float64, len(seen))
+                sums.append(weights @ values[list(seen)] if seen else np.zeros(values.shape[1]))
+                rare.append([{"gram": w, "n": n} for w, n in others.items()])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
-                    pa.array([x for x, _ in found], pa.string()),
-                    pa.array([x for _, x in found], pa.float64()),
+                    pa.array(letters, pa.bool_()),
+                    pa.array(sums, pa.list_(pa.float64())),
+                    pa.array(rare, kinds),
                 ],
-                names=out.fieldNames(),
+                names=["doc_id", "has_letter", "sums", "rare"],
             )
 
-    return rows.mapInArrow(run, out)
+    rare_type = T.ArrayType(T.StructType().add("gram", "string").add("n", "long"))
+    schema = rows.drop("text").schema.add("has_letter", "boolean")
+    schema = schema.add("sums", T.ArrayType(T.DoubleType())).add("rare", rare_type)
+    return rows.mapInArrow(run, schema)
+
 
+def predict_languages(documents: DataFrame, held_words: int = HELD_WORDS) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score): learn outside the held-out third, predict all rows.
 
-def predict_languages(documents: DataFrame, entries: int = MODEL_ENTRIES) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score): learn outside the held-out third, predict all rows."""
+    ``score`` is the posterior probability; equal scores go to the first language by code point.
+    ``und`` with score 0 stands for a null text or one without a letter.
+    """
     out = held_out(F.col("doc_id"))
-    model = train(documents.filter(~out & F.col("lang").isNotNull()).select("lang", "text"), entries)
+    labelled = documents.select(F.when(~out, F.col("lang")).alias("lang"), "text")
+    counts = keep_texts(word_counts(labelled), "word-counts")
+    languages, prior, scores = word_scores(counts)
+    if not languages:
+        return documents.select(
+            "doc_id", out.alias("held_out"), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score")
+        )
+    names = [f"v{i}" for i in range(len(languages))]
+    frequent = _frequent(scores, held_words).select("gram", *names).toArrow()
+    at = {word: i for i, word in enumerate(frequent.column("gram").to_pylist())}
+    held = at, np.column_stack([frequent.column(v).to_numpy() for v in names])
     flags = documents.select(F.struct("doc_id", out.alias("held_out")).alias("doc_id"), "text")
-    found = keep_texts(identify(flags, model), "languages")
-    return found.select("doc_id.doc_id", "doc_id.held_out", "lang_pred", "score")
+    # Rows keep a number of their own from here on, as the table is stored with it.
+    parts = keep_texts(_summed(flags, held).withColumn("_uid", F.monotonically_increasing_id()), "held-sums")
+    rare = parts.select("_uid", F.inline("rare")).join(scores.select("gram", *names), "gram")
+    added = rare.groupBy("_uid").agg(*[F.sum(F.col("n") * F.col(v)).alias(v) for v in names])
+    totals = F.array(
+        *[
+            F.col("sums")[i] + F.coalesce(F.col(v), F.lit(0.0)) + float(prior[i])
+            for i, v in enumerate(names)
+        ]
+    )
+    best = F.array_max("totals")
+    ratios = F.aggregate("totals", F.lit(0.0), lambda total, x: total + F.exp(x - best))
+    found = parts.join(added, "_uid", "left").select("doc_id.*", "has_letter", totals.alias("totals"))
+    name = F.element_at(F.array(*[F.lit(x) for x in languages]), F.array_position("totals", best).cast("int"))
+    return found.select(
+        "doc_id",
+        "held_out",
+        F.when(F.col("has_letter"), name).otherwise(UNKNOWN).alias("lang_pred"),
+        F.when(F.col("has_letter"), 1 / ratios).otherwise(0.0).alias("score"),
+    )
