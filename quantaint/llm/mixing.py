@@ -13,6 +13,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from math import ceil
+from random import Random
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -89,13 +91,14 @@ def source_targets(
     )
 
 
-def flight(chance: np.ndarray, size: np.ndarray) -> np.ndarray:
+def flight(chance: np.ndarray, size: np.ndarray, seed: int = 0) -> np.ndarray:
     """Move probabilities until at most two lie strictly between 0 and 1.
 
-    Both sums, of ``chance`` and of ``chance * size``, stay as they are. The direction is the
-    one that ends nearer: among constraints-preserving moves that keeps the result a function
-    of the order of the units alone, so reruns agree.
+    Both sums, of ``chance`` and of ``chance * size``, stay as they are. The direction of a move
+    is drawn with chances inverse to its room, so that each unit keeps its probability on average;
+    the draws follow from ``seed``, so reruns agree.
     """
+    draw = Random(seed).random
     p = [float(x) for x in chance]
     s = [float(x) for x in size]
     held: list[int] = []
@@ -112,7 +115,7 @@ def flight(chance: np.ndarray, size: np.ndarray) -> np.ndarray:
                 u = (1.0, -1.0, 0.0)
             up = min(_room(p[j], v) for j, v in zip(held, u, strict=True))
             down = min(_room(p[j], -v) for j, v in zip(held, u, strict=True))
-            step = up if up <= down else -down
+            step = up if draw() * (up + down) < down else -down
             for j, v in zip(held, u, strict=True):
                 p[j] = min(1.0, max(0.0, p[j] + step * v))
             for j in held:
@@ -169,7 +172,7 @@ def _fly(rows: DataFrame, last: bool) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def finish(name: str, parts: list[tuple]) -> pa.RecordBatch:
             uid, size, chance = (np.concatenate(x) for x in zip(*parts, strict=True))
-            done = flight(chance, size)
+            done = flight(chance, size, crc32(size.tobytes(), crc32(chance.tobytes(), crc32(name.encode()))))
             if last:
                 done = landing(done, size)
             return pa.RecordBatch.from_arrays(
