@@ -554,6 +554,23 @@ def statements() -> dict[str, str]:
     violated_uses = (*_CHECK_USES, "v_lineitem", "v_partsupp")
     add("check_constraints_violated", violated_uses, dirty)
     add("check_all_ok_violated", violated_uses, verdict.format(dirty))
+    each = " UNION ALL ".join(
+        f"SELECT {db_id} AS db_id, * FROM ("
+        + _CHECKS.format(
+            lineitem=f"(SELECT * FROM v_lineitem WHERE db_id = {db_id}) li",
+            partsupp=f"(SELECT * FROM v_partsupp WHERE db_id = {db_id}) ps",
+        )
+        + ") checks"
+        for db_id in (
+            f"'{SCALE}/{subset}/{tag}/seed{seed:02d}'" for subset, _, tag, seed in SCENARIOS
+        )
+    )
+    add("check_constraints_scenarios", violated_uses, each)
+    add(
+        "check_all_ok_scenarios", violated_uses,
+        f"SELECT db_id, bool_and(violations = 0) AS all_ok, "
+        f"COUNT(*) FILTER (violations > 0) AS violated_constraints FROM ({each}) GROUP BY db_id",
+    )
     add(
         "mis_dc3_raw",
         (),

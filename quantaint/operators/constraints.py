@@ -249,8 +249,8 @@ def check_constraints(tables: Mapping[str, DataFrame]) -> DataFrame:
     )
 
 
-def check_verdict(checked: DataFrame) -> DataFrame:
-    return checked.agg(
+def check_verdict(checked: DataFrame, group: tuple[str, ...] = ()) -> DataFrame:
+    return checked.groupBy(*group).agg(
         F.bool_and(F.col("violations") == 0).alias("all_ok"),
         F.count_if(F.col("violations") > 0).cast("bigint").alias("violated_constraints"),
     )

@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 
 from quantaint.operators.constraints import (
     CONSTRAINTS,
+    DC1,
+    DC2,
+    DC3,
     DenialConstraint,
     as_violation_sets,
+    join_relations,
     passes,
     shared_pass_rows,
 )
@@ -56,3 +60,40 @@ def violation_sets(overlay: Overlay, dcs: tuple[str, ...] = ALL_CONSTRAINTS) ->
 
 def set_counts(sets: DataFrame) -> DataFrame:
     return sets.groupBy("db_id", "dc").agg(F.count(F.lit(1)).alias("mis"))
+
+
+# The stock condition of the checks, which does not ask for the part.
+QUANTITY = DenialConstraint("DC5", ("lineitem", "partsupp"), "ps_availqty < 0", "partsupp", {})
+_CHECKED = {
+    "DC1": "DC1_receipt_before_ship",
+    "DC2": "DC2_commit_before_orderdate",
+    "DC3": "DC3_order_F_but_line_not_F",
+    "chain": "DC4_customer_region_chain_invalid",
+    "DC5": "DC5_negative_partsupp_availqty",
+}
+
+
+def check_scenarios(overlay: Overlay) -> DataFrame:
+    """(db_id, constraint, violations, status): ``check_constraints`` of every scenario's database.
+
+    Counted from the changed rows and once from the base, which is never copied.
+    """
+    ids = F.explode(db_ids(overlay.scenarios)).alias("db_id")
+    chain = (
+        join_relations(overlay.database, ("customer", "nation", "region"))
+        .filter("r_regionkey < 0")
+        .select(ids, F.lit("chain").alias("dc"))
+    )
+    rows = chain
+    for together in ([DC1, DC2, DC3], [QUANTITY]):
+        rows = rows.unionByName(scenario_rows(overlay, together).select("db_id", "dc"))
+    names = F.array(*[F.struct(F.lit(dc).alias("dc"), F.lit(c).alias("constraint")) for dc, c in _CHECKED.items()])
+    every = overlay.database.spark.range(1).select(ids).select("db_id", F.inline(names))
+    counts = rows.groupBy("db_id", "dc").agg(F.count(F.lit(1)).alias("n"))
+    found = F.coalesce("n", F.lit(0)).cast("bigint")
+    return every.join(counts, ["db_id", "dc"], "left").select(
+        "db_id",
+        "constraint",
+        found.alias("violations"),
+        F.when(found == 0, "OK").otherwise("VIOLATED").alias("status"),
+    )

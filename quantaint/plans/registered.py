@@ -120,6 +120,17 @@ def check_all_ok_violated(spark, sf_dir):
     return dc.check_verdict(dc.check_constraints(_violated_tables(spark, sf_dir)))
 
 
+@query("check_constraints_scenarios")
+def check_constraints_scenarios(spark, sf_dir):
+    """``check_constraints_violated`` sees the last scenario only, this one all of them."""
+    return violations.check_scenarios(experiment(spark, sf_dir).overlay)
+
+
+@query("check_all_ok_scenarios")
+def check_all_ok_scenarios(spark, sf_dir):
+    return dc.check_verdict(check_constraints_scenarios(spark, sf_dir), ("db_id",))
+
+
 @query("mis_dc3_raw")
 def mis_dc3_raw(spark, sf_dir):
     """Delivered lines repeat keys, so equal key combinations are counted."""
