@@ -1,8 +1,9 @@
 """Hitting sets of arbitrary families: connected parts, then bounds where no tuple is in all sets.
 
-The problem is NP-hard in general, so a part without a hub gets an upper bound (a cover chosen
-by rounds of locally greatest degree) and a lower one (sets chosen by rounds that share no
-tuple). Both are joins and aggregates over the rows of the parts, whatever their size. Where
+The problem is NP-hard in general. A part without a hub is first reduced exactly: supersets and
+dominated tuples go and the tuple of a set of one is taken, until nothing changes. What is left
+gets an upper bound (a cover chosen by rounds of locally greatest degree) and a lower one (sets
+chosen by rounds that share no tuple). All are joins and aggregates over the rows of the parts, whatever their size. Where
 the bounds of a tuple meet, its status is OPTIMAL, else FEASIBLE with the upper bound as gamma.
 """
 
@@ -152,17 +153,23 @@ def general_gamma(sets: DataFrame, group: list[str]) -> DataFrame:
 def _bounds(members: DataFrame, part: list[str]) -> DataFrame:
     """(part, tid) with bounds of the least hitting set of the part, and of its sets without the tuple.
 
-    Without its own sets, a tuple is not needed in the cover, nor is one further member whose
+    The sets without a tuple need at most one tuple less than all sets. Without its own sets, a
+    tuple is not needed in the cover, nor is one further member whose
     private sets (those that no other member hits) all contain the tuple; and a set that was
     packed is lost at most.
     """
     tid, mis = [*part, "tid"], [*part, "mis_id"]
-    cover, packed = _cover(members, part), _packing(members, part)
+    taken, left = _reduce(members, part)
+    cover, packed = taken.unionByName(_cover(left, part)), _packing(members, part)
+    certain = taken.unionByName(_packing(left, part).select(*part, F.col("mis_id").alias("tid")))
     one = F.lit(1).cast("bigint")
     in_cover = cover.withColumn("in_cover", one)
     in_packing = members.join(packed, mis, "left_semi").groupBy(*tid).agg(one.alias("in_packing"))
     sizes = cover.groupBy(*part).agg(F.count(F.lit(1)).alias("cost_high"))
-    lows = packed.groupBy(*part).agg(F.count(F.lit(1)).alias("cost_low"))
+    lows = packed.groupBy(*part).agg(F.count(F.lit(1)).alias("n_packed")).join(
+        certain.groupBy(*part).agg(F.count(F.lit(1)).alias("n_certain")), part
+    )
+    lows = lows.withColumn("cost_low", F.greatest("n_packed", "n_certain"))
     # Sets that one member of the cover hits alone, and the tuples beside it.
     hits = members.join(cover, tid).groupBy(*mis).agg(F.count(F.lit(1)).alias("n"), F.min("tid").alias("s"))
     private = hits.filter("n = 1").select(*mis, "s")
@@ -178,7 +185,9 @@ def _bounds(members: DataFrame, part: list[str]) -> DataFrame:
     some_left = F.when(F.col("n_own") < F.col("n_sets"), 1).otherwise(0)
     saved = F.greatest(F.coalesce("in_cover", F.lit(0)), F.coalesce("spared", F.lit(0)))
     high = F.when(some_left == 0, 0).otherwise(F.greatest(F.col("cost_high") - saved, F.lit(1)))
-    low = F.greatest(F.col("cost_low") - F.coalesce("in_packing", F.lit(0)), some_left)
+    low = F.greatest(
+        F.col("cost_low") - 1, F.col("n_packed") - F.coalesce("in_packing", F.lit(0)), some_left
+    )
     return joined.select(
         *tid,
         "cost_low",
@@ -188,6 +197,53 @@ def _bounds(members: DataFrame, part: list[str]) -> DataFrame:
     )
 
 
+def _reduce(members: DataFrame, part: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(part, tid) taken and the members left, with the same least size of a hitting set together.
+
+    A set that holds another and a tuple whose sets all hold another tuple are dropped; of equal
+    ones the least name stays. The tuple of a set of one is taken with all its sets. Candidates
+    come from the rarest tuple of a set and the smallest set of a tuple.
+    """
+    tid, mis = [*part, "tid"], [*part, "mis_id"]
+    left, taken, rows = members, members.filter(F.lit(False)).select(*tid), members.count()
+    while True:
+        left = keep(_without_larger(left, part, "mis_id", "tid", 1), "least-sets")
+        single = left.groupBy(*mis).agg(F.min("tid").alias("tid"), F.count(F.lit(1)).alias("n"))
+        forced = keep(single.filter("n = 1").select(*tid).distinct(), "forced")
+        taken = taken.unionByName(forced)
+        hit = left.join(forced, tid, "left_semi").select(*mis).distinct()
+        left = keep(left.join(hit, mis, "left_anti"), "open-sets")
+        left = keep(_without_larger(left, part, "tid", "mis_id", -1), "open-sets")
+        before, rows = rows, left.count()
+        if rows in (0, before):
+            return taken, left
+
+
+def _without_larger(members: DataFrame, part: list[str], a: str, b: str, sign: int) -> DataFrame:
+    """Rows without each ``a`` whose ``b`` include those of another ``a`` (sign 1) or lie in them (-1)."""
+    key_a, key_b = [*part, a], [*part, b]
+    sizes = members.groupBy(*key_a).agg(F.count(F.lit(1)).alias("n"))
+    degrees = members.groupBy(*key_b).agg(F.count(F.lit(1)).alias("d"))
+    rarest = members.join(degrees, key_b).groupBy(*key_a).agg(F.min(F.struct("d", b))[b].alias(b))
+    inner = rarest.join(sizes, key_a).withColumnRenamed(a, "small").withColumnRenamed("n", "n_small")
+    outer = members.join(sizes, key_a).withColumnRenamed(a, "large").withColumnRenamed("n", "n_large")
+    first = F.col("small") < F.col("large") if sign > 0 else F.col("large") < F.col("small")
+    pairs = inner.join(outer, key_b).filter(
+        (F.col("n_small") < F.col("n_large"))
+        | ((F.col("n_small") == F.col("n_large")) & first)
+    )
+    common = (
+        pairs.select(*part, "small", "large", "n_small")
+        .join(members.withColumnRenamed(a, "small"), [*part, "small"])
+        .join(members.withColumnRenamed(a, "large"), [*part, "large", b])
+        .groupBy(*part, "small", "large", "n_small")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .filter("n = n_small")
+    )
+    dropped = common.select(*part, F.col("large" if sign > 0 else "small").alias(a)).distinct()
+    return members.join(dropped, key_a, "left_anti")
+
+
 def _cover(members: DataFrame, part: list[str]) -> DataFrame:
     """(part, tid) of a hitting set: each round takes the tuples that are first, by number of open
     sets and hash, in all their open sets."""

@@ -22,7 +22,7 @@ AGGREGATIONS: dict[str, str] = {"prov": "cnt", "resp": "rho", "shap": "phi"}
 def responsibility_weights(
     counts: DataFrame, supports: DataFrame, specs: Mapping[str, QuerySpec] = QUERIES
 ) -> DataFrame:
-    """Per (answer, tuple): occurrences, gamma and rho = 1/(1+gamma).
+    """Per (answer, tuple): occurrences, gamma with its lower bound and status, rho = 1/(1+gamma).
 
     Answers whose supports have several hubs that not every tuple's key determines (two
     nations of one name) take the general method.
@@ -33,17 +33,18 @@ def responsibility_weights(
         here = F.col("qname") == spec.name
         is_hub = is_hub | (here & (F.col("relation") == spec.hub))
         determined = determined | (here & F.lit(spec.hub_is_determined))
-    columns = [*ANSWER, "relation", "pk", "cnt", "gamma"]
+    columns = [*ANSWER, "relation", "pk", "cnt", "gamma", "gamma_low", "status"]
+    exact = {"gamma_low": F.col("gamma"), "status": F.lit("OPTIMAL")}
     most = answers_at_most(specs)
     odd = keep(several_hubs(counts, ANSWER, is_hub, determined), "several-hubs")
     if odd.isEmpty():
-        return with_rho(hub_gamma(counts, ANSWER, is_hub, most, determined).select(*columns))
+        return with_rho(hub_gamma(counts, ANSWER, is_hub, most, determined).withColumns(exact).select(*columns))
     plain = hub_gamma(counts.join(odd, ANSWER, "left_anti"), ANSWER, is_hub, most, determined)
     sets = supports.join(odd, ANSWER, "left_semi").withColumn(
         "mis_id", F.sha2(F.to_json(F.array_sort("tuples")), 256)
     )
     general = general_gamma(sets, ANSWER)
-    return with_rho(plain.select(*columns).unionByName(general.select(*columns)))
+    return with_rho(plain.withColumns(exact).select(*columns).unionByName(general.select(*columns)))
 
 
 def answer_weights(
