@@ -1,66 +1,29 @@
-"""ROW_NUMBER that stays distributed when a group is too large for one task."""
+"""Row numbers per group without gathering a group in one task."""
 
 from __future__ import annotations
 
-from math import ceil
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantaint.sources.store import keep
 
-# Rows one task sorts comfortably (with spill); larger groups are split.
-GROUP_ROWS = 20_000_000
 
+def number_rows(df: DataFrame, groups: list[str], order: list[str], out: str) -> DataFrame:
+    """Add ``out`` = 1, 2, … per group in ``order``; no groups: over all rows.
 
-def number_rows(
-    df: DataFrame,
-    groups: list[str],
-    order: list[str],
-    out: str,
-    at_most: int,
-    group_rows: int = GROUP_ROWS,
-) -> DataFrame:
-    """Add ``out`` = 1, 2, … per group in ``order``.
+    Rows are dealt in ranges of (group, order), so that a group of any size spreads over
+    as many pieces as its rows need. A row's number is its place within the piece plus
+    the group's rows in earlier pieces: two levels of sums, the second over one row per
+    (group, piece). Ties are numbered in any order; null is a group and sorts first.
 
-    ``at_most`` bounds the rows of ``df``. Below ``group_rows`` no group can be
-    too large and a plain window does. Otherwise the oversized groups (at most
-    ``at_most / group_rows`` of them, so the list may be broadcast) are numbered
-    from a range-partitioned sort, and only the rest goes through the window.
-    """
-    if at_most <= group_rows:
-        return _by_window(df, groups, order, out)
-    sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
-    oversized = keep(sizes.filter(F.col("_n") > group_rows), "oversized-groups")
-    total = oversized.agg(F.sum("_n")).first()[0]
-    if total is None:
-        return _by_window(df, groups, order, out)
-    names = F.broadcast(oversized.select(*groups))
-    rest = df.join(names, groups, "left_anti")
-    large = df.join(names, groups, "left_semi")
-    pieces = max(2, ceil(4 * total / group_rows))
-    numbered = _by_range(large, groups, order, out, pieces)
-    return _by_window(rest, groups, order, out).unionByName(numbered)
-
-
-def _by_window(df: DataFrame, groups: list[str], order: list[str], out: str) -> DataFrame:
-    window = Window.partitionBy(*groups).orderBy(*order)
-    return df.withColumn(out, F.row_number().over(window).cast("bigint"))
-
-
-def _by_range(
-    df: DataFrame, groups: list[str], order: list[str], out: str, pieces: int
-) -> DataFrame:
-    """Sort by (group, order), write once, then shift local positions.
-
-    The sorted rows are written because the piece boundaries are sampled: a
-    second evaluation could cut elsewhere. One offset row exists per
-    (group, piece), and a piece boundary adds at most one, so their number is
-    bounded by oversized groups + pieces.
+    The sorted rows are written because piece boundaries are sampled: a second evaluation
+    could cut elsewhere.
     """
     key = [*groups, *order]
     sorted_rows = keep(
-        df.repartitionByRange(pieces, *key)
+        df.repartitionByRange(*key)
         .sortWithinPartitions(*key)
         .withColumn("_piece", F.spark_partition_id())
         .withColumn("_local", F.monotonically_increasing_id()),
@@ -69,16 +32,20 @@ def _by_range(
     heads = sorted_rows.groupBy(*groups, "_piece").agg(
         F.min("_local").alias("_first"), F.count(F.lit(1)).alias("_n")
     )
+    # A group has at most one head per piece.
     before = Window.partitionBy(*groups).orderBy("_piece").rowsBetween(
         Window.unboundedPreceding, -1
     )
     shifts = heads.select(
-        *groups,
-        "_piece",
+        *[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)],
+        F.col("_piece").alias("_p"),
         (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"),
     )
-    return (
-        sorted_rows.join(F.broadcast(shifts), [*groups, "_piece"])
-        .withColumn(out, (F.col("_local") + F.col("_shift")).cast("bigint"))
-        .drop("_piece", "_local", "_shift")
+    same = reduce(
+        lambda a, b: a & b,
+        [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(groups)],
+        F.col("_piece") == F.col("_p"),
+    )
+    return sorted_rows.join(shifts, same).select(
+        *df.columns, (F.col("_local") + F.col("_shift")).cast("bigint").alias(out)
     )

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quantaint.functions.keys import pk_text, tuple_struct
 from quantaint.operators.constraints import INJECTED, join_relations
-from quantaint.operators.numbering import GROUP_ROWS, number_rows
+from quantaint.operators.numbering import number_rows
 from quantaint.schema import KEYS, determines
 from quantaint.sources.database import Database
 from quantaint.sources.store import keep
@@ -168,20 +168,13 @@ def answers(supports: DataFrame) -> DataFrame:
     )
 
 
-def numbered_supports(db: Database, spec: QuerySpec, group_rows: int = GROUP_ROWS) -> DataFrame:
+def numbered_supports(db: Database, spec: QuerySpec) -> DataFrame:
     """One row per (support, tuple) with answer and support numbers.
 
     The joined keys are stored once; numbers and answers both come from that table.
     """
     rows = keep(support_rows(db, spec), "support-rows")
-    numbered = number_rows(
-        rows,
-        ["answervalue"],
-        spec.keys,
-        "support_id",
-        max(db.rows(rel) for rel in spec.relations),
-        group_rows,
-    )
+    numbered = number_rows(rows, ["answervalue"], spec.keys, "support_id")
     listed = answers(rows.select(F.lit(spec.name).alias("qname"), "answervalue"))
     members = []
     for rel in spec.relations:
