@@ -99,5 +99,59 @@ FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN roots USING (doc_id)
 """
 
 
+# CRC-32 of the UTF-8 bytes of ``name``: a table of 256 entries by rule, then a fold over the bytes.
+_CRC = """
+crc_table AS MATERIALIZED (
+  SELECT list(list_reduce(range(8), lambda c, i:
+    CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n) ORDER BY n) AS entries
+  FROM range(256) AS t(n)
+), crcs AS MATERIALIZED (
+  SELECT name, xor(list_reduce(
+    list_transform(range(1, length(hex(encode(name))), 2), lambda i:
+      16 * (instr('0123456789ABCDEF', substr(hex(encode(name)), i, 1)) - 1)
+      + instr('0123456789ABCDEF', substr(hex(encode(name)), i + 1, 1)) - 1),
+    lambda c, b: xor(c >> 8, entries[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS crc
+  FROM (SELECT DISTINCT name FROM names), crc_table
+)"""
+
+_RESAMPLE = rf"""
+WITH texts AS (
+  SELECT 0 AS target, row_number() OVER () AS n, doc_id, text FROM documents
+  UNION ALL SELECT 1, -1 - row_number() OVER (), NULL, text FROM benchmark
+), words AS MATERIALIZED (
+  SELECT target, n, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM texts
+), features AS MATERIALIZED (SELECT target, n, unnest(w) AS name FROM words),
+names AS (SELECT name FROM features), {_CRC},
+hits AS MATERIALIZED (
+  SELECT target, n, crc % 10000 AS bucket, count(*) AS k
+  FROM features JOIN crcs USING (name) GROUP BY ALL
+), counts AS (
+  SELECT bucket, coalesce(sum(k) FILTER (target = 0), 0)::DOUBLE AS s,
+    coalesce(sum(k) FILTER (target = 1), 0)::DOUBLE AS t
+  FROM hits GROUP BY bucket
+), gains AS MATERIALIZED (
+  SELECT bucket, floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000) / ((s + 1) * (sum(t) OVER () + 10000))))::BIGINT AS gain
+  FROM counts
+), weights AS (
+  SELECT n, floor(sum(k * gain) / sum(k)::DOUBLE)::BIGINT AS weight
+  FROM hits JOIN gains USING (bucket) WHERE target = 0 GROUP BY n
+), scored AS (
+  SELECT n, doc_id, len(w) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((
+      ('0x' || left(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM words LEFT JOIN weights USING (n) WHERE target = 0
+), placed AS (
+  SELECT n, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST) AS place, count(*) OVER () AS open_rows
+  FROM scored WHERE n_features >= 20
+)
+SELECT doc_id, n_features::BIGINT AS n_features, weight, score,
+  CASE WHEN place <= 10 * open_rows // 100 THEN place END AS rank
+FROM scored LEFT JOIN placed USING (n)
+"""
+
+
 def statements() -> dict[str, str]:
-    return {"op5_url_rules": _URLS, "op8_chat_format": _CHAT, "op9_near_duplicates": _NEAR}
+    return {"op5_url_rules": _URLS, "op8_chat_format": _CHAT, "op9_near_duplicates": _NEAR, "op13_importance_resampling": _RESAMPLE}

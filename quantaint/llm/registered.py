@@ -17,6 +17,7 @@ from quantaint.llm import (
     packing,
     permutation_index,
     quality_rules,
+    resampling,
     token_files,
     url_rules,
 )
@@ -87,6 +88,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict_languages(_table(spark, sf_dir, "documents"))
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_token_files": op1_token_files,
@@ -99,4 +104,5 @@ def queries() -> dict[str, Query]:
         "op8_chat_format": op8_chat_format,
         "op9_near_duplicates": op9_near_duplicates,
         "op10_language": op10_language,
+        "op13_importance_resampling": op13_importance_resampling,
     }
