@@ -99,6 +99,25 @@ FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN roots USING (doc_id)
 """
 
 
+# Pages whose article is marked as one: its blocks, without tags, decoded.
+_HTML = r"""
+WITH articles AS (
+  SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS article FROM pages
+), blocks AS (
+  SELECT page_id, url, list_filter(list_transform(
+    string_split(regexp_replace(article, '</?(p|h1)>', chr(1), 'g'), chr(1)),
+    lambda block: trim(regexp_replace(
+      regexp_replace(replace(replace(replace(
+        regexp_replace(replace(block, '<br>', ' '), '<[^>]*>', '', 'g'),
+        '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'),
+      '[\x20\x09-\x0D]+', ' ', 'g'), ' ')), lambda block: block <> '') AS found
+  FROM articles
+)
+SELECT page_id, url, array_to_string(found, chr(10) || chr(10)) AS text,
+  length(array_to_string(found, chr(10) || chr(10)))::BIGINT AS n_chars
+FROM blocks
+"""
+
 # CRC-32 of the UTF-8 bytes of ``name``: a table of 256 entries by rule, then a fold over the bytes.
 _CRC = """
 crc_table AS MATERIALIZED (
@@ -154,4 +173,10 @@ FROM scored LEFT JOIN placed USING (n)
 
 
 def statements() -> dict[str, str]:
-    return {"op5_url_rules": _URLS, "op8_chat_format": _CHAT, "op9_near_duplicates": _NEAR, "op13_importance_resampling": _RESAMPLE}
+    return {
+        "op5_url_rules": _URLS,
+        "op8_chat_format": _CHAT,
+        "op9_near_duplicates": _NEAR,
+        "op11_html_text": _HTML,
+        "op13_importance_resampling": _RESAMPLE,
+    }

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quantaint.llm import (
     chat,
+    html_text,
     language,
     mixing,
     near_dedup,
@@ -88,6 +89,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict_languages(_table(spark, sf_dir, "documents"))
 
 
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -104,5 +109,6 @@ def queries() -> dict[str, Query]:
         "op8_chat_format": op8_chat_format,
         "op9_near_duplicates": op9_near_duplicates,
         "op10_language": op10_language,
+        "op11_html_text": op11_html_text,
         "op13_importance_resampling": op13_importance_resampling,
     }
