@@ -133,6 +133,73 @@ crc_table AS MATERIALIZED (
   FROM (SELECT DISTINCT name FROM names), crc_table
 )"""
 
+# Cheapest edits forwards, row by row: the least (cost, edits) of each state, with up to two insertions.
+_REPAIR = rf"""
+WITH RECURSIVE names AS (
+  SELECT coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations
+), {_CRC},
+damaged AS MATERIALIZED (
+  SELECT conv_id, turn, CASE WHEN crc % 20 = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+    CASE crc % 20 WHEN 1 THEN '' WHEN 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g')
+      ELSE coalesce(text, ' ') END AS text
+  FROM conversations JOIN crcs ON name = coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '),
+    range(CASE WHEN crc % 20 = 3 THEN 2 ELSE 1 END)
+  WHERE crc % 20 <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged
+), judged AS MATERIALIZED (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' 
+      WHEN i > min(i) OVER (PARTITION BY conv_id, role, text) THEN 'duplicate'
+      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE 'none' END AS fault,
+    left(role, 1) AS initial
+  FROM placed
+), inserts(state, k, after, edits, said) AS (
+  VALUES (0, 0, 0, '', ''), (0, 1, 2, 'I', 'user:'), (0, 2, 3, 'II', 'user:' || chr(10) || 'assistant:'),
+    (1, 0, 1, '', ''), (1, 1, 2, 'I', 'user:'), (1, 2, 3, 'II', 'user:' || chr(10) || 'assistant:'),
+    (2, 0, 2, '', ''), (2, 1, 3, 'I', 'assistant:'), (3, 0, 3, '', ''), (3, 1, 2, 'I', 'user:')
+), edits(state, edit, initial, after, role) AS (
+  VALUES (0, 'D', NULL, 0, NULL), (1, 'D', NULL, 1, NULL), (2, 'D', NULL, 2, NULL), (3, 'D', NULL, 3, NULL),
+    (0, 'K', 's', 1, NULL), (0, 'K', 'u', 2, NULL), (1, 'K', 'u', 2, NULL), (2, 'K', 'a', 3, NULL), (3, 'K', 'u', 2, NULL),
+    (0, 'R', NULL, 2, 'user'), (1, 'R', NULL, 2, 'user'), (2, 'R', NULL, 3, 'assistant'), (3, 'R', NULL, 2, 'user')
+), path AS (
+  SELECT conv_id, 0 AS i, after AS state, {{'cost': 2 * k, 'edits': edits, 'said': said}} AS best
+  FROM (SELECT DISTINCT conv_id FROM conversations), inserts WHERE state = 0
+  UNION ALL
+  SELECT conv_id, i, n.after,
+    min({{'cost': cost + 2 * k, 'edits': so_far || n.edits,
+         'said': so_far_said || CASE WHEN so_far_said <> '' AND n.said <> '' THEN chr(10) ELSE '' END || n.said}})
+  FROM (
+    SELECT p.conv_id, r.i, e.after AS state, best.edits || edit AS so_far,
+      best.cost + CASE edit WHEN 'D' THEN 3 WHEN 'R' THEN 2 ELSE 0 END
+        + CASE WHEN edit <> 'D' AND fault = 'truncated' THEN 1 ELSE 0 END AS cost,
+      best.said || CASE WHEN edit = 'D' THEN ''
+        ELSE CASE WHEN best.said = '' THEN '' ELSE chr(10) END || coalesce(e.role, r.role) || ':' || text END AS so_far_said
+    FROM path p JOIN judged r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.i = p.i + 1
+    JOIN edits e ON e.state = p.state AND (e.initial IS NULL OR e.initial = r.initial)
+      AND (edit = 'D' OR fault NOT IN ('blank', 'duplicate'))
+  ) JOIN inserts n USING (state)
+  GROUP BY conv_id, i, n.after
+), last_row AS (
+  SELECT conv_id, max(i) AS n, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated
+  FROM judged GROUP BY conv_id
+), pairs AS (
+  SELECT conv_id, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM (SELECT conv_id, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM judged)
+  GROUP BY conv_id
+), repaired AS (
+  SELECT conv_id, i, min(best) AS best FROM path WHERE state IN (0, 3) GROUP BY conv_id, i
+)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank,
+  coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, best.cost::BIGINT AS cost, best.edits AS audit, sha256(best.said) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN last_row l ON l.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN pairs q ON q.conv_id IS NOT DISTINCT FROM c.conv_id
+JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM c.conv_id AND r.i = coalesce(l.n, 0)
+"""
+
 _RESAMPLE = rf"""
 WITH texts AS (
   SELECT 0 AS target, row_number() OVER () AS n, doc_id, text FROM documents
@@ -178,5 +245,6 @@ def statements() -> dict[str, str]:
         "op8_chat_format": _CHAT,
         "op9_near_duplicates": _NEAR,
         "op11_html_text": _HTML,
+        "op12_conversation_repair": _REPAIR,
         "op13_importance_resampling": _RESAMPLE,
     }

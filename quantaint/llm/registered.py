@@ -18,6 +18,7 @@ from quantaint.llm import (
     packing,
     permutation_index,
     quality_rules,
+    repair,
     resampling,
     token_files,
     url_rules,
@@ -93,6 +94,10 @@ def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(_table(spark, sf_dir, "pages"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_conversations(_table(spark, sf_dir, "conversations"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -110,5 +115,6 @@ def queries() -> dict[str, Query]:
         "op9_near_duplicates": op9_near_duplicates,
         "op10_language": op10_language,
         "op11_html_text": op11_html_text,
+        "op12_conversation_repair": op12_conversation_repair,
         "op13_importance_resampling": op13_importance_resampling,
     }
