@@ -116,6 +116,21 @@ _KEY_COLUMNS = {
 }
 
 
+def _product(p: str, q: str) -> str:
+    """Coefficients of the product of two polynomials, lists from the constant up."""
+    return (
+        f"list_transform(range(0, len({p}) + len({q}) - 1), lambda s: list_sum(list_transform("
+        f"range(greatest(0, s - len({q}) + 1), least(len({p}), s + 1)), lambda i: {p}[i + 1] * {q}[s - i + 1])))"
+    )
+
+
+def _chance(coalitions: str) -> str:
+    """Share of the orders of n tuples in which a coalition counted by size comes just before a tuple."""
+    return (
+        f"list_sum(list_transform({coalitions}, lambda c, i: c * exp(lgamma(i) + lgamma(n - i + 1) - lgamma(n + 1))))"
+    )
+
+
 def _text(columns: tuple[str, ...]) -> str:
     return " || ',' || ".join(f"CAST({c} AS VARCHAR)" for c in columns)
 
@@ -452,10 +467,73 @@ _PARTS: dict[str, tuple[tuple[str, ...], str]] = {
         + " AS DOUBLE) AS phi FROM arrivals a LEFT JOIN pivots p ON p.qname = a.qname AND "
         "p.answervalue = a.answervalue AND p.sample = a.sample AND p.arrival = a.arrival GROUP BY ALL",
     ),
+    # Stars of the forests of Q1 to Q3 (a centre and its leaves; Q1 has leaves alone), and the number of
+    # coalitions by size that meet every support of all stars but one, by multiplying polynomials.
+    "forest": (
+        ("flat",),
+        "SELECT qname, answervalue, "
+        "MAX(CASE WHEN (qname, rel) IN (('Q3', 'nation')) THEN rel || '#' || pk END) AS root, "
+        "MAX(CASE WHEN (qname, rel) IN (('Q2', 'orders'), ('Q3', 'customer')) THEN rel || '#' || pk END) AS centre, "
+        "MAX(CASE WHEN (qname, rel) IN (('Q1', 'orders'), ('Q2', 'lineitem'), ('Q3', 'orders')) "
+        "THEN rel || '#' || pk END) AS leaf "
+        "FROM flat WHERE qname IN ('Q1', 'Q2', 'Q3') GROUP BY qname, answervalue, support_id",
+    ),
+    "stars": (
+        ("forest",),
+        "SELECT *, ROW_NUMBER() OVER (PARTITION BY qname, answervalue ORDER BY centre) AS i FROM ("
+        "SELECT qname, answervalue, centre, COUNT(*) AS k, "
+        "list_transform(range(0, COUNT(*) + 2), lambda j: CASE WHEN j = COUNT(*) THEN 1 ELSE 0 END + "
+        "CASE WHEN j = 0 THEN 0 ELSE round(exp(lgamma(COUNT(*) + 1) - lgamma(j) - lgamma(COUNT(*) - j + 2))) END) "
+        "AS held FROM forest WHERE qname <> 'Q1' GROUP BY qname, answervalue, centre)",
+    ),
+    "rest": (
+        ("stars", "sizes"),
+        "SELECT qname, answervalue, k, n, 0::BIGINT AS i, MIN(i) AS skipped, [1::DOUBLE] AS held "
+        "FROM stars JOIN sizes USING (qname, answervalue) GROUP BY qname, answervalue, k, n "
+        "UNION ALL SELECT r.qname, r.answervalue, r.k, r.n, s.i, skipped, CASE WHEN s.i = skipped THEN r.held ELSE "
+        + _product("r.held", "s.held")
+        + " END FROM rest r JOIN stars s ON s.qname = r.qname AND s.answervalue = r.answervalue AND s.i = r.i + 1",
+    ),
+    "others": (
+        ("rest",),
+        "SELECT * FROM rest QUALIFY i = MAX(i) OVER (PARTITION BY qname, answervalue)",
+    ),
+    "star_phi": (
+        ("others",),
+        "SELECT qname, answervalue, k, n, "
+        + _chance(_product("held", "list_transform(range(0, k), lambda j: round(exp(lgamma(k + 1) - lgamma(j + 1) - lgamma(k - j + 1))))"))
+        + " AS centre_phi, "
+        + _chance("list_concat(list_transform(range(0, k - 1), lambda j: 0::DOUBLE), held)")
+        + " AS leaf_phi FROM others",
+    ),
+    "root_phi": (
+        ("others", "stars"),
+        "SELECT qname, answervalue, "
+        + _chance(
+            "list_transform(range(0, n), lambda j: exp(lgamma(n) - lgamma(j + 1) - lgamma(n - j)) - "
+            "coalesce(everything[j + 1], 0))"
+        )
+        + " AS phi FROM (SELECT o.qname, o.answervalue, n, "
+        + _product("o.held", "s.held")
+        + " AS everything FROM others o JOIN stars s ON s.qname = o.qname AND s.answervalue = o.answervalue "
+        "AND s.i = o.skipped WHERE o.qname = 'Q3' AND s.i = 1)",
+    ),
+    "phi_closed": (
+        ("star_phi", "root_phi", "stars", "forest", "sizes"),
+        "SELECT qname, answervalue, string_split(t, '#')[1] AS relation, string_split(t, '#')[2] AS pk, phi FROM ("
+        "SELECT qname, answervalue, leaf AS t, 1.0::DOUBLE / n AS phi FROM forest JOIN sizes USING (qname, answervalue) "
+        "WHERE qname = 'Q1' "
+        "UNION ALL SELECT f.qname, f.answervalue, leaf, leaf_phi FROM forest f JOIN stars s ON s.qname = f.qname "
+        "AND s.answervalue = f.answervalue AND s.centre = f.centre JOIN star_phi p ON p.qname = f.qname "
+        "AND p.answervalue = f.answervalue AND p.k = s.k "
+        "UNION ALL SELECT qname, answervalue, centre, centre_phi FROM stars JOIN star_phi USING (qname, answervalue, k) "
+        "UNION ALL SELECT DISTINCT qname, answervalue, root, phi FROM forest JOIN root_phi USING (qname, answervalue))",
+    ),
     "weights": (
-        ("rho", "phi_exact", "phi_sampled"),
+        ("rho", "phi_exact", "phi_sampled", "phi_closed"),
         "SELECT qname, answervalue, relation, pk, cnt, 1.0::DOUBLE / (1 + gamma) AS rho, phi FROM "
-        "rho JOIN (SELECT * FROM phi_exact UNION ALL SELECT * FROM phi_sampled) "
+        "rho JOIN (SELECT * FROM phi_exact WHERE qname IN ('Q4', 'Q5') UNION ALL SELECT * FROM phi_sampled "
+        "WHERE qname IN ('Q4', 'Q5') UNION ALL SELECT * FROM phi_closed) "
         "USING (qname, answervalue, relation, pk)",
     ),
     "sums": (
@@ -507,7 +585,7 @@ def statement(uses: tuple[str, ...], select: str) -> str:
         f"{name} AS {'MATERIALIZED ' if name in _MATERIALIZED else ''}({_PARTS[name][1]})"
         for name in ordered
     )
-    return f"WITH {parts} {select}"
+    return f"WITH RECURSIVE {parts} {select}" if "rest" in ordered else f"WITH {parts} {select}"
 
 
 _CHECKS = """
@@ -710,6 +788,10 @@ def statements() -> dict[str, str]:
         "shapley_exact", ("phi_exact",),
         "SELECT qname, answervalue, relation, pk, ROUND(phi, 6) AS phi FROM phi_exact",
     )
+    add(
+        "shapley_closed", ("phi_closed",),
+        "SELECT qname, answervalue, relation, pk, ROUND(phi, 6) AS phi FROM phi_closed",
+    )
     add(
         "shapley_mc", ("phi_sampled",),
         "SELECT qname, answervalue, relation, pk, ROUND(phi, 6) AS phi FROM phi_sampled",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from math import factorial
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 from quantaint.functions.hashing import digest_words, with_draws
 from quantaint.functions.keys import tuple_id
-from quantaint.operators.supports import ANSWER, support_size
+from quantaint.operators.closed_shapley import closed_shapley, hierarchical
+from quantaint.operators.supports import ANSWER, QUERIES, QuerySpec, support_size
 
 # Exact up to this many tuples, sampled above it.
 EXACT_TUPLES = 14
@@ -25,12 +27,22 @@ def shapley_weights(
     widest: int,
     exact_tuples: int = EXACT_TUPLES,
     samples: int = SAMPLES,
+    specs: Mapping[str, QuerySpec] = QUERIES,
 ) -> DataFrame:
-    """(qname, answervalue, relation, pk, phi, method) for every tuple."""
-    exact = exact_shapley(supports, counts, answers_at_most, exact_tuples)
-    sampled = sampled_shapley(supports, counts, answers_at_most, widest, exact_tuples, samples)
-    return exact.withColumn("method", F.lit("exact")).unionByName(
-        sampled.withColumn("method", F.lit("sampled"))
+    """(qname, answervalue, relation, pk, phi, method) for every tuple.
+
+    Answers of hierarchical queries have a closed form; the others are enumerated up to
+    ``exact_tuples`` and sampled above.
+    """
+    other = ~F.col("qname").isin(hierarchical(specs))
+    supports_left, counts_left = supports.filter(other), counts.filter(other)
+    closed = closed_shapley(supports, specs)
+    exact = exact_shapley(supports_left, counts_left, answers_at_most, exact_tuples)
+    sampled = sampled_shapley(supports_left, counts_left, answers_at_most, widest, exact_tuples, samples)
+    return (
+        closed.withColumn("method", F.lit("closed"))
+        .unionByName(exact.withColumn("method", F.lit("exact")))
+        .unionByName(sampled.withColumn("method", F.lit("sampled")))
     )
 
 

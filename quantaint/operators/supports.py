@@ -41,6 +41,14 @@ class QuerySpec:
     def hub_is_determined(self) -> bool:
         return all(determines(rel, self.hub, self.relations) for rel in self.relations)
 
+    @property
+    def chain(self) -> tuple[str, ...] | None:
+        """Relations from the root to the leaf if each one fixes the one before it, else none."""
+        fixed = {r: sum(determines(r, other, self.relations) for other in self.relations) for r in self.relations}
+        order = tuple(sorted(self.relations, key=fixed.__getitem__))
+        linked = all(determines(b, a, self.relations) for a, b in zip(order, order[1:], strict=False))
+        return order if linked else None
+
     @property
     def reads_injected_columns(self) -> bool:
         words = set(re.findall(r"\w+", " ".join((*self.where, self.answer))))

@@ -71,6 +71,7 @@ def answer_weights(
             max(len(spec.relations) for spec in specs.values()),
             exact_tuples,
             samples,
+            specs,
         )
         weights = weights.join(phi.select(*tid, "phi"), tid)
     return weights

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quantaint.functions.labels import norm_scale, norm_seed
 from quantaint.operators import constraints as dc
 from quantaint.operators import inject, measures, supports, violations
+from quantaint.operators.closed_shapley import closed_shapley
 from quantaint.operators.components import general_gamma
 from quantaint.operators.hitting import tuple_counts
 from quantaint.operators.scenarios import Scenario
@@ -449,6 +450,11 @@ def shapley_exact(spark, sf_dir):
     return _rounded(exact_shapley(sets, _counts(spark, sf_dir), answers_at_most()), "phi")
 
 
+@query("shapley_closed")
+def shapley_closed(spark, sf_dir):
+    return _rounded(closed_shapley(experiment(spark, sf_dir).supports), "phi")
+
+
 @query("shapley_mc")
 def shapley_mc(spark, sf_dir):
     sets = experiment(spark, sf_dir).supports
