@@ -5,8 +5,9 @@ over source size. The whole part is certain; the fraction is an inclusion probab
 that the cube method turns into a yes or no: a flight moves three probabilities at a
 time along the null space of the constraints (number of documents, total size) until
 one of them is 0 or 1. Sources are flown in bounded blocks; at most two open documents
-of each block meet in the next level, until one block a source is left, where at most
-two are rounded to the best total and a few small documents make up for the rest.
+of each block meet in the next level, until one block a source is left. There the last two
+are drawn by their chances, and where that leaves the total off its target by more than a small
+share, which takes a source of few documents, some documents are turned round to make up for it.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ BLOCK = 20_000
 _WORD = r"[^\x20\x09-\x0D]+"
 _EPS = 1e-9
 _SMALLEST = 200
-# A source of so few documents is rounded as a whole.
-_FEW = 12
+# A source's total may miss its target by this share.
+NEAR = 0.005
 
 
 def word_count(text: Column) -> Column:
@@ -131,23 +132,22 @@ def _room(p: float, v: float) -> float:
     return p / -v if v < 0 else float("inf")
 
 
-def landing(chance: np.ndarray, size: np.ndarray, flips: int = 8) -> np.ndarray:
-    """Round the last open units so that the total size comes nearest; ties take fewer.
+def landing(chance: np.ndarray, size: np.ndarray, seed: int = 0, near: float = NEAR, flips: int = 8) -> np.ndarray:
+    """Round the units the flight left open, each drawn by its chance from ``seed``.
 
-    What is still missing or over is then reduced by turning round decided units, in up to
-    ``flips`` steps: each time the one, or the two of the smallest, that bring the total nearest.
+    If the total size then misses by more than the share ``near``, decided units are turned round, in
+    up to ``flips`` steps: each time the one, or the two of the smallest, that bring the total nearest.
     """
     p = chance.copy()
-    left = np.flatnonzero((p > 0) & (p < 1))
-    if len(p) <= _FEW:
-        left = np.arange(len(p))
     wanted = float((p * size).sum())
-    rest = float((p * size).sum() - (p[left] * size[left]).sum())
-    choices = [np.array([k >> i & 1 for i in range(len(left))], float) for k in range(1 << len(left))]
-    p[left] = min(choices, key=lambda c: (round(abs(rest + float((c * size[left]).sum()) - wanted), 6), c.sum()))
+    draw = Random(seed).random
+    for i in np.flatnonzero((p > 0) & (p < 1)):
+        p[i] = float(draw() < p[i])
     pool = np.argsort(size, kind="stable")[:_SMALLEST]
     for _ in range(flips):
         missing = wanted - float((p * size).sum())
+        if abs(missing) <= near * wanted:
+            break
         change = size * (1 - 2 * p)
         one = int(np.argmin(np.abs(missing - change)))
         turned, best = [one], abs(missing - change[one])
@@ -172,9 +172,10 @@ def _fly(rows: DataFrame, last: bool) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def finish(name: str, parts: list[tuple]) -> pa.RecordBatch:
             uid, size, chance = (np.concatenate(x) for x in zip(*parts, strict=True))
-            done = flight(chance, size, crc32(size.tobytes(), crc32(chance.tobytes(), crc32(name.encode()))))
+            seed = crc32(size.tobytes(), crc32(chance.tobytes(), crc32(name.encode())))
+            done = flight(chance, size, seed)
             if last:
-                done = landing(done, size)
+                done = landing(done, size, seed)
             return pa.RecordBatch.from_arrays(
                 [pa.array(uid), pa.array([name] * len(uid), pa.string()), pa.array(size), pa.array(done)],
                 names=["_uid", "_block", "size", "chance"],
@@ -206,8 +207,9 @@ def mix_sources(
     largest_factor: int = LARGEST_FACTOR,
     size: Callable[[Column], Column] = word_count,
     block: int = BLOCK,
+    also: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, times, row_hash) of each document row.
+    """(doc_id, size, source_size, target, taken, times, row_hash) of each document row, and the columns ``also``.
 
     ``taken`` is ``times * size``; ``row_hash`` is xxhash64 of id, source and text. A source of
     size 0 has target 0 and nothing is taken. Repeated rows are units of their own; a null source is a source. The order of a flight is by hash of
@@ -219,6 +221,7 @@ def mix_sources(
             "source",
             size(F.col("text")).alias("size"),
             row_hash().alias("row_hash"),
+            *also,
         ),
         "document-sizes",
     )
@@ -281,4 +284,5 @@ def mix_sources(
         (times * F.col("size")).cast("long").alias("taken"),
         times.cast("int").alias("times"),
         "row_hash",
+        *also,
     )

@@ -26,3 +26,22 @@ def test_equal_seeds_agree():
     size = np.arange(1.0, 200)
     a, b, c = (mixing.flight(np.full(199, 0.4), size, seed) for seed in (3, 3, 4))
     assert (a == b).all() and (a != c).any()
+
+
+@pytest.mark.parametrize("units", [12, 500])
+def test_shares_after_landing(units):
+    size = np.round(np.random.default_rng(1).lognormal(5, 1, units)) + 1
+    chance, taken = np.full(units, 0.3), np.zeros(units)
+    for seed in range(400):
+        landed = mixing.landing(mixing.flight(chance, size, seed), size, seed)
+        assert abs((landed * size).sum() - (chance * size).sum()) <= 0.03 * (chance * size).sum()
+        taken += landed / 400
+    fifths = [part.mean() for part in np.array_split(taken[np.argsort(size)], 5)]
+    assert fifths == pytest.approx([0.3] * 5, abs=0.12 if units == 12 else 0.02)
+
+
+def test_few_units_come_near_the_target():
+    """Of five units one choice alone is near: the target goes before the chances."""
+    size = np.array([83.0, 166, 407, 223, 99])
+    landed = mixing.landing(np.array([0.0, 1, 0.5, 0, 0.2]), size, 1)
+    assert abs((landed * size).sum() - 389.3) < 40

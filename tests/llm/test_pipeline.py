@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from quantaint.llm import oracle, registered
+from quantaint.llm import mixing, oracle, registered
 from quantaint.sources.store import keep
 
 from .test_mixing_chat_language import check_mix, plain_targets
@@ -39,7 +39,7 @@ def test_stage_names_and_registration():
         "quality classifier", "quality rules", "near duplicates", "source mixing", "packing",
     ]
     numbers = sorted(int(name[2:].split("_")[0]) for name in registered.queries())
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(oracle.statements()) <= set(registered.queries())
 
 
@@ -130,3 +130,16 @@ def test_stages_on_odd_tables(spark, small, tmp_path):
                 assert out.columns == docs.columns
                 assert name == "source mixing" or out.count() <= table.count()
                 table = out
+
+
+def test_mix_by_rows_and_in_rounds(spark, small, monkeypatch):
+    """Rows of one id and equal rows are units of their own; several rounds give the same rows."""
+    rows = [(i % 7 if i % 9 else None, f"w{i % 5} " * (i % 11), "en", "ab"[i % 2] if i % 13 else None, i) for i in range(400)]
+    docs = keep(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(6), "odd")
+    once = Counter(map(tuple, corpus_pipeline.mix(spark, docs, small).collect()))
+    place = [F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r")]
+    mixed = mixing.mix_sources(docs.select("doc_id", "source", "text", "n_chars", *place), also=("n_chars",)).collect()
+    assert once == Counter({tuple(rows[r.n_chars]): r.times for r in mixed if r.times})
+    monkeypatch.setattr(corpus_pipeline, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(corpus_pipeline, "ROUND_ROWS", 100)
+    assert Counter(map(tuple, corpus_pipeline.mix(spark, docs, small).collect())) == once
