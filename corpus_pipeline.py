@@ -7,6 +7,7 @@ the last one returns the packed pieces. Every stage is written and read again.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,6 +20,9 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 # Ids up to this number are broadcast to the documents, more are joined by shuffle.
 BROADCAST_IDS = 200_000
+# Rows of one list of what the mix takes, and rows whose lists are broadcast at once, a byte each.
+BLOCK_ROWS = 4096
+ROUND_ROWS = 1 << 26
 
 
 def _without(documents: DataFrame, dropped: DataFrame) -> DataFrame:
@@ -58,20 +62,36 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixing: each document occurs as many times as the mix takes it, at most three times."""
-    mixed = mixing.mix_sources(docs)
-    # Equal rows share what the mix takes of them.
-    totals = mixed.groupBy("row_hash").agg(F.sum("times").alias("taken"), F.count(F.lit(1)).alias("equal"))
-    taken = keep(totals.filter("taken > 0"), "mix-times")
-    rows = docs.select(F.struct("*").alias("row"), mixing.row_hash().alias("row_hash")).join(taken, "row_hash")
-    if taken.filter("equal > 1").isEmpty():
-        times = F.col("taken")
-    else:
-        number = F.row_number().over(Window.partitionBy("row_hash").orderBy(F.xxhash64("row")))
-        rows = rows.withColumn("number", number)
-        times = F.floor(F.col("taken") / F.col("equal")) + (F.col("number") <= F.col("taken") % F.col("equal")).cast("int")
-    copies = F.explode(F.array_repeat(F.lit(True), times.cast("int"))).alias("copy")
-    return rows.select("row", copies).select("row.*")
+    """Mixing: each row occurs as many times as the mix takes it, at most three times.
+
+    Nulls, empty texts, repeated rows and ids are rows like others; a source without words gives
+    nothing, an empty table no rows. ``docs`` is a table of Parquet files: a row is known by its
+    file and its place there, so texts are neither compared nor shuffled. What the mix takes is a
+    byte a row, listed by file and block of rows; files are read beside their own lists, in rounds
+    of bounded lists (one round for fewer than ``ROUND_ROWS`` rows).
+    """
+    place = {"_file": F.col("_metadata.file_path"), "_at": F.col("_metadata.row_index")}
+    narrow = docs.select("doc_id", "source", "text", *[c.alias(n) for n, c in place.items()])
+    mixed = mixing.mix_sources(narrow, also=("_file", "_at"))
+    block = F.floor(F.col("_at") / BLOCK_ROWS)
+    lists = mixed.groupBy("_file", block.alias("_block")).agg(
+        F.array_sort(F.collect_list(F.struct("_at", F.col("times").cast("tinyint").alias("times"))))["times"].alias("_times")
+    )
+    sizes = lists.groupBy("_file").agg(F.sum(F.size("_times")).alias("_rows"))
+    before = F.sum("_rows").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1))
+    rounds = sizes.select("_file", F.floor(F.coalesce(before, F.lit(0)) / ROUND_ROWS).alias("_round"))
+    lists = keep(lists.join(rounds, "_file"), "mix-lists")
+    rows = docs.select(F.struct("*").alias("row"), *[c.alias(n) for n, c in place.items()])
+    rows = rows.withColumn("_block", block)
+    taken = F.get("_times", F.pmod(F.col("_at"), F.lit(BLOCK_ROWS)).cast("int"))
+    copies = F.explode(F.array_repeat(F.lit(True), taken.cast("int"))).alias("copy")
+    parts = []
+    for (number,) in lists.select("_round").distinct().orderBy("_round").collect():
+        held = F.broadcast(lists.filter(F.col("_round") == number).drop("_round"))
+        parts.append(rows.join(held, ["_file", "_block"]).select("row", copies).select("row.*"))
+    if len(parts) > 1:
+        parts = [keep(part, "mix-round") for part in parts]
+    return reduce(DataFrame.unionAll, parts) if parts else docs.limit(0)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
