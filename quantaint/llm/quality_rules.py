@@ -2,9 +2,12 @@
 
 Every text is measured once. Each measure goes into a mergeable quantile sketch per
 (language, source): counts in logarithmic buckets, which bound the relative error of a
-quantile and merge by addition, so Spark pre-aggregates them before the shuffle. From
-the merged sketches come fences (upper quartile plus a multiple of the interquartile
-range); the measured texts are then joined with the fences of their group and filtered.
+quantile and merge by addition, so Spark pre-aggregates them before the shuffle. A group's sketch is
+merged with its language's at a fixed small weight, and the language's with that of all
+texts, so a group of few documents leans on its parent. From the merged sketches come
+fences, the upper quartile times a power of its ratio to a low quantile; the measured
+texts are then joined with the fences of their group and filtered. No fence holds a
+constant in the unit of its measure.
 """
 
 from __future__ import annotations
@@ -33,21 +36,24 @@ ERROR = 0.01
 
 
 class Fence(NamedTuple):
-    """``measure`` may exceed the upper quartile by ``spread`` interquartile ranges plus ``slack``."""
+    """``measure`` may exceed its upper quartile by ``spread`` times that quartile's distance from the lowest twentieth.
+
+    Distances are of logarithms. Junk in up to a quarter of a group leaves the quartile where it is,
+    copies of one text in up to seven tenths of it leave a distance.
+    """
 
     measure: str
     spread: float
-    slack: float
 
 
 FENCES = (
-    Fence("symbols_per_word", 3.0, 0.15),
-    Fence("dup_line_share", 3.0, 0.35),
-    Fence("repeat_share", 3.0, 0.25),
-    Fence("chars_per_word", 4.0, 3.0),
+    Fence("symbols_per_word", 1.5),
+    Fence("dup_line_share", 1.5),
+    Fence("repeat_share", 1.5),
+    Fence("chars_per_word", 2.5),
 )
-# Groups with fewer documents use the fences of their language, then those of all documents.
-LEAST_DOCUMENTS = 50
+# Documents that a parent's sketch counts for in each of its groups.
+PARENT_DOCUMENTS = 50
 
 
 def text_counts(text: bytes | None) -> tuple[int, ...]:
@@ -118,13 +124,16 @@ def base_failed() -> Column:
 
 
 def _with_measures(counts: DataFrame) -> DataFrame:
-    n = F.greatest("n_words", F.lit(1))
+    """Shares count one more of what is rare, so that a text without it lies lower the longer it is."""
+    def share(part: str, whole: str) -> Column:
+        return (F.col(part) + 1) / (F.col(whole) + 1)
+
     return counts.select(
         "*",
-        (F.col("n_symbols") / n).alias("symbols_per_word"),
-        (F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1))).alias("dup_line_share"),
-        (F.col("n_repeat_words") / n).alias("repeat_share"),
-        (F.col("word_chars") / n).alias("chars_per_word"),
+        share("n_symbols", "n_words").alias("symbols_per_word"),
+        share("n_dup_lines", "n_lines").alias("dup_line_share"),
+        share("n_repeat_words", "n_words").alias("repeat_share"),
+        (F.col("word_chars") / F.greatest("n_words", F.lit(1))).alias("chars_per_word"),
     )
 
 
@@ -181,15 +190,29 @@ def sketch_quantiles(sketches: DataFrame, groups: list[str], levels: dict[str, f
     )
 
 
-def _fences(sketches: DataFrame, groups: list[str], fences: tuple[Fence, ...], prefix: str) -> DataFrame:
-    """One row per group with a fence per measure; null where the group is too small."""
-    cuts = sketch_quantiles(sketches, groups, {"q1": 0.25, "q3": 0.75}).filter(
-        F.col("n") >= (LEAST_DOCUMENTS if groups else 0)
+def lean_on_parent(sketches: DataFrame, parent: DataFrame, groups: list[str], shared: list[str]) -> DataFrame:
+    """``sketches`` by ``groups`` with their parent's, by ``shared``, added as ``PARENT_DOCUMENTS`` documents."""
+    whole = Window.partitionBy(*shared, "measure")
+    share = parent.withColumn("n", PARENT_DOCUMENTS * F.col("n") / F.sum("n").over(whole))
+    measures = sketches.select(*groups, "measure").distinct()
+    added = _join_null_safe(measures, share, [*shared, "measure"])
+    columns = [*groups, "measure", "bucket", "n"]
+    return merge_sketches(sketches.select(*columns).unionByName(added.select(*columns)), groups)
+
+
+def group_fences(sketches: DataFrame, fences: tuple[Fence, ...]) -> DataFrame:
+    """(lang, source, a fence per measure) from sketches by language and source."""
+    groups = ["lang", "source"]
+    by_lang = lean_on_parent(merge_sketches(sketches, ["lang"]), merge_sketches(sketches, []), ["lang"], [])
+    cuts = sketch_quantiles(
+        lean_on_parent(sketches, by_lang, groups, ["lang"]), groups, {"low": 0.05, "upper": 0.75}
     )
+    # Quantiles of a sketch may lie too low by its error.
+    error = (1 + ERROR) / (1 - ERROR)
 
     def fence(f: Fence) -> Column:
-        cut = F.col("q3") + f.spread * (F.col("q3") - F.col("q1")) + f.slack
-        return F.max(F.when(F.col("measure") == f.measure, cut)).alias(prefix + f.measure)
+        cut = F.col("upper") * F.pow(F.col("upper") / F.col("low"), F.lit(f.spread)) * error
+        return F.max(F.when(F.col("measure") == f.measure, cut)).alias(f"most_{f.measure}")
 
     return cuts.groupBy(*groups).agg(*map(fence, fences))
 
@@ -200,7 +223,8 @@ def apply_rules(documents: DataFrame, fences: tuple[Fence, ...] = FENCES) -> Dat
     A document is kept if the base rules pass and no measure lies above the fence of its
     (lang, source); ``failed`` names the measures that do. Null languages and sources are
     groups of their own; a null text counts as one without words and fails the base rules.
-    Fences come from the documents that pass the base rules. Empty tables give no rows.
+    Fences come from the documents that pass the base rules; each repeated row counts. Whole
+    texts are measured, however long. Empty tables give no rows. Other columns are not read.
     """
     counts = keep_texts(measure_texts(documents), "text-counts")
     measured = _with_measures(counts).withColumn("base_failed", base_failed())
@@ -209,16 +233,10 @@ def apply_rules(documents: DataFrame, fences: tuple[Fence, ...] = FENCES) -> Dat
     sketches = keep(
         quantile_sketches(measured.filter(~F.col("base_failed")), groups, names), "quantile-sketches"
     )
-    own = keep(_fences(sketches, groups, fences, "own_"), "fences-group")
-    by_lang = keep(_fences(merge_sketches(sketches, ["lang"]), ["lang"], fences, "lang_"), "fences-language")
-    overall = _fences(merge_sketches(sketches, []), [], fences, "all_").first()
-    joined = _join_null_safe(_join_null_safe(measured, own, groups), by_lang, ["lang"])
-
-    def above(f: Fence) -> Column:
-        cut = F.coalesce(f"own_{f.measure}", f"lang_{f.measure}", F.lit(overall[f"all_{f.measure}"]))
-        return F.when(F.col(f.measure) > cut, F.lit(f.measure))
-
-    failed = F.array_compact(F.array(*map(above, fences)))
+    limits = keep(group_fences(sketches, fences), "fences")
+    joined = _join_null_safe(measured, limits, groups)
+    above = [F.when(F.col(name) > F.col(f"most_{name}"), F.lit(name)) for name in names]
+    failed = F.array_compact(F.array(*above))
     return joined.select(
         "doc_id",
         *_COUNTS[:5],

@@ -91,16 +91,54 @@ def test_rules_on_odd_rows(spark):
     assert quality_rules.apply_rules(docs.limit(0)).collect() == []
 
 
+def made_text(words: int, symbols: int) -> str:
+    return " ".join(f"w{i}" + "#" * (i < symbols) for i in range(words))
+
+
 def test_fences_follow_the_group(spark):
     """A source that always has many symbols keeps its texts, the same text elsewhere goes."""
-    plain = " ".join(f"w{i}" for i in range(50))
-    marked = plain + " #" * 20
-    rows = [(i, "en", "code", marked) for i in range(60)] + [(100 + i, "en", "news", plain) for i in range(60)]
-    rows.append((500, "en", "news", marked))
+    rows = [(i, "en", "code", made_text(40 + i % 30, 15 + i % 9)) for i in range(80)]
+    rows += [(100 + i, "en", "news", made_text(40 + i % 30, 0)) for i in range(80)]
+    rows.append((500, "en", "news", made_text(50, 20)))
     out = quality_rules.apply_rules(spark.createDataFrame(rows, "doc_id long, lang string, source string, text string"))
     assert [r.doc_id for r in out.filter(~F.col("kept")).collect()] == [500]
 
 
+def test_small_groups_lean_on_their_parents(spark):
+    """A source of one text takes nearly the fence of its language; no number of documents switches."""
+    rows = [(i, "en", "news", made_text(40 + i % 30, 0)) for i in range(200)]
+    rows += [(900, "en", "x", made_text(50, 20)), (901, "en", "y", made_text(50, 0)), (902, None, None, made_text(50, 0))]
+    out = quality_rules.apply_rules(spark.createDataFrame(rows, "doc_id long, lang string, source string, text string"))
+    assert [r.doc_id for r in out.filter(~F.col("kept")).collect()] == [900]
+
+
+def test_copies_of_one_text_leave_the_rest_alone(spark):
+    rows = [(i, "en", "news", made_text(50, 0)) for i in range(120)]
+    rows += [(200 + i, "en", "news", made_text(30 + i, 0)) for i in range(80)]
+    out = quality_rules.apply_rules(spark.createDataFrame(rows, "doc_id long, lang string, source string, text string"))
+    assert out.filter(~F.col("kept")).count() == 0
+
+
+def test_all_fences_differ_between_groups_and_move_with_sources(spark, small):
+    sf = small.replace("sf0.001", "sf0.01")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+
+    def fences(table):
+        measured = quality_rules._with_measures(quality_rules.measure_texts(table)).filter(~quality_rules.base_failed())
+        names = [f.measure for f in quality_rules.FENCES]
+        sketches = quality_rules.quantile_sketches(measured, ["lang", "source"], names)
+        found = quality_rules.group_fences(sketches, quality_rules.FENCES).collect()
+        return {(r.lang, r.source): tuple(r[2:]) for r in found}
+
+    plain = fences(docs)
+    for i in range(4):
+        assert len({round(f[i], 3) for f in plain.values()}) > 5
+    # Sources dealt anew: the fences of a name change with the texts it gets.
+    dealt = fences(docs.withColumn("source", F.concat(F.lit("s"), F.pmod(F.xxhash64("doc_id"), F.lit(20)))))
+    turned = fences(docs.withColumn("source", F.concat(F.lit("s"), F.pmod(F.xxhash64("text"), F.lit(20)))))
+    assert sum(dealt[k] != turned[k] for k in dealt.keys() & turned.keys()) > 20
+
+
 def test_rules_find_labelled_junk(spark, small):
     sf = small.replace("sf0.001", "sf0.01")
     labels = spark.read.parquet(f"{sf}/labels.parquet")
