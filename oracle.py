@@ -35,12 +35,25 @@ def _value(k: str) -> str:
     return f"{stirred('w1', 'w2')} * 2147483648 + {stirred('w3', 'w4')}"
 
 
-_SCENARIO_ROWS = ", ".join(
-    f"('{SCALE}', '{subset}', '{tag}', 'seed{seed:02d}', "
-    f"'{SCALE}/{subset}/{tag}/seed{seed:02d}', CAST({ratio} AS DOUBLE), {seed})"
-    for subset, ratio, tag, seed in SCENARIOS
+# The full experiment.
+SWEEP = tuple(
+    (subset, ratio, tag, seed)
+    for subset in ("subsetA", "subsetB")
+    for ratio, tag in ((0.0001, "0p01pct"), (0.0005, "0p05pct"), (0.001, "0p1pct"))
+    for seed in range(1, 11)
 )
 
+
+def _scenario_rows(scenarios: tuple) -> str:
+    return ", ".join(
+        f"('{SCALE}', '{subset}', '{tag}', 'seed{seed:02d}', "
+        f"'{SCALE}/{subset}/{tag}/seed{seed:02d}', CAST({ratio} AS DOUBLE), {seed})"
+        for subset, ratio, tag, seed in scenarios
+    )
+
+
+_SCENARIO_ROWS = _scenario_rows(SCENARIOS)
+
 # Nation names by key.
 _NATIONS = (
     "ALGERIA", "ARGENTINA", "BRAZIL", "CANADA", "EGYPT", "ETHIOPIA", "FRANCE", "GERMANY", "INDIA", "INDONESIA",
@@ -603,6 +616,25 @@ FROM (
   ON l_partkey = ps_partkey AND l_suppkey = ps_suppkey WHERE ps_availqty < 0
 )
 """
+# The same checks for every scenario at once.
+_CHECKS_SWEEP = """
+SELECT scen.db_id, "constraint", COALESCE(n, 0) AS violations,
+  CASE WHEN COALESCE(n, 0) = 0 THEN 'OK' ELSE 'VIOLATED' END AS status
+FROM scen CROSS JOIN (VALUES ('DC1_receipt_before_ship'), ('DC2_commit_before_orderdate'), ('DC3_order_F_but_line_not_F'),
+  ('DC4_customer_region_chain_invalid'), ('DC5_negative_partsupp_availqty')) AS named("constraint")
+LEFT JOIN (
+  SELECT db_id, 'DC1_receipt_before_ship' AS "constraint", COUNT(*) AS n
+  FROM v_lineitem WHERE l_receiptdate < l_shipdate GROUP BY db_id
+  UNION ALL SELECT db_id, 'DC2_commit_before_orderdate', COUNT(*) FROM c_orders JOIN v_lineitem
+  ON l_orderkey = o_orderkey WHERE l_commitdate < o_orderdate GROUP BY db_id
+  UNION ALL SELECT db_id, 'DC3_order_F_but_line_not_F', COUNT(*) FROM c_orders JOIN v_lineitem
+  ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' AND l_linestatus <> 'F' GROUP BY db_id
+  UNION ALL SELECT s.db_id, 'DC4_customer_region_chain_invalid', COUNT(*) FROM scen s, c_customer JOIN c_nation
+  ON c_nationkey = n_nationkey JOIN c_region ON n_regionkey = r_regionkey WHERE r_regionkey < 0 GROUP BY s.db_id
+  UNION ALL SELECT l.db_id, 'DC5_negative_partsupp_availqty', COUNT(*) FROM v_lineitem l JOIN v_partsupp p
+  ON l.db_id = p.db_id AND l_partkey = ps_partkey AND l_suppkey = ps_suppkey WHERE ps_availqty < 0 GROUP BY l.db_id
+) found USING (db_id, "constraint")
+"""
 _CHECK_USES = ("c_lineitem", "c_orders", "c_customer", "c_nation", "c_region", "c_partsupp")
 _LAST = f"'{SCALE}/subsetB/20pct/seed02'"
 
@@ -750,6 +782,36 @@ def statements() -> dict[str, str]:
         "AS scale_norm, regexp_replace(seed, '^seed', '') AS seed_norm FROM mis "
         "JOIN scen USING (db_id)",
     )
+    add(
+        "scenario_discovery", ("mis", "scen"),
+        "SELECT DISTINCT scale, subset, ratio, seed, db_id FROM mis JOIN scen USING (db_id)",
+    )
+    add(
+        "pending_after_failure", ("long", "scen"),
+        "SELECT db_id, seed_value = 1 AS finished, CASE WHEN seed_value = 1 THEN COUNT(value) END AS n_rows "
+        "FROM scen LEFT JOIN (SELECT db_id, value FROM long WHERE relation = 'partsupp') USING (db_id) "
+        "GROUP BY db_id, seed_value",
+    )
+    swept = [
+        (
+            "injection_log_sweep", ("targets", "picked"),
+            "SELECT db_id, dc, requested, applied FROM targets JOIN (SELECT db_id, dc, "
+            "COUNT(*) AS applied FROM picked GROUP BY ALL) USING (db_id, dc)",
+        ),
+        (
+            "check_constraints_sweep", ("v_lineitem", "v_partsupp", "c_orders", "c_customer", "c_nation", "c_region", "scen"),
+            _CHECKS_SWEEP,
+        ),
+        (
+            "scenario_sweep", ("wide",),
+            "SELECT db_id, relation, COUNT(*) AS tuples, "
+            + ", ".join(f"ROUND(SUM({m}), 6) AS {m}" for m in ("cbm", "cim", "pim", "rim"))
+            + " FROM wide GROUP BY db_id, relation",
+        ),
+    ]
+    for name, uses, select in swept:
+        add(name, uses, select)
+        sql[name] = sql[name].replace(_SCENARIO_ROWS, _scenario_rows(SWEEP))
     add(
         "pending_scenarios", ("scen", "targets"),
         "SELECT DISTINCT db_id FROM targets JOIN scen USING (db_id) WHERE subset = 'subsetB'",
@@ -769,6 +831,11 @@ def statements() -> dict[str, str]:
         "support_merged", ("flat", "scen"),
         "SELECT scale, subset, ratio, seed, f.* EXCLUDE (comp) FROM flat f JOIN scen ON TRUE",
     )
+    add(
+        "support_reading_order", ("flat",),
+        "SELECT f.* EXCLUDE (comp), ROW_NUMBER() OVER (PARTITION BY qname ORDER BY answer_id, support_id, rel, "
+        "key1, key2) AS position FROM flat f",
+    )
     add(
         "support_size", ("sizes",),
         "SELECT qname, answervalue, n AS support_size FROM sizes",
@@ -799,7 +866,7 @@ def statements() -> dict[str, str]:
     add("icqa_prov", ("listed", "scen", "sums"), _scores(("prov",)))
     add("icqa_resp", ("listed", "scen", "sums"), _scores(("resp",)))
     add("icqa_shap", ("listed", "scen", "sums"), _scores(("shap",)))
-    for name in ("icqa_all", "icqa_all_from_stored"):
+    for name in ("icqa_all", "icqa_all_from_stored", "icqa_stored"):
         add(name, ("listed", "scen", "sums"), _scores(("prov", "resp", "shap")))
     add(
         "icqa_prov_stored", ("listed", "scen", "sums"),

@@ -323,19 +323,31 @@ def changed_values(overlay: Overlay, relation: str) -> DataFrame:
 
 
 def violated_relation(overlay: Overlay, relation: str) -> DataFrame:
-    """Full table of every scenario: base rows with its changes applied."""
-    base = overlay.database[relation].select(
-        "*", F.explode(db_ids(overlay.scenarios)).alias("db_id")
-    )
+    """Full table of every scenario: base rows with its changes applied.
+
+    The changes of a key are gathered in one row, at most one per scenario, so each base row
+    is joined once and repeated for the scenarios afterwards.
+    """
+    base = overlay.database[relation]
+    each = F.explode(db_ids(overlay.scenarios)).alias("db_id")
     if relation not in overlay.touched:
-        return base
+        return base.select("*", each)
     new = changed_values(overlay, relation)
-    columns = {c.name: F.col(c.name) for c in overlay.database[relation].schema}
-    for dc, inj in INJECTIONS.items():
+    names = [c for c in new.columns if c.startswith("new_")]
+    changes = new.groupBy(*KEYS[relation]).agg(
+        F.map_from_entries(F.collect_list(F.struct("db_id", F.struct(*names)))).alias("changes")
+    )
+    columns = {c.name: F.col(c.name) for c in base.schema}
+    for inj in INJECTIONS.values():
         name = "new_" + inj.column.split("_", 1)[1]
-        if inj.relation == relation and name in new.columns:
-            columns[inj.column] = F.coalesce(F.col(name), F.col(inj.column)).alias(inj.column)
-    return base.join(new, ["db_id", *KEYS[relation]], "left").select("db_id", *columns.values())
+        if inj.relation == relation and name in names:
+            columns[inj.column] = F.coalesce(F.col("change")[name], F.col(inj.column)).alias(inj.column)
+    return (
+        base.join(changes, list(KEYS[relation]), "left")
+        .select("*", each)
+        .withColumn("change", F.element_at("changes", F.col("db_id")))
+        .select("db_id", *columns.values())
+    )
 
 
 def narrowed(overlay: Overlay, scenarios: list[Scenario]) -> Overlay:

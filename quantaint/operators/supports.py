@@ -201,6 +201,14 @@ def numbered_supports(db: Database, spec: QuerySpec) -> DataFrame:
     )
 
 
+READING_ORDER = ["answer_id", "support_id", "rel", "key1", "key2"]
+
+
+def in_reading_order(flat: DataFrame) -> DataFrame:
+    """Flat supports with ``position`` = 1, 2, … within each query, in the order they are read in."""
+    return number_rows(flat, ["qname"], READING_ORDER, "position")
+
+
 def support_size(counts: DataFrame) -> DataFrame:
     """Distinct tuples per answer, from the per-tuple counts."""
     return counts.groupBy(*ANSWER).agg(F.count(F.lit(1)).alias("support_size"))

@@ -13,13 +13,14 @@ from quantaint.operators import inject, measures, supports, violations
 from quantaint.operators.closed_shapley import closed_shapley
 from quantaint.operators.components import general_gamma
 from quantaint.operators.hitting import tuple_counts
-from quantaint.operators.scenarios import Scenario
+from quantaint.operators.scenarios import Scenario, scenario_frame, sweep
 from quantaint.operators.shapley import exact_shapley, sampled_shapley
 from quantaint.operators.supports import ANSWER, QUERIES, answers_at_most
 from quantaint.plans.icqa import answer_scores, responsibility_weights, scores_from_stored
 from quantaint.plans.experiment import Experiment
 from quantaint.schema import KEYS, MEASURES, SCENARIO_COLUMNS
 from quantaint.sources import delimited, tables, violation_files
+from quantaint.sources.results import ResultTable
 from quantaint.sources.store import fresh_path, keep
 from quantaint.sources.testdata import clean_database, raw_database
 
@@ -371,6 +372,68 @@ def pending_scenarios(spark, sf_dir):
     return tables.pending_scenarios(exp.overlay.targets, done)
 
 
+@query("pending_after_failure")
+def pending_after_failure(spark, sf_dir):
+    """What a stored table knows after one run that was published and one that was stopped before.
+
+    Scores of partsupp tuples: the scenarios of the first subset have none and are finished.
+    """
+    exp = experiment(spark, sf_dir)
+    scores = exp.tuple_measures().filter("relation = 'partsupp'")
+    results = ResultTable(spark, fresh_path(spark, "stored-scores"), scores.schema)
+
+    def of(chosen: list[Scenario]) -> DataFrame:
+        return scores.join(F.broadcast(scenario_frame(spark, chosen).select("db_id")), "db_id", "left_semi").select(*scores.columns)
+
+    results.commit(of(SCENARIOS[:3]), SCENARIOS[:3])
+    results.stage(of(SCENARIOS[3:]), SCENARIOS[3:])
+    wanted = scenario_frame(spark, SCENARIOS).select("db_id")
+    found = wanted.join(results.manifest(), "db_id", "left")
+    return found.select("db_id", F.col("version").isNotNull().alias("finished"), "n_rows")
+
+
+@query("scenario_discovery")
+def scenario_discovery(spark, sf_dir):
+    """Cases found by the names of stored files alone, of one scale of two."""
+    scores = experiment(spark, sf_dir).tuple_measures()
+    path = fresh_path(spark, "stored-cases")
+    other = scores.filter("subset = 'subsetB'").withColumn("scale", F.lit("sfother"))
+    tables.write_table(scores.unionByName(other), path)
+    return tables.discover_cases(spark, path, [SCALE, "sfmissing"])
+
+
+# --- the full sweep -----------------------------------------------------------
+
+
+def sweep_experiment(spark: SparkSession, sf_dir: str) -> Experiment:
+    """All 60 scenarios: two subsets, three ratios, ten seeds."""
+    key = (spark.sparkContext.applicationId, f"sweep {sf_dir}")
+    if key not in _experiments:
+        _experiments[key] = Experiment(experiment(spark, sf_dir).database, sweep(SCALE))
+    return _experiments[key]
+
+
+@query("injection_log_sweep")
+def injection_log_sweep(spark, sf_dir):
+    return inject.injection_log(sweep_experiment(spark, sf_dir).overlay)
+
+
+@query("check_constraints_sweep")
+def check_constraints_sweep(spark, sf_dir):
+    return violations.check_scenarios(sweep_experiment(spark, sf_dir).overlay)
+
+
+@query("scenario_sweep")
+def scenario_sweep(spark, sf_dir):
+    """Per scenario and relation: tuples in violating sets and the sums of their four measures."""
+    wide = sweep_experiment(spark, sf_dir).wide_measures
+    sums = [F.sum(m.lower()).alias(m.lower()) for m in MEASURES]
+    return _rounded(
+        wide.groupBy("db_id", "relation").agg(F.count(F.lit(1)).alias("tuples"), *sums),
+        *[m.lower() for m in MEASURES],
+    )
+
+
 # --- supports -----------------------------------------------------------------
 
 
@@ -409,6 +472,20 @@ def support_merged(spark, sf_dir):
     return _stored_supports(spark, sf_dir)
 
 
+@query("support_reading_order")
+def support_reading_order(spark, sf_dir):
+    """Supports written in reading order, read back with their positions."""
+    db = clean_database(spark, sf_dir)
+    flat = None
+    for spec in QUERIES.values():
+        rows = supports.numbered_supports(db, spec)
+        flat = rows if flat is None else flat.unionByName(rows)
+    path = fresh_path(spark, "ordered-supports")
+    placed = supports.in_reading_order(flat)
+    tables.write_in_order(placed, path, ["qname", "position"])
+    return spark.read.schema(placed.schema).parquet(path)
+
+
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tuple_counts(experiment(spark, sf_dir).supports, ANSWER)
 
@@ -493,6 +570,20 @@ def icqa_all(spark, sf_dir):
     return _scores(spark, sf_dir, ("prov", "resp", "shap"))
 
 
+@query("icqa_stored")
+def icqa_stored(spark, sf_dir):
+    """All scores, committed in two runs and read back from the stored table."""
+    exp = experiment(spark, sf_dir)
+
+    def compute(chosen: list[Scenario]) -> DataFrame:
+        return answer_scores(exp.supports, exp.wide_measures, chosen, weights=exp.weights)
+
+    results = ResultTable(spark, fresh_path(spark, "stored-answers"), compute(SCENARIOS).schema)
+    results.commit(compute(SCENARIOS[:1]), SCENARIOS[:1])
+    results.resume(SCENARIOS, compute)
+    return _rounded(results.read(), *_score_names("prov", "resp", "shap"))
+
+
 @query("icqa_prov_stored")
 def icqa_prov_stored(spark, sf_dir):
     return _scores(spark, sf_dir, ("prov",), rows="stored")

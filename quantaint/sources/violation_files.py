@@ -15,6 +15,7 @@ from quantaint.functions.keys import normalise_pk_text, tuple_id
 from quantaint.operators.constraints import CONSTRAINTS
 from quantaint.operators.scenarios import split_db_id
 from quantaint.schema import KEYS, SCENARIO_COLUMNS
+from quantaint.sources.tables import by_folder
 
 _LABELS = ", ".join(f"{c} string" for c in SCENARIO_COLUMNS)
 _RELATIONS = sorted({rel for dc in CONSTRAINTS.values() for rel in dc.relations})
@@ -60,9 +61,8 @@ def listed_layout(sets: DataFrame) -> DataFrame:
 
 def write_sets(records: DataFrame, path: str) -> None:
     """JSON lines under scale=/subset=/ratio=/seed=/constraint= folders."""
-    records.withColumn("constraint", F.col("dc")).write.partitionBy(
-        *SCENARIO_COLUMNS, "constraint"
-    ).json(path)
+    folders = [*SCENARIO_COLUMNS, "constraint"]
+    by_folder(records.withColumn("constraint", F.col("dc")), folders).write.partitionBy(*folders).json(path)
 
 
 def read_keyed(spark: SparkSession, path: str, whole_file: bool = False) -> DataFrame:
