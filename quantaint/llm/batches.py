@@ -6,6 +6,21 @@ from pyspark.sql import DataFrame
 
 from quantaint.sources.store import keep
 
+_held = None
+
+
+def hold(memory) -> None:
+    """Make ``memory`` the one word memory of this worker process.
+
+    Workers outlive a stage: what another operator has remembered is emptied first.
+    """
+    global _held
+    if _held is not memory:
+        if _held is not None:
+            _held.clear()
+        _held = memory
+
+
 _SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 # Rows of one batch; batches of long texts are cut earlier by Spark's own limit of bytes.
 ROWS = 1000

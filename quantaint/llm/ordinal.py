@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantaint.llm.batches import keep_texts
+from quantaint.llm.batches import hold, keep_texts
 from quantaint.llm.shingles import words
 
 FEATURES = 1 << 18
@@ -53,6 +53,7 @@ def text_features(text: bytes | None) -> np.ndarray:
     found = words(text)
     if not found:
         return np.array([_hash(b"no words")])
+    hold(_known)
     try:
         codes = np.fromiter(map(_known.__getitem__, found), np.int64, len(found))
     except KeyError:

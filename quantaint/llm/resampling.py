@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tokenizers import Regex
 from tokenizers.pre_tokenizers import Split
 
-from quantaint.llm.batches import keep_texts
+from quantaint.llm.batches import hold, keep_texts
 from quantaint.operators.numbering import number_rows
 from quantaint.sources.store import keep
 
@@ -70,6 +70,7 @@ class Features:
         """(number of words, bucket of every feature)."""
         if not text:
             return 0, np.zeros(0, self.code)
+        hold(self.known)
         words, found = 0, []
         repeated = 0
         for part in _parts(ascii_lower(text), self.width):

@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from quantaint.llm.batches import hold
+
 WIDTH = 5
 _REMEMBERED = 200_000
 _known: dict[bytes, int] = {}
@@ -24,6 +26,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def word_hashes(found: list[bytes]) -> np.ndarray:
     """64-bit fingerprints of words; a worker remembers those it has seen."""
+    hold(_known)
     try:
         return np.fromiter(map(_known.__getitem__, found), np.uint64, len(found))
     except KeyError:

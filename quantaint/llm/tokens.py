@@ -20,6 +20,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from quantaint.llm.batches import hold
+
 _UNUSUAL_BLANK = re.compile(
     r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]"
 )
@@ -63,6 +65,7 @@ class Encoder:
         """Ids of one whole text; none for a null or empty one."""
         if not text:
             return b""
+        hold(self)
         if self._unusual(text):
             return self.general(text)
         for memory in (self._bare, self._spaced):
@@ -75,6 +78,10 @@ class Encoder:
         first, *rest = text.split(" ")
         return self._bare[first] + b"".join(map(self._spaced.__getitem__, rest))
 
+    def clear(self) -> None:
+        self._bare.clear()
+        self._spaced.clear()
+
     @staticmethod
     def _unusual(text: str) -> bool:
         if text.isascii():
