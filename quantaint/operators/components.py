@@ -1,9 +1,9 @@
 """Hitting sets of arbitrary families: connected parts, then bounds where no tuple is in all sets.
 
 The problem is NP-hard in general. A part without a hub is first reduced exactly: supersets and
-dominated tuples go and the tuple of a set of one is taken, until nothing changes. What is left
-gets an upper bound (a cover chosen by rounds of locally greatest degree) and a lower one (sets
-chosen by rounds that share no tuple). All are joins and aggregates over the rows of the parts, whatever their size. Where
+dominated tuples go and the tuple of a set of one is taken, until nothing changes; cycles of pairs that
+are left have a known size. What is left then gets an upper bound (a cover chosen by rounds of locally greatest degree) and a lower one (sets
+chosen by rounds that share no tuple, or shares of sets of which no tuple has more than one). All are joins and aggregates over the rows of the parts, whatever their size. Where
 the bounds of a tuple meet, its status is OPTIMAL, else FEASIBLE with the upper bound as gamma.
 """
 
@@ -29,19 +29,23 @@ def connected_parts(sets: DataFrame, group: list[str]) -> DataFrame:
         F.transform("tuples", lambda t: tuple_id(t["relation"], t["pk"])).alias("names"),
     ).withColumn("low", F.array_min("names"))
     members = names.select(*group, "low", F.explode("names").alias("high")).distinct()
-    edges = keep(members.filter("high <> low"), "part-edges")
+    linked = _contract(members.filter("high <> low"), group)
+    everyone = members.select(*group, F.col("high").alias("tid")).distinct()
+    return everyone.join(linked, [*group, "tid"], "left").withColumn(
+        "root", F.coalesce("root", "tid")
+    )
+
+
+def _contract(edges: DataFrame, group: list[str]) -> DataFrame:
+    """(group, tid, root) of every tuple on edges (group, high, low), but for the roots themselves."""
+    edges = keep(edges, "part-edges")
     state = _fingerprint(edges)
     while True:
         edges = keep(_small_star(_large_star(edges, group), group), "part-edges")
         latest = _fingerprint(edges)
         if latest == state:
-            break
+            return edges.select(*group, F.col("high").alias("tid"), F.col("low").alias("root"))
         state = latest
-    linked = edges.select(*group, F.col("high").alias("tid"), F.col("low").alias("root"))
-    everyone = members.select(*group, F.col("high").alias("tid")).distinct()
-    return everyone.join(linked, [*group, "tid"], "left").withColumn(
-        "root", F.coalesce("root", "tid")
-    )
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -79,12 +83,57 @@ def _small_star(edges: DataFrame, group: list[str]) -> DataFrame:
     return moved.unionByName(own).filter("high <> low").distinct()
 
 
+def hitting_bounds(sets: DataFrame, group: list[str]) -> DataFrame:
+    """(group, n_sets, n_nodes, hitting_low, hitting_high, status): the least hitting set of each whole family."""
+    each = _tuple_costs(sets, group)
+    low, high = F.col("total_low"), F.col("total_high")
+    return _totals(each, group).select(
+        *group,
+        "n_sets",
+        "n_nodes",
+        low.alias("hitting_low"),
+        high.alias("hitting_high"),
+        F.when(low == high, "OPTIMAL").otherwise("FEASIBLE").alias("status"),
+    )
+
+
 def general_gamma(sets: DataFrame, group: list[str]) -> DataFrame:
     """gamma of every tuple, for families with or without hubs, with ``gamma_low`` and ``status``.
 
     The minimum is additive over connected parts. A part with a hub costs one; other
     parts are bounded from both sides.
     """
+    each = _tuple_costs(sets, group)
+    low = F.col("total_low") - F.col("cost_low") + F.col("without_low")
+    high = F.col("total_high") - F.col("cost_high") + F.col("without_high")
+    return each.join(_totals(each, group), group).select(
+        *group,
+        "relation",
+        "pk",
+        "cnt",
+        high.alias("gamma"),
+        (F.col("n_sets") - F.col("cnt")).alias("n_edges"),
+        "n_nodes",
+        low.alias("gamma_low"),
+        F.when(low == high, "OPTIMAL").otherwise("FEASIBLE").alias("status"),
+    )
+
+
+def _totals(each: DataFrame, group: list[str]) -> DataFrame:
+    per_part = each.groupBy(*group, "comp").agg(
+        *[F.max(c).alias(c) for c in ("cost_low", "cost_high", "part_sets")],
+        F.count(F.lit(1)).alias("part_nodes"),
+    )
+    return per_part.groupBy(*group).agg(
+        F.sum("cost_low").alias("total_low"),
+        F.sum("cost_high").alias("total_high"),
+        F.sum("part_sets").alias("n_sets"),
+        F.sum("part_nodes").alias("n_nodes"),
+    )
+
+
+def _tuple_costs(sets: DataFrame, group: list[str]) -> DataFrame:
+    """Per tuple: bounds of its part's least hitting set, and of the part's sets without the tuple."""
     roots = connected_parts(sets, group)
     first = F.element_at("tuples", 1)
     placed = keep(
@@ -125,29 +174,7 @@ def general_gamma(sets: DataFrame, group: list[str]) -> DataFrame:
         named = counts.withColumn("tid", tuple_id(F.col("relation"), F.col("pk")))
         bounded = named.join(_bounds(members, part), [*part, "tid"]).join(sizes, part)
         each = simple.unionByName(bounded.select(*simple.columns))
-    each = keep(each, "part-costs")
-    per_part = each.groupBy(*part).agg(
-        *[F.max(c).alias(c) for c in ("cost_low", "cost_high", "part_sets")]
-    )
-    totals = per_part.groupBy(*group).agg(
-        F.sum("cost_low").alias("total_low"),
-        F.sum("cost_high").alias("total_high"),
-        F.sum("part_sets").alias("n_sets"),
-    )
-    nodes = each.groupBy(*group).agg(F.count(F.lit(1)).alias("n_nodes"))
-    low = F.col("total_low") - F.col("cost_low") + F.col("without_low")
-    high = F.col("total_high") - F.col("cost_high") + F.col("without_high")
-    return each.join(totals.join(nodes, group), group).select(
-        *group,
-        "relation",
-        "pk",
-        "cnt",
-        high.alias("gamma"),
-        (F.col("n_sets") - F.col("cnt")).alias("n_edges"),
-        "n_nodes",
-        low.alias("gamma_low"),
-        F.when(low == high, "OPTIMAL").otherwise("FEASIBLE").alias("status"),
-    )
+    return keep(each, "part-costs")
 
 
 def _bounds(members: DataFrame, part: list[str]) -> DataFrame:
@@ -160,16 +187,38 @@ def _bounds(members: DataFrame, part: list[str]) -> DataFrame:
     """
     tid, mis = [*part, "tid"], [*part, "mis_id"]
     taken, left = _reduce(members, part)
+    ring, rings = _cycles(left, part), None
+    if ring is not None:
+        # A cycle of n pairs needs half of n tuples, rounded up, and any of its tuples may be one of them.
+        lengths = ring.groupBy(*part, "root").agg(F.count(F.lit(1)).alias("n"))
+        rings = lengths.groupBy(*part).agg(F.sum(F.ceil(F.col("n") / 2)).alias("n_ring"))
+        left = keep(left.join(ring.select(*tid), tid, "left_anti"), "beside-cycles")
     cover, packed = taken.unionByName(_cover(left, part)), _packing(members, part)
     certain = taken.unionByName(_packing(left, part).select(*part, F.col("mis_id").alias("tid")))
     one = F.lit(1).cast("bigint")
-    in_cover = cover.withColumn("in_cover", one)
+    in_cover = cover if ring is None else cover.unionByName(ring.select(*tid)).distinct()
+    in_cover = in_cover.withColumn("in_cover", one)
     in_packing = members.join(packed, mis, "left_semi").groupBy(*tid).agg(one.alias("in_packing"))
-    sizes = cover.groupBy(*part).agg(F.count(F.lit(1)).alias("cost_high"))
-    lows = packed.groupBy(*part).agg(F.count(F.lit(1)).alias("n_packed")).join(
-        certain.groupBy(*part).agg(F.count(F.lit(1)).alias("n_certain")), part
+    parts = members.select(*part).distinct()
+    numbers = {
+        "n_cover": cover.groupBy(*part).agg(F.count(F.lit(1)).alias("n_cover")),
+        "n_packed": packed.groupBy(*part).agg(F.count(F.lit(1)).alias("n_packed")),
+        "n_certain": certain.groupBy(*part).agg(F.count(F.lit(1)).alias("n_certain")),
+        "n_taken": taken.groupBy(*part).agg(F.count(F.lit(1)).alias("n_taken")),
+        "n_shared": _shares(left, part),
+    }
+    if rings is not None:
+        numbers["n_ring"] = rings
+    for frame in numbers.values():
+        parts = parts.join(frame, part, "left")
+    parts = parts.fillna(0, subset=list(numbers))
+    exact = F.col("n_ring") if rings is not None else F.lit(0)
+    sizes = parts.select(
+        *part,
+        "n_packed",
+        (F.col("n_cover") + exact).alias("cost_high"),
+        F.greatest("n_packed", F.col("n_certain") + exact, F.col("n_taken") + F.col("n_shared") + exact).alias("cost_low"),
     )
-    lows = lows.withColumn("cost_low", F.greatest("n_packed", "n_certain"))
     # Sets that one member of the cover hits alone, and the tuples beside it.
     hits = members.join(cover, tid).groupBy(*mis).agg(F.count(F.lit(1)).alias("n"), F.min("tid").alias("s"))
     private = hits.filter("n = 1").select(*mis, "s")
@@ -179,7 +228,7 @@ def _bounds(members: DataFrame, part: list[str]) -> DataFrame:
     spared = together.join(own, [*part, "s"]).filter("n = n_private").groupBy(*tid).agg(one.alias("spared"))
     total = members.groupBy(*part).agg(F.countDistinct("mis_id").alias("n_sets"))
     has = members.groupBy(*tid).agg(F.count(F.lit(1)).alias("n_own"))
-    joined = has.join(total, part).join(sizes, part).join(lows, part)
+    joined = has.join(total, part).join(sizes, part)
     for extra in (in_cover, in_packing, spared):
         joined = joined.join(extra, tid, "left")
     some_left = F.when(F.col("n_own") < F.col("n_sets"), 1).otherwise(0)
@@ -219,6 +268,35 @@ def _reduce(members: DataFrame, part: list[str]) -> tuple[DataFrame, DataFrame]:
             return taken, left
 
 
+def _cycles(left: DataFrame, part: list[str]) -> DataFrame | None:
+    """(part, tid, root) of the tuples on cycles of pairs that nothing else touches; none: there are no such."""
+    tid, mis = [*part, "tid"], [*part, "mis_id"]
+    twice = left.groupBy(*tid).agg(F.count(F.lit(1)).alias("d")).filter("d = 2").select(*tid)
+    pairs = left.groupBy(*mis).agg(F.count(F.lit(1)).alias("n")).filter("n = 2").select(*mis)
+    inner = left.join(pairs, mis, "left_semi").join(twice, tid, "left_semi")
+    edges = (
+        inner.groupBy(*mis)
+        .agg(F.max("tid").alias("high"), F.min("tid").alias("low"), F.count(F.lit(1)).alias("n"))
+        .filter("n = 2")
+        .select(*part, "high", "low")
+    )
+    edges = keep(edges, "cycle-edges")
+    if edges.isEmpty():
+        return None
+    linked = _contract(edges, part)
+    ends = _both_ways(edges, part).groupBy(*part, F.col("u").alias("tid")).agg(F.count(F.lit(1)).alias("ends"))
+    rooted = ends.join(linked, tid, "left").withColumn("root", F.coalesce("root", "tid"))
+    closed = rooted.groupBy(*part, "root").agg(F.min("ends").alias("ends")).filter("ends = 2").select(*part, "root")
+    return keep(rooted.join(closed, [*part, "root"], "left_semi").select(*tid, "root"), "cycles")
+
+
+def _shares(members: DataFrame, part: list[str]) -> DataFrame:
+    """(part, n_shared): a lower bound from shares of sets, each one over the most sets a tuple of it is in."""
+    degrees = members.groupBy(*part, "tid").agg(F.count(F.lit(1)).alias("d"))
+    share = members.join(degrees, [*part, "tid"]).groupBy(*part, "mis_id").agg((1 / F.max("d")).alias("share"))
+    return share.groupBy(*part).agg(F.ceil(F.sum("share") - 1e-6).alias("n_shared"))
+
+
 def _without_larger(members: DataFrame, part: list[str], a: str, b: str, sign: int) -> DataFrame:
     """Rows without each ``a`` whose ``b`` include those of another ``a`` (sign 1) or lie in them (-1)."""
     key_a, key_b = [*part, a], [*part, b]

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import random
+
 import brute
-from quantaint.operators.components import general_gamma
+from quantaint.operators.components import general_gamma, hitting_bounds
 from quantaint.operators.hitting import tuple_counts
 from quantaint.plans.icqa import responsibility_weights
 from test_hitting import family_frame
@@ -34,3 +36,41 @@ def test_weights_carry_the_status(spark):
     supports = spark.createDataFrame(rows, schema)
     weights = responsibility_weights(tuple_counts(supports, ["qname", "answervalue"]), supports).collect()
     assert weights and all((r.status, r.gamma_low) == ("OPTIMAL", r.gamma) for r in weights)
+
+
+def cycle(name: str, n: int) -> list[set]:
+    return [{f"{name}{i}", f"{name}{(i + 1) % n}"} for i in range(n)]
+
+
+def test_cycles_are_optimal_for_every_tuple(spark):
+    families = {f"c{n}.{i}": cycle(f"{'abcd'[i]}", n) for n in (3, 4, 5, 7) for i in range(4)}
+    # A cycle beside a chain in one family, and one with a tail, which is no cycle.
+    families["beside"] = [*cycle("a", 5), {"x1", "y1"}, {"y1", "z1"}, {"z1", "w1"}]
+    families["tail"] = [*cycle("a", 5), {"a0", "t1"}, {"t1", "u1"}]
+    sets = family_frame(spark, families)
+    want = {(g, t): v for g, edges in families.items() for t, v in brute.gamma(edges).items()}
+    for r in general_gamma(sets, ["g"]).collect():
+        exact = want.pop((r.g, r.relation + r.pk))
+        assert r.gamma_low <= exact <= r.gamma
+        if r.g.startswith("c"):
+            assert (r.gamma, r.status) == (exact, "OPTIMAL")
+    assert not want
+    for r in hitting_bounds(sets, ["g"]).collect():
+        edges = families[r.g]
+        assert r.hitting_low == r.hitting_high == brute.min_hitting(edges) and r.status == "OPTIMAL"
+        assert (r.n_sets, r.n_nodes) == (len(edges), len(set().union(*edges)))
+
+
+def test_bounds_of_dense_families_hold(spark):
+    rng = random.Random(3)
+    families = {}
+    for i in range(10):
+        nodes = [f"{x}1" for x in "abcdefgh"]
+        families[f"r{i}"] = [set(rng.sample(nodes, rng.choice((2, 2, 3)))) for _ in range(11)]
+    # Sets of a projective plane: shares bound them by 7 / 3, no two are apart.
+    families["plane"] = [{f"{x}1" for x in line} for line in ("abc", "ade", "afg", "bdf", "beg", "cdg", "cef")]
+    for r in hitting_bounds(family_frame(spark, families), ["g"]).collect():
+        exact = brute.min_hitting(families[r.g])
+        assert r.hitting_low <= exact <= r.hitting_high
+        if r.g == "plane":
+            assert (r.hitting_low, exact) == (3, 3)
