@@ -635,6 +635,36 @@ LEFT JOIN (
   ON l.db_id = p.db_id AND l_partkey = ps_partkey AND l_suppkey = ps_suppkey WHERE ps_availqty < 0 GROUP BY l.db_id
 ) found USING (db_id, "constraint")
 """
+# By definition: the connected parts of each supplier's family, then the least number of orders of a part
+# that meets all of its sets, over all choices of orders.
+_LEAST_SETS = """
+SELECT l_suppkey, SUM(n_sets)::BIGINT AS n_sets, SUM(n_nodes)::BIGINT AS n_nodes, SUM(least)::BIGINT AS hitting_low,
+  SUM(least)::BIGINT AS hitting_high, 'OPTIMAL' AS status
+FROM (
+  WITH RECURSIVE pairs AS (SELECT DISTINCT l_suppkey, l_shipdate, l_orderkey FROM c_lineitem),
+  members AS MATERIALIZED (
+    SELECT * FROM pairs QUALIFY COUNT(*) OVER (PARTITION BY l_suppkey, l_shipdate) > 1
+  ), reach(l_suppkey, o, p) AS (
+    SELECT DISTINCT l_suppkey, l_orderkey, l_orderkey FROM members
+    UNION
+    SELECT r.l_suppkey, r.o, b.l_orderkey FROM reach r
+    JOIN members a ON a.l_suppkey = r.l_suppkey AND a.l_orderkey = r.p
+    JOIN members b ON b.l_suppkey = a.l_suppkey AND b.l_shipdate = a.l_shipdate
+  ), rooted AS (SELECT l_suppkey, o, MIN(p) AS root FROM reach GROUP BY l_suppkey, o
+  ), bits AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY l_suppkey, root ORDER BY o) - 1 AS bit FROM rooted
+  ), masks AS (
+    SELECT m.l_suppkey, root, l_shipdate, SUM(1::BIGINT << bit)::BIGINT AS mask
+    FROM members m JOIN bits b ON b.l_suppkey = m.l_suppkey AND b.o = m.l_orderkey GROUP BY ALL
+  ), games AS (
+    SELECT l_suppkey, root, LIST(mask) AS masks, COUNT(*) AS n_sets, ANY_VALUE(n) AS n_nodes
+    FROM masks JOIN (SELECT l_suppkey, root, COUNT(*) AS n FROM bits GROUP BY ALL) USING (l_suppkey, root) GROUP BY ALL
+  )
+  SELECT l_suppkey, n_sets, n_nodes, (
+    SELECT MIN(bit_count(c)) FROM range(1::BIGINT << n_nodes) AS t(c)
+    WHERE len(list_filter(masks, lambda m: (m & c) = 0)) = 0) AS least
+  FROM games
+) GROUP BY l_suppkey
+"""
 _CHECK_USES = ("c_lineitem", "c_orders", "c_customer", "c_nation", "c_region", "c_partsupp")
 _LAST = f"'{SCALE}/subsetB/20pct/seed02'"
 
@@ -792,6 +822,10 @@ def statements() -> dict[str, str]:
         "FROM scen LEFT JOIN (SELECT db_id, value FROM long WHERE relation = 'partsupp') USING (db_id) "
         "GROUP BY db_id, seed_value",
     )
+    add(
+        "gamma_bounds", ("c_lineitem",),
+        _LEAST_SETS,
+    )
     swept = [
         (
             "injection_log_sweep", ("targets", "picked"),

@@ -11,7 +11,7 @@ from quantaint.functions.labels import norm_scale, norm_seed
 from quantaint.operators import constraints as dc
 from quantaint.operators import inject, measures, supports, violations
 from quantaint.operators.closed_shapley import closed_shapley
-from quantaint.operators.components import general_gamma
+from quantaint.operators.components import general_gamma, hitting_bounds
 from quantaint.operators.hitting import tuple_counts
 from quantaint.operators.scenarios import Scenario, scenario_frame, sweep
 from quantaint.operators.shapley import exact_shapley, sampled_shapley
@@ -280,6 +280,19 @@ def gamma_general(spark, sf_dir):
     return general_gamma(sets, ["db_id", "dc"]).select(*GAMMA)
 
 
+@query("gamma_bounds")
+def gamma_bounds(spark, sf_dir):
+    """Least hitting sets of families without hubs: per supplier, the sets of orders shipped on one day."""
+    lines = clean_database(spark, sf_dir)["lineitem"].select("l_suppkey", "l_shipdate", "l_orderkey").distinct()
+    order = F.struct(F.lit("orders").alias("relation"), F.col("l_orderkey").cast("string").alias("pk"))
+    sets = (
+        lines.groupBy("l_suppkey", F.col("l_shipdate").cast("string").alias("mis_id"))
+        .agg(F.array_sort(F.collect_list(order)).alias("tuples"))
+        .filter(F.size("tuples") > 1)
+    )
+    return hitting_bounds(keep(sets, "shared-days"), ["l_suppkey"])
+
+
 @query("hypergraph_stats")
 def hypergraph_stats(spark, sf_dir):
     counts = tuple_counts(experiment(spark, sf_dir).violations, ["db_id", "dc"])
