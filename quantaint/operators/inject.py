@@ -49,6 +49,10 @@ CUT_ROWS = 50_000
 # Hash bits resolved per narrowing pass (4096 counters per draw).
 PASS_BITS = 12
 PAST_ALL = 2**BITS
+# Bits of one bitmap row (as Spark's bitmap functions have them), bits per pair, and most rows: 32 MB.
+BITMAP_BITS = 32_768
+PAIR_BITS = 16
+BITMAP_BUCKETS = 8192
 
 _PLACE = ["dc", "draw", "prefix"]
 _PAYLOAD = {
@@ -116,17 +120,57 @@ def eligible_supplies(db: Database, supplies: DataFrame) -> DataFrame:
     The lines' pairs are reduced before the shuffle, so a pair held by very many
     lines leaves each map task once.
     """
-    pairs = db["lineitem"].select("l_partkey", "l_suppkey").distinct()
+    return _supplied(db, supplies.filter(INJECTIONS["DC4"].eligible), db["lineitem"])
+
+
+def near_eligible_supplies(db: Database, supplies: DataFrame) -> DataFrame:
+    """``eligible_supplies`` of a small share of all supplies.
+
+    A bitmap of their pairs is looked up in the scan of the lines, so few lines without such a
+    pair reach the distinct pairs and their shuffle; the join then decides exactly. The bitmap
+    has at most ``BITMAP_BUCKETS`` rows of 4 KB, whatever the number of supplies; a full one
+    only lets more lines pass.
+    """
+    stocked = keep(supplies.filter(INJECTIONS["DC4"].eligible), "near-supplies")
+    buckets = max(1, min(BITMAP_BUCKETS, stocked.count() * PAIR_BITS // BITMAP_BITS))
+    bitmap = stocked.groupBy(_bucket(buckets, "ps_partkey", "ps_suppkey").alias("bucket")).agg(
+        F.bitmap_construct_agg(_bit("ps_partkey", "ps_suppkey")).alias("bitmap")
+    )
+    bit = _bit("l_partkey", "l_suppkey")
+    byte = F.expr("conv(hex(substring(bitmap, cast(bit div 8 as int) + 1, 1)), 16, 10)")
+    lines = (
+        db["lineitem"]
+        .select(
+            "l_partkey",
+            "l_suppkey",
+            _bucket(buckets, "l_partkey", "l_suppkey").alias("bucket"),
+            bit.alias("bit"),
+        )
+        .join(F.broadcast(bitmap), "bucket")
+        .filter(F.getbit(byte.cast("int"), (F.col("bit") % 8).cast("int")) == 1)
+    )
+    return _supplied(db, stocked, lines)
+
+
+def _supplied(db: Database, supplies: DataFrame, lines: DataFrame) -> DataFrame:
+    pairs = lines.select("l_partkey", "l_suppkey").distinct()
     same_pair = (F.col("l_partkey") == F.col("ps_partkey")) & (
         F.col("l_suppkey") == F.col("ps_suppkey")
     )
-    return (
-        supplies.filter(INJECTIONS["DC4"].eligible)
-        .join(pairs, same_pair, "left_semi")
-        .join(db["part"], F.col("ps_partkey") == F.col("p_partkey"), "left_semi")
+    return supplies.join(pairs, same_pair, "left_semi").join(
+        db["part"], F.col("ps_partkey") == F.col("p_partkey"), "left_semi"
     )
 
 
+def _bucket(buckets: int, *keys: str) -> Column:
+    """Which bitmap of ``buckets`` a pair of keys belongs to, by bits that ``_bit`` does not use."""
+    return F.pmod(F.shiftright(F.xxhash64(*keys), 20), F.lit(buckets))
+
+
+def _bit(*keys: str) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(BITMAP_BITS).cast("bigint"))
+
+
 def draw_number(dc: str, seed: int) -> int:
     """A scenario seed gives each constraint its own draw."""
     return seed * 1000 + 1 + list(INJECTIONS).index(dc)
@@ -157,10 +201,10 @@ def draw(
     )
     hashed = with_draws(worded, {"h": "words"}, "draw").drop("words")
 
-    def eligible(rows: DataFrame) -> DataFrame:
+    def eligible(rows: DataFrame, near: bool = False) -> DataFrame:
         if relation == "lineitem":
             return eligible_lines(db, rows, dcs)
-        return eligible_supplies(db, rows)
+        return near_eligible_supplies(db, rows) if near else eligible_supplies(db, rows)
 
     # One row per scenario and constraint: bounded by the scenario list.
     cuts = targets.filter(F.col("dc").isin(dcs) & (F.col("requested") > 0)).select(
@@ -182,16 +226,19 @@ def draw(
     if passes == 0:
         rows = eligible(hashed)
 
+    # Rows below a cut are taken as they are; only those at the cut are shuffled and ranked.
     head = _prefix(PASS_BITS * passes)
-    taken = rows.join(F.broadcast(cuts), ["dc", "draw"]).filter(head <= F.col("prefix"))
-    lane = F.when(head < F.col("prefix"), F.col("h"))
-    rank = F.row_number().over(Window.partitionBy("db_id", "dc", "lane").orderBy("h", *keys))
-    return (
-        taken.withColumn("lane", lane)
+    drawn = rows.join(F.broadcast(cuts), ["dc", "draw"])
+    rank = F.row_number().over(Window.partitionBy("db_id", "dc").orderBy("h", *keys))
+    taken = (
+        drawn.filter(head == F.col("prefix"))
         .withColumn("rank", rank)
-        .filter(F.col("lane").isNotNull() | (F.col("rank") <= F.col("rest")))
-        .drop("h", "prefix", "rest", "lane", "rank", "draw")
+        .filter(F.col("rank") <= F.col("rest"))
+        .drop("rank")
     )
+    if passes:
+        taken = drawn.filter(head < F.col("prefix")).unionByName(taken)
+    return taken.drop("h", "prefix", "rest", "draw")
 
 
 def _draws(relation: str, scenarios: list[Scenario]) -> tuple[list[str], list[dict]]:
@@ -216,7 +263,7 @@ def _first_pass(
     limit = (ceil(share * 2**PASS_BITS) + 1) << (BITS - PASS_BITS)
     start = F.lit(0).cast("bigint")
     if share < 1.0:
-        rows = keep(eligible(hashed.filter(F.col("h") < limit)), "near-rows")
+        rows = keep(eligible(hashed.filter(F.col("h") < limit), near=True), "near-rows")
         found = keep(_narrow(rows.withColumn("prefix", start), cuts, 0), "cuts")
         if found.filter(F.col("prefix") == PAST_ALL).isEmpty():
             return rows, found

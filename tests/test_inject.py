@@ -12,9 +12,12 @@ from quantaint.operators.constraints import (
     membership,
     shared_pass_rows,
 )
+from quantaint.operators import inject as injecting
 from quantaint.operators.inject import (
     INJECTIONS,
     draw_number,
+    eligible_supplies,
+    near_eligible_supplies,
     inject,
     injection_log,
     violated_relation,
@@ -136,3 +139,16 @@ def test_each_injection_adds_its_violations(spark, small):
     assert set(found) == set(applied)
     for key, n in applied.items():
         assert found[key] >= n if key[1] == "DC4" else found[key] == n
+
+
+def test_bitmap_changes_no_supply(spark, small, monkeypatch):
+    """Near supplies by bitmaps of any fill are the eligible ones; none gives none."""
+    db = clean_database(spark, small)
+    for share, buckets, bits in ((7, 8192, 16), (2, 1, 16), (1, 8192, 600)):
+        monkeypatch.setattr(injecting, "BITMAP_BUCKETS", buckets)
+        monkeypatch.setattr(injecting, "PAIR_BITS", bits * 64)
+        near = db["partsupp"].filter(F.col("ps_partkey") % share == 0)
+        want = sorted(map(tuple, eligible_supplies(db, near).select(*KEYS["partsupp"]).collect()))
+        assert want
+        assert sorted(map(tuple, near_eligible_supplies(db, near).select(*KEYS["partsupp"]).collect())) == want
+    assert near_eligible_supplies(db, db["partsupp"].limit(0)).isEmpty()
