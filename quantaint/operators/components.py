@@ -256,13 +256,13 @@ def _reduce(members: DataFrame, part: list[str]) -> tuple[DataFrame, DataFrame]:
     tid, mis = [*part, "tid"], [*part, "mis_id"]
     left, taken, rows = members, members.filter(F.lit(False)).select(*tid), members.count()
     while True:
-        left = keep(_without_larger(left, part, "mis_id", "tid", 1), "least-sets")
+        left = keep(_least_sets(left, part), "least-sets")
         single = left.groupBy(*mis).agg(F.min("tid").alias("tid"), F.count(F.lit(1)).alias("n"))
         forced = keep(single.filter("n = 1").select(*tid).distinct(), "forced")
         taken = taken.unionByName(forced)
         hit = left.join(forced, tid, "left_semi").select(*mis).distinct()
         left = keep(left.join(hit, mis, "left_anti"), "open-sets")
-        left = keep(_without_larger(left, part, "tid", "mis_id", -1), "open-sets")
+        left = keep(_without_dominated(left, part), "open-sets")
         before, rows = rows, left.count()
         if rows in (0, before):
             return taken, left
@@ -297,29 +297,71 @@ def _shares(members: DataFrame, part: list[str]) -> DataFrame:
     return share.groupBy(*part).agg(F.ceil(F.sum("share") - 1e-6).alias("n_shared"))
 
 
-def _without_larger(members: DataFrame, part: list[str], a: str, b: str, sign: int) -> DataFrame:
-    """Rows without each ``a`` whose ``b`` include those of another ``a`` (sign 1) or lie in them (-1)."""
-    key_a, key_b = [*part, a], [*part, b]
-    sizes = members.groupBy(*key_a).agg(F.count(F.lit(1)).alias("n"))
-    degrees = members.groupBy(*key_b).agg(F.count(F.lit(1)).alias("d"))
-    rarest = members.join(degrees, key_b).groupBy(*key_a).agg(F.min(F.struct("d", b))[b].alias(b))
-    inner = rarest.join(sizes, key_a).withColumnRenamed(a, "small").withColumnRenamed("n", "n_small")
-    outer = members.join(sizes, key_a).withColumnRenamed(a, "large").withColumnRenamed("n", "n_large")
-    first = F.col("small") < F.col("large") if sign > 0 else F.col("large") < F.col("small")
-    pairs = inner.join(outer, key_b).filter(
+def _least_sets(members: DataFrame, part: list[str]) -> DataFrame:
+    """Rows without the sets that hold another set; of equal sets the least name stays.
+
+    Equal sets are found by what they hold, without a join. A smaller set lies in a larger one only
+    if its two rarest tuples do: it is posted under that pair (a set of one under its tuple) and the
+    larger set looks up all its pairs, so sets that share one frequent tuple never meet. Sets are
+    as short as a constraint or query has relations.
+    """
+    mis = [*part, "mis_id"]
+    degrees = members.groupBy(*part, "tid").agg(F.count(F.lit(1)).alias("d"))
+    shapes = members.join(degrees, [*part, "tid"]).groupBy(*mis).agg(
+        F.sort_array(F.collect_list(F.struct("d", "tid"))).alias("ranked")
+    )
+    names = F.transform("ranked", lambda r: r["tid"])
+    unique = keep(
+        shapes.select(*mis, F.array_sort(names).alias("held"), F.slice(names, 1, 2).alias("rare"))
+        .groupBy(*part, "held")
+        .agg(F.min("mis_id").alias("mis_id"), F.first("rare").alias("rare"))
+        .withColumn("n", F.size("held")),
+        "unique-sets",
+    )
+    small = unique.select(
+        *part, F.array_sort("rare").alias("key"), F.col("held").alias("inner"), F.col("n").alias("n_small")
+    )
+    ones = F.transform("held", lambda t: F.array(t))
+    pairs = F.flatten(
+        F.transform(
+            "held", lambda t, i: F.transform(F.slice("held", i + 2, F.col("n")), lambda u: F.array(t, u))
+        )
+    )
+    large = unique.filter("n > 1").select(
+        *mis, "held", "n", F.explode(F.when(F.col("n") > 2, F.concat(ones, pairs)).otherwise(ones)).alias("key")
+    )
+    holds = (F.col("n_small") < F.col("n")) & (F.size(F.array_except("inner", "held")) == 0)
+    dropped = large.join(small, [*part, "key"]).filter(holds).select(*mis).distinct()
+    kept = unique.select(*mis).join(dropped, mis, "left_anti")
+    return members.join(kept, mis, "left_semi")
+
+
+def _without_dominated(members: DataFrame, part: list[str]) -> DataFrame:
+    """Rows without each tuple whose sets all hold another tuple; of equal ones the least name stays.
+
+    A tuple is compared with the few that share the smallest of its sets.
+    """
+    tid, mis = [*part, "tid"], [*part, "mis_id"]
+    degrees = members.groupBy(*tid).agg(F.count(F.lit(1)).alias("n"))
+    sizes = members.groupBy(*mis).agg(F.count(F.lit(1)).alias("d"))
+    smallest = members.join(sizes, mis).groupBy(*tid).agg(F.min(F.struct("d", "mis_id"))["mis_id"].alias("mis_id"))
+    inner = smallest.join(degrees, tid).withColumnRenamed("tid", "small").withColumnRenamed("n", "n_small")
+    outer = members.join(degrees, tid).withColumnRenamed("tid", "large").withColumnRenamed("n", "n_large")
+    pairs = inner.join(outer, mis).filter(
         (F.col("n_small") < F.col("n_large"))
-        | ((F.col("n_small") == F.col("n_large")) & first)
+        | ((F.col("n_small") == F.col("n_large")) & (F.col("large") < F.col("small")))
     )
-    common = (
+    dropped = (
         pairs.select(*part, "small", "large", "n_small")
-        .join(members.withColumnRenamed(a, "small"), [*part, "small"])
-        .join(members.withColumnRenamed(a, "large"), [*part, "large", b])
+        .join(members.withColumnRenamed("tid", "small"), [*part, "small"])
+        .join(members.withColumnRenamed("tid", "large"), [*part, "large", "mis_id"])
         .groupBy(*part, "small", "large", "n_small")
         .agg(F.count(F.lit(1)).alias("n"))
         .filter("n = n_small")
+        .select(*part, F.col("small").alias("tid"))
+        .distinct()
     )
-    dropped = common.select(*part, F.col("large" if sign > 0 else "small").alias(a)).distinct()
-    return members.join(dropped, key_a, "left_anti")
+    return members.join(dropped, tid, "left_anti")
 
 
 def _cover(members: DataFrame, part: list[str]) -> DataFrame:

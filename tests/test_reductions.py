@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import random
+from collections import defaultdict
 
 import brute
+from quantaint.operators import components
 from quantaint.operators.components import general_gamma, hitting_bounds
 from quantaint.operators.hitting import tuple_counts
 from quantaint.plans.icqa import responsibility_weights
@@ -74,3 +76,31 @@ def test_bounds_of_dense_families_hold(spark):
         assert r.hitting_low <= exact <= r.hitting_high
         if r.g == "plane":
             assert (r.hitting_low, exact) == (3, 3)
+
+
+def test_least_sets_and_dominated_tuples_by_definition(spark):
+    """Sets of up to six tuples, equal sets, and one frequent tuple in nearly all of them."""
+    rng = random.Random(3)
+    families = {
+        f"f{i}": [
+            {"h"} | set(rng.sample("abcdefg", rng.randint(0, 5))) if rng.random() < 0.7 else set(rng.sample("abcdefg", 2))
+            for _ in range(12)
+        ]
+        for i in range(25)
+    }
+    rows = [(g, f"m{i:02}", t) for g, sets in families.items() for i, e in enumerate(sets) for t in e]
+    members = spark.createDataFrame(rows, "comp string, mis_id string, tid string")
+    least, rest = defaultdict(lambda: defaultdict(set)), defaultdict(lambda: defaultdict(set))
+    for r in components._least_sets(members, ["comp"]).collect():
+        least[r.comp][r.mis_id].add(r.tid)
+    for r in components._without_dominated(members, ["comp"]).collect():
+        rest[r.comp][r.tid].add(r.mis_id)
+    for g, sets in families.items():
+        named = {f"m{i:02}": e for i, e in enumerate(sets)}
+        assert dict(least[g]) == {
+            m: e for m, e in named.items() if not any(f < e or (f == e and n < m) for n, f in named.items())
+        }
+        inside = {t: {m for m, e in named.items() if t in e} for e in sets for t in e}
+        assert dict(rest[g]) == {
+            t: e for t, e in inside.items() if not any(e < f or (e == f and u < t) for u, f in inside.items())
+        }
