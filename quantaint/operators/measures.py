@@ -7,10 +7,12 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quantaint.operators.components import general_gamma
 from quantaint.operators.constraints import CONSTRAINTS, DenialConstraint
-from quantaint.operators.hitting import hub_gamma, tuple_counts
+from quantaint.operators.hitting import hub_gamma, several_hubs, tuple_counts
 from quantaint.operators.scenarios import split_db_id
 from quantaint.schema import MEASURES, SCENARIO_COLUMNS
+from quantaint.sources.store import keep
 
 _TUPLE = ["db_id", "relation", "pk"]
 
@@ -66,30 +68,52 @@ def measure_rim(sets: DataFrame, scenarios: int, constraints=CONSTRAINTS) -> Dat
 
 
 def gamma_details(sets: DataFrame, scenarios: int, constraints=CONSTRAINTS) -> DataFrame:
-    """Per (db_id, dc, tuple): gamma, remaining sets and number of tuples."""
+    """Per (db_id, dc, tuple): gamma, its lower bound and status, remaining sets, number of tuples.
+
+    ``shares`` is the sum of 1/(1+gamma) over the tuples of the group. Where constraints have a hub
+    that not every tuple's key determines, groups with several hubs take the general method.
+    """
     is_hub = F.lit(False)
     determined = F.lit(False)
     for dc in constraints.values():
         here = F.col("dc") == dc.name
         is_hub = is_hub | (here & (F.col("relation") == dc.hub))
         determined = determined | (here & F.lit(dc.hub_is_determined))
-    group = ["db_id", "dc"]
-    counts = tuple_counts(sets, group)
-    return hub_gamma(counts, group, is_hub, scenarios * len(constraints), determined).withColumn(
-        "n_edges", F.col("n_sets") - F.col("cnt")
-    )
-
-
-def rim_by_constraint(gamma: DataFrame) -> DataFrame:
-    """Spread a constraint's set count over its tuples in proportion to 1/(1+gamma).
-
-    gamma takes two values per group (parts - 1, parts), so the normaliser is
+    group, most = ["db_id", "dc"], scenarios * len(constraints)
+    counts = keep(tuple_counts(sets, group), "set-counts")
+    if all(dc.hub_is_determined for dc in constraints.values()):
+        return _closed_gamma(hub_gamma(counts, group, is_hub, most, determined))
+    odd = keep(several_hubs(counts, group, is_hub, determined), "several-hubs")
+    plain = counts.join(F.broadcast(odd), group, "left_anti")
+    closed = _closed_gamma(hub_gamma(plain, group, is_hub, most, determined))
+    if odd.isEmpty():
+        return closed
+    general = keep(general_gamma(sets.join(F.broadcast(odd), group, "left_semi"), group), "general-gamma")
+    shares = general.groupBy(*group).agg(F.sum(1 / (1 + F.col("gamma")).cast("double")).alias("shares"))
+    open_parts = general.withColumn("n_sets", F.col("n_edges") + F.col("cnt")).join(F.broadcast(shares), group)
+    return closed.unionByName(open_parts.select(*closed.columns))
+
+
+def _closed_gamma(gamma: DataFrame) -> DataFrame:
+    """The columns of ``gamma_details`` from the closed form.
+
+    gamma takes two values per group (parts - 1, parts), so the sum of shares is
     exact from counts and needs no second pass over the tuples.
     """
     parts = F.col("parts").cast("double")
     present = F.col("n_nodes") - F.col("n_missing")
-    total = present / parts + F.col("n_missing") / (parts + 1)
-    share = 1 / (1 + F.col("gamma")).cast("double") / total
+    return gamma.select(
+        "db_id", "dc", "relation", "pk", "cnt", "gamma", "n_sets", "n_nodes",
+        (F.col("n_sets") - F.col("cnt")).alias("n_edges"),
+        F.col("gamma").alias("gamma_low"),
+        F.lit("OPTIMAL").alias("status"),
+        (present / parts + F.col("n_missing") / (parts + 1)).alias("shares"),
+    )
+
+
+def rim_by_constraint(gamma: DataFrame) -> DataFrame:
+    """Spread a constraint's set count over its tuples in proportion to 1/(1+gamma)."""
+    share = 1 / (1 + F.col("gamma")).cast("double") / F.col("shares")
     return gamma.withColumn("rim", share * F.col("n_sets"))
 
 

@@ -3,7 +3,9 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from quantaint.operators.measures import normalise_measures
+import brute
+from quantaint.operators.constraints import DenialConstraint
+from quantaint.operators.measures import gamma_details, normalise_measures, rim_by_constraint
 from quantaint.operators.violations import set_counts
 from quantaint.plans import registered
 
@@ -43,3 +45,31 @@ def test_weights_are_shares(spark, small):
 def test_missing_columns_are_refused(spark):
     with pytest.raises(ValueError, match="missing columns"):
         normalise_measures(spark.range(1))
+
+
+def test_gamma_of_groups_with_several_hubs(spark):
+    """A constraint whose hub the other tuple's key does not determine: both kinds of groups."""
+    linked = DenialConstraint("X", ("part", "supplier"), "true", "part", {"part": 1.0, "supplier": 1.0})
+    assert not linked.hub_is_determined
+    # Scenario one: two parts share a supplier; two: one part with two suppliers.
+    families = {
+        "one": [("p1", "s1"), ("p2", "s1"), ("p2", "s2"), ("p3", "s3")],
+        "two": [("p1", "s1"), ("p1", "s2")],
+    }
+    rows = [
+        (g, "X", f"{p}|{s}", p, [("part", p), ("supplier", s)]) for g, sets in families.items() for p, s in sets
+    ]
+    schema = (
+        "db_id string, dc string, mis_id string, comp string, tuples array<struct<relation: string, pk: string>>"
+    )
+    details = gamma_details(spark.createDataFrame(rows, schema), 2, {"X": linked})
+    got = {(r.db_id, r.pk): r for r in rim_by_constraint(details).collect()}
+    for g, sets in families.items():
+        want = brute.gamma([set(x) for x in sets])
+        shares = {t: 1 / (1 + v) for t, v in want.items()}
+        for t, v in want.items():
+            r = got.pop((g, t))
+            assert (r.gamma, r.gamma_low, r.status) == (v, v, "OPTIMAL")
+            assert (r.n_nodes, r.n_edges) == (len(want), sum(t not in x for x in sets))
+            assert r.rim == pytest.approx(len(sets) * shares[t] / sum(shares.values()))
+    assert not got
