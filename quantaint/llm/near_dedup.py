@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quantaint.llm.batches import keep_texts
 from quantaint.llm.shingles import mix, shingle_set
@@ -48,7 +49,7 @@ _draw = np.random.Generator(np.random.PCG64(20_05))
 _A = (_draw.integers(0, 1 << 31, SAMPLES, dtype=np.int64) * 2 + 1).astype(np.uint32)
 _B = _draw.integers(0, 1 << 32, SAMPLES, dtype=np.int64).astype(np.uint32)
 _SKETCHED = (
-    "doc_id long, n_shingles long, cls binary, bands array<long>, "
+    "n_shingles long, cls binary, bands array<long>, "
     + ", ".join(f"s{i} long" for i in range(WORDS))
 )
 
@@ -92,9 +93,8 @@ def most_flips(similarity: float) -> int:
 
 def sketch_documents(documents: DataFrame) -> DataFrame:
     """Shingle count, class (digest of the shingle set), bucket names and odd sketch of each text."""
-    rows = documents.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")
-    )
+    rows = documents.select("doc_id", F.col("text").cast("binary").alias("text"))
+    out = StructType([rows.schema["doc_id"], *StructType.fromDDL(_SKETCHED)])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,10 +120,10 @@ def sketch_documents(documents: DataFrame) -> DataFrame:
                     pa.array(bands, pa.list_(pa.int64())),
                     *[pa.array(w) for w in words],
                 ],
-                names=[x.split()[0] for x in _SKETCHED.split(", ")],
+                names=out.fieldNames(),
             )
 
-    return rows.mapInArrow(run, _SKETCHED)
+    return rows.mapInArrow(run, out)
 
 
 def _classes(sketched: DataFrame) -> DataFrame:
@@ -178,9 +178,9 @@ def _shingle_sets(documents: DataFrame, classes: DataFrame, members: DataFrame)
         "wanted-classes",
     )
     small = wanted.count() <= BROADCAST_IDS
-    rows = documents.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")
-    ).join(F.broadcast(wanted) if small else wanted, "doc_id")
+    rows = documents.select("doc_id", F.col("text").cast("binary").alias("text")).join(
+        F.broadcast(wanted) if small else wanted, "doc_id"
+    )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -398,7 +398,9 @@ def _intersections(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
     return total
 
 
-def near_duplicates(documents: DataFrame, similar: int = SIMILAR, centres: tuple[int, ...] = CENTRES) -> DataFrame:
+def near_duplicates(
+    documents: DataFrame, similar: int = SIMILAR, centres: tuple[int, ...] = CENTRES, key: Column | None = None
+) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row.
 
     Documents whose five-word shingle sets have a Jaccard similarity of ``similar`` percent or
@@ -406,8 +408,11 @@ def near_duplicates(documents: DataFrame, similar: int = SIMILAR, centres: tuple
     is the document's own. With fewer than five words the whole sequence is the one shingle.
     Documents without words or text, and rows without an id, are linked with nothing; a row
     without an id has no component and is kept. Rows that repeat an id are judged one by one.
-    Empty tables give no rows. ``documents`` is read twice.
+    Empty tables give no rows. ``documents`` is read twice. ``key``, of any type with an order,
+    takes the place of ``doc_id``.
     """
+    name = F.col("doc_id").cast("long") if key is None else key
+    documents = documents.select(name.alias("doc_id"), "text")
     sketched = keep_texts(sketch_documents(documents), "sketches")
     classes = keep(_classes(sketched), "classes")
     members = _bucket_members(classes)

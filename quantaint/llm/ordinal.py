@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantaint.llm.batches import hold, keep_texts
+from quantaint.llm.batches import hold, keep_texts, least_rows
 from quantaint.llm.shingles import words
 
 FEATURES = 1 << 18
@@ -165,12 +165,10 @@ def grade_of(quality: Column, toxic: Column) -> Column:
 
 def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
     """Fit on at most ``sample`` labelled rows, those of least hash; null qualities are left out."""
-    rated = (
-        labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
-        .select("doc_id", grade_of(F.col("quality"), F.col("toxic")).alias("grade"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "grade")
-        .limit(sample)
+    graded = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select(
+        "doc_id", grade_of(F.col("quality"), F.col("toxic")).alias("grade")
     )
+    rated = least_rows(graded, F.xxhash64("doc_id"), sample, "doc_id", "grade")
     texts = documents.select("doc_id", F.col("text").cast("binary").alias("text")).join(
         F.broadcast(rated), "doc_id"
     )
@@ -215,6 +213,12 @@ def grade_documents(documents: DataFrame, model: Ordinal, least_tail: float = LE
     return rows.mapInArrow(run, out).withColumn("kept", F.col("tail") >= least_tail)
 
 
-def classify_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """Fit on the labelled rows and grade all documents; empty tables give no rows."""
-    return keep_texts(grade_documents(documents, train(documents, labels)), "grades")
+def classify_documents(documents: DataFrame, labels: DataFrame, key: Column | None = None) -> DataFrame:
+    """Fit on the labelled rows and grade all documents; empty tables give no rows.
+
+    Rows that repeat an id are graded one by one, each by its own text; all of them count in the
+    fit if the id is labelled, once per label. ``key`` replaces ``doc_id`` in the result.
+    """
+    model = train(documents, labels)
+    named = documents if key is None else documents.select(key.alias("doc_id"), "text")
+    return keep_texts(grade_documents(named, model), "grades")

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantaint.llm.batches import least_rows
+
 NEAREST = 10
 PIVOTS = 256
 # Nearest pivots that represent a vector.
@@ -120,7 +122,7 @@ def nearest_neighbours(
     query_count = asked.count()
     if query_count == 0:
         return empty
-    drawn = rows.select("vector", F.xxhash64("vec_id").alias("h")).orderBy("h", "vector").limit(PIVOT_SAMPLE)
+    drawn = least_rows(rows.select("vec_id", "vector"), F.xxhash64("vec_id"), PIVOT_SAMPLE, "vector")
     distinct = list(dict.fromkeys(tuple(r.vector) for r in drawn.collect()))[:PIVOTS]
     pivots = np.array(distinct)
 

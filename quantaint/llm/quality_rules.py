@@ -225,6 +225,7 @@ def apply_rules(documents: DataFrame, fences: tuple[Fence, ...] = FENCES) -> Dat
     groups of their own; a null text counts as one without words and fails the base rules.
     Fences come from the documents that pass the base rules; each repeated row counts. Whole
     texts are measured, however long. Empty tables give no rows. Other columns are not read.
+    ``doc_id`` may be of any type; it is carried through.
     """
     counts = keep_texts(measure_texts(documents), "text-counts")
     measured = _with_measures(counts).withColumn("base_failed", base_failed())

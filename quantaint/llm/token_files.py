@@ -30,6 +30,8 @@ from quantaint.llm.tokens import encoder, token_bytes
 from quantaint.sources.store import fresh_path
 
 FILE_IDS = 4_000_000
+# Documents of a file that are read at once.
+READ_DOCS = 4096
 _MAGIC = b"QTOK"
 _HEAD = struct.Struct("<4sBBHQQqII")
 _VERSION = 1
@@ -144,7 +146,10 @@ def file_starts(manifest: DataFrame) -> DataFrame:
 
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per document of all files: its place, ids' checksum and local offset."""
+    """One row per document of all files: its place, ids' checksum and local offset.
+
+    Boundaries come from ``select``; no table of a file's offsets is built.
+    """
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.qtok")
@@ -160,25 +165,24 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             for part, seq, content in zip(*batch.columns, strict=True):
                 held = TokenFile(content.as_buffer())
-                borders = held.borders.decode()
-                sums = [
-                    zlib.crc32(held.flat[a:b].astype("<u4"))
-                    for a, b in zip(borders[:-1], borders[1:], strict=True)
-                ]
-                n = held.n_docs
-                columns = [
-                    [part.as_py()] * n,
-                    [seq.as_py()] * n,
-                    list(range(n)),
-                    held.doc_ids,
-                    borders[:-1].tolist(),
-                    np.diff(borders).tolist(),
-                    sums,
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, pa.int64()) for x in columns],
-                    names=[x.split()[0] for x in _DOCS.split(", ")],
-                )
+                for first in range(0, held.n_docs, READ_DOCS):
+                    last = min(first + READ_DOCS, held.n_docs)
+                    borders = [held.borders.select(i) for i in range(first, last + 1)]
+                    spans = list(zip(borders[:-1], borders[1:], strict=True))
+                    n = last - first
+                    columns = [
+                        [part.as_py()] * n,
+                        [seq.as_py()] * n,
+                        list(range(first, last)),
+                        held.doc_ids[first:last],
+                        borders[:-1],
+                        [b - a for a, b in spans],
+                        [zlib.crc32(held.flat[a:b].astype("<u4")) for a, b in spans],
+                    ]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(x, pa.int64()) for x in columns],
+                        names=[x.split()[0] for x in _DOCS.split(", ")],
+                    )
 
     return files.mapInArrow(read, _DOCS)
 

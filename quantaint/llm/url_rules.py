@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quantaint.llm.batches import least_rows
+
 ALLOW, BLOCK = "allow", "block"
 _LAST = "\U0010ffff"
 
@@ -163,7 +165,7 @@ def _borders(rows: DataFrame, ranges: int, sample: int) -> list[str]:
 
     The sample is the rows of least hash, so a rerun cuts alike.
     """
-    drawn = rows.select("_key", "_draw").orderBy("_draw").limit(sample)
+    drawn = least_rows(rows.select("_key", "_draw"), F.col("_draw"), sample)
     keys = sorted(r[0] for r in drawn.select("_key").collect())
     if not keys:
         return []

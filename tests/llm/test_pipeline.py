@@ -13,6 +13,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from quantaint.llm import mixing, oracle, registered
+from quantaint.llm.batches import least_rows
 from quantaint.sources.store import keep
 
 from .test_mixing_chat_language import check_mix, plain_targets
@@ -143,3 +144,39 @@ def test_mix_by_rows_and_in_rounds(spark, small, monkeypatch):
     monkeypatch.setattr(corpus_pipeline, "BLOCK_ROWS", 8)
     monkeypatch.setattr(corpus_pipeline, "ROUND_ROWS", 100)
     assert Counter(map(tuple, corpus_pipeline.mix(spark, docs, small).collect())) == once
+
+
+def test_stages_judge_rows_not_ids(spark, small):
+    """Rows that share an id, or have none, are judged by their own texts; a very long text passes whole."""
+    good = [" ".join(f"{w}{i}" for i in range(90)) for w in ("alpha", "beta", "gamma", "delta")]
+    bad = "spam " * 200
+    long_text = " ".join(f"long{i}" for i in range(120_000))
+    rows = [
+        (1, good[0]), (1, good[1]), (2, good[0]), (3, good[1]), (3, bad), (None, good[2]), (4, good[2]),
+        (None, bad), (None, good[3]), (None, good[3]), (5, long_text), (6, long_text + " end"), (7, ""), (8, None), (8, None),
+    ]
+    docs = spark.createDataFrame([(n, t, "en", "a", 1, "x") for n, t in rows], "doc_id long, text string, lang string, source string, n_chars long, _row string")
+    docs = keep(docs.repartition(3), "odd")
+
+    def texts(frame):
+        assert frame.columns == docs.columns
+        return Counter((r.doc_id, r.text) for r in frame.collect())
+
+    passed = texts(corpus_pipeline.filter_quality(spark, docs, small))
+    assert passed == Counter(r for r in rows if r[1] and r[1] != bad)
+    left = texts(corpus_pipeline.deduplicate(spark, docs, small))
+    want = [(1, good[0]), (1, good[1]), (3, bad), (4, good[2]), (None, good[3]), (5, long_text), (7, ""), (8, None), (8, None)]
+    assert left == Counter(want)
+    graded = texts(corpus_pipeline.classify(spark, docs, small))
+    fate = {text: [graded[n, text] == count for (n, t), count in Counter(rows).items() if t == text] for _, text in rows}
+    assert all(len(set(x)) == 1 for x in fate.values()) and sum(graded.values()) <= len(rows)
+
+
+def test_least_rows_are_those_of_least_hash(spark):
+    rows = spark.range(20_000).withColumn("h", F.xxhash64("id"))
+    want = [r.id for r in rows.orderBy("h", "id").limit(300).collect()]
+    assert [r.id for r in least_rows(rows.repartition(7), F.col("h"), 300, "id").collect()] == want
+    # All rows of one hash: ties decide.
+    same = rows.withColumn("h", F.lit(2**62))
+    assert [r.id for r in least_rows(same, F.col("h"), 5, "id").collect()] == [0, 1, 2, 3, 4]
+    assert least_rows(rows.limit(0), F.col("h"), 5).isEmpty()
