@@ -10,7 +10,7 @@ from collections.abc import Callable
 from functools import reduce
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quantaint.llm import mixing, near_dedup, ordinal, packing, quality_rules
@@ -25,40 +25,65 @@ BLOCK_ROWS = 4096
 ROUND_ROWS = 1 << 26
 
 
-def _without(documents: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Documents whose id is not in ``dropped``; rows without an id stay.
+def _placed(documents: DataFrame) -> tuple[DataFrame, Column]:
+    """``documents`` as column ``row`` beside ``doc_id`` and ``text``, and the key of each row.
 
-    Stages drop far fewer documents than they keep, so the short list of dropped ids is
+    ``documents`` is a table of Parquet files: a row is known by its file (a 64-bit hash of its
+    name) and its place there, whatever its id.
+    """
+    place = F.struct(
+        F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")
+    )
+    columns = [F.col(c) for c in ("doc_id", "text", "lang", "source")]
+    return documents.select(F.struct("*").alias("row"), *columns, place.alias("_row")), F.col("_row")
+
+
+def _without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Documents of ``_placed`` rows whose key is not in ``dropped`` (column doc_id).
+
+    Stages drop far fewer documents than they keep, so the short list of dropped keys is
     what is sent to the scan while its measured length allows that.
     """
-    stored = keep(dropped.filter(F.col("doc_id").isNotNull()).select("doc_id").distinct(), "dropped-ids")
+    stored = keep(dropped.select(F.col("doc_id").alias("_row")).distinct(), "dropped-rows")
     small = stored.count() <= BROADCAST_IDS
-    return documents.join(F.broadcast(stored) if small else stored, "doc_id", "left_anti")
+    return rows.join(F.broadcast(stored) if small else stored, "_row", "left_anti").select("row.*")
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Quality classifier: documents whose best grade is unlikely go."""
+    """Quality classifier: documents whose best grade is unlikely go.
+
+    Each row is judged by its own text, also where rows share an id or have none. Null and empty
+    texts are graded like others; equal rows share their fate; an empty table gives no rows.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return _without(docs, ordinal.classify_documents(docs, labels).filter(~F.col("kept")))
+    rows, key = _placed(docs)
+    return _without(rows, ordinal.classify_documents(rows, labels, key).filter(~F.col("kept")))
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Quality rules: documents that fail the base rules or a fence of their group go."""
-    return _without(docs, quality_rules.apply_rules(docs).filter(~F.col("kept")))
+    """Quality rules: documents that fail the base rules or a fence of their group go.
+
+    Null and empty texts fail, with or without an id; rows are judged one by one, so equal rows
+    share their fate; null languages and sources are groups; an empty table gives no rows.
+    """
+    rows, key = _placed(docs)
+    judged = quality_rules.apply_rules(rows.select(key.alias("doc_id"), "lang", "source", "text"))
+    return _without(rows, judged.filter(~F.col("kept")))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near duplicates: the document of least id of each group stays, once."""
-    groups = keep(near_dedup.near_duplicates(docs), "near-duplicates")
-    by_id = groups.groupBy("doc_id").agg(F.max("kept").alias("kept"))
-    kept = _without(docs, by_id.filter(~F.col("kept")))
-    ids = groups.filter(F.col("kept") & F.col("doc_id").isNotNull())
-    if ids.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return kept
-    # An id that several rows share stays with one of them, the one of least text.
-    rows = kept.select(F.struct("*").alias("row"))
-    first = F.row_number().over(Window.partitionBy("row.doc_id").orderBy("row.text", F.xxhash64("row"))) == 1
-    return rows.withColumn("first", first).filter("first OR row.doc_id IS NULL").select("row.*")
+    """Near duplicates: one row of each group stays, that of least id, then of first place.
+
+    Rows are judged by their texts: rows that share an id but no text are no group, rows without
+    an id stay only where no row with an id is in their group. Null texts, and texts without words,
+    stay; an empty table gives no rows.
+    """
+    rows, key = _placed(docs)
+    first = F.struct(
+        F.isnull("doc_id").alias("unnamed"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), key.alias("row")
+    )
+    groups = near_dedup.near_duplicates(rows, key=first).filter(~F.col("kept"))
+    return _without(rows, groups.select(F.col("doc_id.row").alias("doc_id")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -95,6 +120,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packing: every row's ids and an end id in sequences of at most 2048 tokens.
+
+    A null or empty text is its end id alone; repeated rows and ids are packed one by one; longer
+    documents are cut; an empty table gives no pieces.
+    """
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 
