@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
-from quantaint.operators import inject, violations
+from quantaint.operators import hitting, inject, measures, violations
 from quantaint.operators.scenarios import Scenario
+from quantaint.plans.experiment import Experiment
 from quantaint.sources.testdata import clean_database
 
 SCENARIOS = [Scenario("sft", "subsetB", 0.2, seed) for seed in (1, 2)]
@@ -47,3 +51,29 @@ def test_a_clean_base_is_not_joined_with_changes(spark, small):
     overlay = inject.inject(clean_database(spark, small), SCENARIOS)
     plan = violations.violation_sets(overlay)._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftAnti" not in plan
+
+
+def test_local_parts_match_joined_parts(spark):
+    draws = random.Random(5)
+    rows = []
+    for group in ("a", "b"):
+        for hub in range(6):
+            for _ in range(draws.randint(1, 5)):
+                rows.append((group, str(hub), [("o", str(hub)), ("l", f"{hub},{draws.randint(1, 3)}")]))
+    sets = spark.createDataFrame(rows, "g string, comp string, tuples array<struct<relation: string, pk: string>>")
+    hub, sure = F.col("relation") == "o", F.lit(True)
+    joined = hitting.hub_gamma(hitting.tuple_counts(sets, ["g"]), ["g"], hub, 2, sure)
+    local = hitting.local_hub_gamma(sets, ["g"], hub, 2, sure).select(*joined.columns)
+    assert sorted(map(tuple, local.collect())) == sorted(map(tuple, joined.collect()))
+
+
+def test_measures_shuffle_the_sets_once(spark, small):
+    sets = Experiment(clean_database(spark, small), SCENARIOS).violations
+    labels = []
+    write = hitting.keep
+    try:
+        hitting.keep = lambda df, label, *rest: labels.append((label, _shuffles(df))) or write(df, label, *rest)
+        measures.gamma_details(sets, len(SCENARIOS))
+    finally:
+        hitting.keep = write
+    assert labels == [("part-sizes", 1)]
