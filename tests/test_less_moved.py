@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quantaint.operators import hitting, inject, measures, violations
 from quantaint.operators.scenarios import Scenario
 from quantaint.plans.experiment import Experiment
+from quantaint.schema import MEASURES
 from quantaint.sources.testdata import clean_database
 
 SCENARIOS = [Scenario("sft", "subsetB", 0.2, seed) for seed in (1, 2)]
@@ -77,3 +78,13 @@ def test_measures_shuffle_the_sets_once(spark, small):
     finally:
         hitting.keep = write
     assert labels == [("part-sizes", 1)]
+
+
+def test_stored_scores_are_widened_in_one_shuffle(spark):
+    rows = [("s", "t", "r", "d", "lineitem", "1", m, float(i)) for i, m in enumerate(MEASURES[:3])]
+    stored = spark.createDataFrame(
+        rows, "scale string, subset string, ratio string, seed string, relation string, pk string, measure string, value double"
+    )
+    wide = measures.widen_measures(stored)
+    assert _shuffles(wide) == 1
+    assert [tuple(r) for r in wide.collect()] == [("s/t/r/d", "lineitem", "1", 0.0, 1.0, 2.0, 0.0)]
