@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quantaint.operators import hitting, inject, measures, violations
+from quantaint.operators import components, hitting, inject, measures, violations
 from quantaint.operators.scenarios import Scenario
 from quantaint.plans.experiment import Experiment
 from quantaint.schema import MEASURES
@@ -36,7 +36,7 @@ def kept(monkeypatch):
 
         monkeypatch.setattr(module, "keep", keep)
 
-    for module in (inject, violations):
+    for module in (inject, components, violations):
         record(module)
     return found
 
@@ -88,3 +88,18 @@ def test_stored_scores_are_widened_in_one_shuffle(spark):
     wide = measures.widen_measures(stored)
     assert _shuffles(wide) == 1
     assert [tuple(r) for r in wide.collect()] == [("s/t/r/d", "lineitem", "1", 0.0, 1.0, 2.0, 0.0)]
+
+
+def test_stars_need_one_round(spark, kept):
+    rows = [("g", f"{h},{i}", [("o", str(h)), ("l", f"{h},{i}")]) for h in range(3) for i in range(4)]
+    sets = spark.createDataFrame(rows, "g string, mis_id string, tuples array<struct<relation: string, pk: string>>")
+    parts = components.connected_parts(sets, ["g"])
+    assert parts.select("root").distinct().count() == 3 and parts.count() == 15
+    assert [label for label, _ in kept] == ["part-edges"] * 2
+
+
+def test_chains_become_one_part(spark):
+    rows = [("g", str(i), [("x", str(i)), ("x", str(i + 1))]) for i in range(40)]
+    sets = spark.createDataFrame(rows, "g string, mis_id string, tuples array<struct<relation: string, pk: string>>")
+    parts = components.connected_parts(sets, ["g"])
+    assert parts.count() == 41 and [r.root for r in parts.select("root").distinct().collect()] == ["x#0"]
