@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from math import log
 from typing import NamedTuple
 
@@ -77,27 +77,27 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def _cut(rows: DataFrame, size: int, *keys: Column) -> DataFrame:
+    """(keys, cut) for each n-gram of ``rows.gram``, with word borders; null for words that are too short."""
+    padded = F.concat(F.lit("^"), F.col("gram"), F.lit("$")) if size > 1 else F.col("gram")
+    last = F.length(padded) - size + 1
+    # Starts are exploded and cut afterwards: both are compiled, a lambda over the array is not.
+    starts = F.when(last >= 1, F.sequence(F.lit(1), last))
+    placed = rows.select(*keys, padded.alias("_padded"), F.explode_outer(starts).alias("_start"))
+    cut = F.substring("_padded", F.col("_start"), F.lit(size))
+    return placed.withColumn("cut", cut).drop("_padded", "_start")
+
+
 def gram_counts(counts: DataFrame) -> DataFrame:
     """(lang, size, gram, n): n-grams of the distinct words of each language, with word borders."""
-    padded = F.concat(F.lit("^"), F.col("gram"), F.lit("$"))
-    parts = []
+    every = None
     for size in range(1, LONGEST_GRAM + 1):
-        word = padded if size > 1 else F.col("gram")
-        last = F.length(word) - size + 1
-        cut = F.transform(F.sequence(F.lit(1), last), _substring(word, size))
-        parts.append(
-            counts.filter(last >= 1).select("lang", F.lit(size).alias("size"), F.explode(cut).alias("gram"))
-        )
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
+        cut = _cut(counts, size, F.col("lang")).filter("cut IS NOT NULL")
+        part = cut.select("lang", F.lit(size).alias("size"), F.col("cut").alias("gram"))
+        every = part if every is None else every.unionByName(part)
     return every.groupBy("lang", "size", "gram").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _substring(word: Column, size: int) -> Callable[[Column], Column]:
-    return lambda start: F.substring(word, start, F.lit(size))
-
-
 class Table(NamedTuple):
     """Name -> row of ``values``, which has one column per language."""
 
@@ -208,62 +208,66 @@ class Scorer:
         return self._model.languages[best], float(1 / np.exp(total - total[best]).sum())
 
 
-def _values(rows: DataFrame, languages: list[str], *more: Column) -> DataFrame:
-    """(gram, v0, v1, ...): what its counts add to the base value of each language."""
-    gain = F.log((F.col("n") + 0.5) / 0.5)
+def _by_language(rows: DataFrame, languages: list[str], keys: list[str], *more: Column) -> DataFrame:
+    """(keys, c0, c1, ..., more): one row per key with its count in each language."""
     sums = [
-        F.coalesce(F.sum(F.when(F.col("lang") == F.lit(x), gain)), F.lit(0.0)).alias(f"v{i}")
+        F.coalesce(F.sum(F.when(F.col("lang") == F.lit(x), F.col("n"))), F.lit(0)).alias(f"c{i}")
         for i, x in enumerate(languages)
     ]
-    return rows.groupBy("gram").agg(*sums, *more)
+    return rows.groupBy(*keys).agg(*sums, *more)
 
 
 def word_scores(counts: DataFrame) -> tuple[list[str], np.ndarray, DataFrame]:
     """Languages, prior and (gram, seen, v0, v1, ...): the scores of every distinct word.
 
     ``counts`` are the ``word_counts`` of all texts, with a null language for those not learned.
+    Four tables are stored on the way: words, n-grams, and the words without a count of their own
+    by their longest and by shorter n-grams.
     """
     learned = counts.filter(F.col("lang").isNotNull())
     mass = {r.lang: r.n for r in learned.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted(mass)
     if not languages:
         return [], np.zeros(0), counts.select("gram", F.col("n").alias("seen"))
-    grams_of = keep(gram_counts(learned), "gram-counts")
     names = [f"v{i}" for i in range(len(languages))]
-    totals = grams_of.groupBy("lang", "size").agg(F.sum("n").alias("n")).collect()
+    # What counts add to the base value of each language; a count of 0 adds nothing.
+    gains = [F.log((F.col(f"c{i}") + 0.5) / 0.5).alias(v) for i, v in enumerate(names)]
 
     def scored(rows: DataFrame, base: np.ndarray) -> DataFrame:
         return rows.select("gram", "seen", *[(F.col(v) + float(b)).alias(v) for v, b in zip(names, base, strict=True)])
 
     most = F.max(F.when(F.col("lang").isNotNull(), F.col("n"))).alias("most")
-    words = keep(_values(counts, languages, most, F.sum("n").alias("seen")), "distinct-words")
+    words = keep(_by_language(counts, languages, ["gram"], most, F.sum("n").alias("seen")), "distinct-words")
     known = words.filter("most > 1")
-    parts = [scored(known, _base(known.count(), languages, mass))]
+    grams_of = keep(_by_language(gram_counts(learned), languages, ["size", "gram"]), "gram-counts")
+    sums = [F.sum(f"c{i}").alias(x) for i, x in enumerate(names)]
+    totals = {r["size"]: r for r in grams_of.groupBy("size").agg(F.count(F.lit(1)).alias("n"), *sums).collect()}
+
+    def means(rows: DataFrame, size: int) -> DataFrame:
+        """(gram, seen, v0, v1, ...): the mean over a word's known n-grams, null without one."""
+        table = grams_of.filter(F.col("size") == size).select(F.col("gram").alias("cut"), *gains)
+        n = totals[size]["n"] if size in totals else 0
+        cut = _cut(rows, size, F.col("gram"), F.col("seen"))
+        found = cut.join(F.broadcast(table) if n <= BROADCAST_GRAMS else table, "cut", "left")
+        mass_of = {x: totals[size][v] for x, v in zip(languages, names, strict=True)} if n else {}
+        averages = found.groupBy("gram", "seen").agg(*[F.avg(v).alias(v) for v in names])
+        return scored(averages, _base(n, languages, mass_of))
+
     rest = words.filter("most IS NULL OR most <= 1").select("gram", "seen")
-    for size in range(LONGEST_GRAM, 0, -1):
-        table = keep(_values(grams_of.filter(F.col("size") == size), languages), "gram-values")
-        n = table.count()
-        padded = F.concat(F.lit("^"), F.col("gram"), F.lit("$")) if size > 1 else F.col("gram")
-        last = F.length(padded) - size + 1
-        cut = rest.filter(last >= 1).select(
-            F.struct("gram", "seen").alias("word"),
-            F.explode(F.transform(F.sequence(F.lit(1), last), _substring(padded, size))).alias("gram"),
-        )
-        means = cut.join(F.broadcast(table) if n <= BROADCAST_GRAMS else table, "gram").groupBy("word").agg(
-            *[F.avg(v).alias(v) for v in names]
-        )
-        found = keep(means.select("word.gram", "word.seen", *names), "word-grams")
-        base = _base(n, languages, {r.lang: r.n for r in totals if r.size == size})
-        parts.append(scored(found, base))
-        rest = keep(rest.join(found.select("gram"), "gram", "left_anti"), "unseen-words")
-        if rest.isEmpty():
-            break
+    longest = keep(means(rest, LONGEST_GRAM), "word-grams")
+    rest = longest.filter("v0 IS NULL")
+    shorter = None
+    for size in range(LONGEST_GRAM - 1, 0, -1):
+        part = means(rest, size).withColumn("size", F.lit(size))
+        shorter = part if shorter is None else shorter.unionByName(part)
     # Words without any known n-gram tell nothing.
-    parts.append(rest.select("gram", "seen", *[F.lit(0.0).alias(v) for v in names]))
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    return languages, _prior(mass, languages), keep(every, "word-scores")
+    best = F.max(F.when(F.col("v0").isNotNull(), F.struct("size", *names))).alias("best")
+    shorter = shorter.groupBy("gram", "seen").agg(best)
+    told = [F.coalesce(F.col(f"best.{v}"), F.lit(0.0)).alias(v) for v in names]
+    shorter = keep(shorter.select("gram", "seen", *told), "short-grams")
+    own = scored(known.select("gram", "seen", *gains), _base(known.count(), languages, mass))
+    every = own.unionByName(longest.filter("v0 IS NOT NULL")).unionByName(shorter)
+    return languages, _prior(mass, languages), every
 
 
 def _frequent(scores: DataFrame, at_most: int) -> DataFrame:

@@ -49,3 +49,30 @@ def test_joined_scores_equal_one_process(spark, held_words):
         lang, score = scorer.predict(texts[r.doc_id])
         assert (r.lang_pred, r.score) == (lang, pytest.approx(score, rel=1e-6))
     assert {r.lang_pred for r in got if 10_000 <= r.doc_id < 20_000} == {"qq"}
+
+
+@pytest.mark.parametrize("broadcast_grams", [0, 300_000])
+def test_few_stage_tables(spark, monkeypatch, broadcast_grams):
+    """Each table that is stored makes executors write files; the back-off to shorter n-grams stores two."""
+    monkeypatch.setattr(language, "BROADCAST_GRAMS", broadcast_grams)
+    stored = []
+    for name in ("keep", "keep_texts"):
+        write = getattr(language, name)
+        monkeypatch.setattr(
+            language, name, lambda df, label, write=write: (stored.append(label), write(df, label))[1]
+        )
+    texts = [("en", "the cat and the dog a"), ("de", "der hund und die katze é")]
+    rows = [(i, *texts[i % 2][::-1]) for i in range(30)]
+    learned = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    # Words that were not learned, with known n-grams of each length, with none, and of one letter.
+    odd = ["thecat dogs", "cathun", "hxt txe", "xaxx", "щщщщ", "щ", "x", "a", "é щ"]
+    rows += [(1000 + i, text, None) for i, text in enumerate(odd)]
+    got = language.predict_languages(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(stored) <= 6
+    monkeypatch.undo()
+    scorer = language.Scorer(language.train(spark.createDataFrame(learned, SCHEMA).select("lang", "text")))
+    by_id = {r[0]: r[1] for r in rows}
+    assert len(got) == len(rows)
+    for r in got:
+        lang, score = scorer.predict(by_id[r.doc_id])
+        assert (r.lang_pred, r.score) == (lang, pytest.approx(score, rel=1e-6))
