@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import brute
 from quantaint.operators import components, hitting, inject, measures, violations
 from quantaint.operators.scenarios import Scenario
 from quantaint.plans.experiment import Experiment
@@ -103,3 +104,43 @@ def test_chains_become_one_part(spark):
     sets = spark.createDataFrame(rows, "g string, mis_id string, tuples array<struct<relation: string, pk: string>>")
     parts = components.connected_parts(sets, ["g"])
     assert parts.count() == 41 and [r.root for r in parts.select("root").distinct().collect()] == ["x#0"]
+
+
+@pytest.mark.parametrize("most", [components.LOCAL_SETS, 0])
+def test_hubs_of_parts_are_found_without_rounds(spark, kept, monkeypatch, most):
+    """Counted per centre in one task, or before the shuffle where centres are in very many sets.
+
+    Orders with lines, parts with supplies with lines, and sets of one tuple: no centre shares a tuple."""
+    rows = []
+    for h in range(3):
+        for i in range(4):
+            line = ("l", f"{h},{i}")
+            rows.append(("a", f"a{h},{i}", [("o", str(h)), line]))
+            rows.append(("b", f"b{h},{i}", [line, ("s", f"{h},{i % 2}"), ("p", str(h))]))
+            rows.append(("c", f"c{h},{i}", [line]))
+    rows.append((None, "m", [("l", "1,1")]))
+    sets = spark.createDataFrame(rows, "g string, mis_id string, tuples array<struct<relation: string, pk: string>>")
+    monkeypatch.setattr(components, "LOCAL_SETS", most)
+    found = {(r.g, r.relation, r.pk): (r.cnt, r.gamma, r.n_edges, r.n_nodes) for r in components.general_gamma(sets, ["g"]).collect()}
+    assert found["a", "o", "1"] == (4, 2, 8, 15) and found["a", "l", "1,2"] == (1, 3, 11, 15)
+    assert found["b", "p", "1"] == (4, 2, 8, 21) and found["b", "s", "1,0"] == (2, 3, 10, 21)
+    assert found["c", "l", "1,2"] == (1, 11, 11, 12) and len(found) == 15 + 21 + 12
+    assert not any(n for label, n in kept if label.endswith("edges"))
+
+
+def test_parts_of_several_centres(spark):
+    """Random families, most of them without a hub, against enumeration."""
+    draws = random.Random(11)
+    families = {}
+    for i in range(8):
+        tuples = [(r, str(k)) for r in "xyz" for k in range(3)]
+        families[f"g{i}"] = [draws.sample(tuples, draws.choice((1, 2, 3))) for _ in range(draws.randint(1, 6))]
+    rows = [(g, f"m{i}", s) for g, sets in families.items() for i, s in enumerate(sets)]
+    sets = spark.createDataFrame(rows, "g string, mis_id string, tuples array<struct<relation: string, pk: string>>")
+    want = {(g, t): v for g, e in families.items() for t, v in brute.gamma([set(s) for s in e]).items()}
+    for r in components.general_gamma(sets, ["g"]).collect():
+        exact = want.pop((r.g, (r.relation, r.pk)))
+        own = [s for s in families[r.g] if (r.relation, r.pk) in s]
+        assert r.gamma_low <= exact <= r.gamma and (r.status != "OPTIMAL" or r.gamma == exact)
+        assert (r.cnt, r.n_edges) == (len(own), len(families[r.g]) - len(own))
+    assert not want
