@@ -60,9 +60,9 @@ def listed_layout(sets: DataFrame) -> DataFrame:
 
 
 def write_sets(records: DataFrame, path: str) -> None:
-    """JSON lines under scale=/subset=/ratio=/seed=/constraint= folders."""
+    """JSON lines, compressed, under scale=/subset=/ratio=/seed=/constraint= folders."""
     folders = [*SCENARIO_COLUMNS, "constraint"]
-    by_folder(records.withColumn("constraint", F.col("dc")), folders).write.partitionBy(*folders).json(path)
+    by_folder(records.withColumn("constraint", F.col("dc")), folders).write.option("compression", "gzip").partitionBy(*folders).json(path)
 
 
 def read_keyed(spark: SparkSession, path: str, whole_file: bool = False) -> DataFrame:
@@ -99,7 +99,12 @@ def read_keyed(spark: SparkSession, path: str, whole_file: bool = False) -> Data
 
 
 def _key_items(text: Column) -> Column:
-    return F.when(F.ltrim(text).startswith("["), F.from_json(text, "array<string>")).otherwise(F.array(text))
+    """The keys in a JSON value; a list of one key of one or two numbers is cut without a parser."""
+    shape = F.translate(text, "-0123456789", "")
+    one = ((shape == "[]") & (text != "[]")) | (shape == "[[,]]")
+    inner = F.substr(text, F.lit(2), F.length(text) - 2)
+    several = F.from_json(text, "array<string>")
+    return F.when(one, F.array(inner)).when(F.ltrim(text).startswith("["), several).otherwise(F.array(text))
 
 
 def read_listed(spark: SparkSession, path: str) -> DataFrame:
@@ -125,6 +130,13 @@ def read_listed(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _placed_name(t: Column, i: Column) -> Column:
+    place = F.array_position(F.col("order"), t["relation"])
+    return F.struct(
+        place.alias("place"), i.alias("i"), F.when(place > 0, tuple_id(t["relation"], t["pk"])).alias("name")
+    )
+
+
 def _membership(sets: DataFrame) -> DataFrame:
     """Explode to (db_id, dc, mis_id, relation, pk).
 
@@ -137,15 +149,10 @@ def _membership(sets: DataFrame) -> DataFrame:
         CONSTRAINTS.values(),
         F.lit(None).cast("array<string>"),
     )
-    names = F.flatten(
-        F.transform(
-            "order",
-            lambda rel: F.transform(
-                F.filter("tuples", lambda t: t["relation"] == rel),
-                lambda t: tuple_id(t["relation"], t["pk"]),
-            ),
-        )
-    )
+    # One pass over the tuples: by place of the relation, then as they come; others have no name.
+    named = F.transform("tuples", _placed_name)
+    names = F.when(F.col("order").isNotNull(), F.sort_array(named)["name"])
+    # An inner inline would test the tuples in a filter of its own, which builds them two more times.
     return (
         sets.withColumn("order", order)
         .withColumn("mis_id", F.array_join(names, "|"))
@@ -153,6 +160,7 @@ def _membership(sets: DataFrame) -> DataFrame:
             F.concat_ws("/", *SCENARIO_COLUMNS).alias("db_id"),
             "dc",
             "mis_id",
-            F.inline("tuples"),
+            F.inline_outer("tuples"),
         )
+        .filter("relation IS NOT NULL")
     )

@@ -5,6 +5,7 @@ import json
 import pytest
 
 from quantaint.functions.labels import norm_scale, norm_seed, ratio_tag, safe_ratio_count
+from quantaint.sources import violation_files
 from quantaint.sources.delimited import read_database, read_relation, write_relation
 from quantaint.sources.tables import read_table, write_table
 from quantaint.sources.testdata import clean_database
@@ -109,3 +110,38 @@ def test_labels(spark):
         norm_seed(F.lit("seed09")).alias("c"),
     ).first()
     assert tuple(one) == ("0.1", "0.1", "09")
+
+
+def test_sets_are_written_compressed(spark, tmp_path):
+    sets = spark.createDataFrame(
+        [("a/b/c/d", "DC2", [("orders", "1"), ("lineitem", "1,2")])],
+        "db_id string, dc string, tuples array<struct<relation: string, pk: string>>",
+    )
+    want = [("a/b/c/d", "DC2", "orders#1|lineitem#1,2", "lineitem", "1,2"), ("a/b/c/d", "DC2", "orders#1|lineitem#1,2", "orders", "1")]
+    for name, layout, read in (
+        ("keyed", violation_files.keyed_layout, read_keyed),
+        ("listed", violation_files.listed_layout, violation_files.read_listed),
+    ):
+        path = tmp_path / name
+        violation_files.write_sets(layout(sets), str(path))
+        files = [f.name for f in path.rglob("part-*")]
+        assert files and all(f.endswith(".json.gz") for f in files)
+        assert sorted(map(tuple, read(spark, str(path)).collect())) == want
+
+
+def test_key_lists_of_any_form(spark, tmp_path):
+    """One key is cut from its list, others are parsed; names follow the constraint's order of relations."""
+    place = tmp_path / "scale=s" / "subset=t" / "ratio=r" / "seed=d"
+    place.mkdir(parents=True)
+    values = ["7", "[7]", "[-7]", '"7"', '["7"]', "[[7]]", "[7, 8]", "[]"]
+    lines = [f'{{"dc": "DC4", "tuples": {{"part": {v}, "lineitem": [[1, 2], [3,4]], "other": [[5, 6]]}}}}' for v in values]
+    lines.append('{"dc": "unknown", "tuples": {"lineitem": [[1, 2]]}}')
+    (place / "sets.json").write_text("\n".join(lines))
+    found = [tuple(r)[2:] for r in read_keyed(spark, str(tmp_path)).collect()]
+    lines_of = "lineitem#1,2|lineitem#3,4"
+    want = [(None, "lineitem", "1,2")]
+    for parts in (["7"], ["7"], ["-7"], ["7"], ["7"], ["7"], ["7", "8"], []):
+        name = "|".join([lines_of, *[f"part#{p}" for p in parts]])
+        want += [(name, "part", p) for p in parts]
+        want += [(name, "lineitem", "1,2"), (name, "lineitem", "3,4"), (name, "other", "5,6")]
+    assert sorted(found, key=repr) == sorted(want, key=repr)
